@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ranking",)
+MODULES = ("ranking", "finding", "lifecycle", "graphs")
 
 
 def _merged(name: str) -> dict:
