@@ -18,7 +18,7 @@ from recallspark.schema import (
     WALK_MAX_NODES,
     RecallError,
 )
-from recallspark.session import cut_lineage
+from recallspark.session import cut_lineage, settle
 
 EDGE_ORDER = ("kind", "src", "dst")
 
@@ -43,70 +43,67 @@ def _ends() -> Column:
     return F.inline(F.array(F.struct(F.col("src").alias("node")), F.struct(F.col("dst").alias("node"))))
 
 
-def _level(edges: DataFrame, frontier: DataFrame, cap: int, ship) -> DataFrame:
+def _level(edges: DataFrame, frontier: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` edges touching each query's frontier, in edge order.
 
     Each node contributes at most ``cap`` of its own edges, which is all a query
     could take, so a hub is cut down before it meets the queries.
     """
-    asked = ship(frontier.select("project_id", "node").distinct())
+    asked = frontier.select("project_id", "node").distinct()
     touching = (
         edges.select("project_id", *EDGE_ORDER, _ends())
         .join(asked, ["project_id", "node"], "left_semi")
     )
     order = [F.col(c) for c in EDGE_ORDER]
     near = top_k(touching, ["project_id", "node"], order, cap, spread_on="dst").drop("rn")
-    rows = near.join(ship(frontier), ["project_id", "node"]).select("query_id", "project_id", *EDGE_ORDER).distinct()
+    rows = near.join(frontier, ["project_id", "node"]).select("query_id", "project_id", *EDGE_ORDER).distinct()
     return top_k(rows, ["query_id"], order, cap)
 
 
+def _fresh(rows: DataFrame, seen: DataFrame, max_nodes: int) -> DataFrame:
+    """Nodes a level reached for the first time, numbered as the edges name them."""
+    named = rows.select(
+        "query_id", "project_id",
+        F.inline(F.array(
+            F.struct(F.col("dst").alias("node"), (F.col("rn") * 2).alias("at")),
+            F.struct(F.col("src").alias("node"), (F.col("rn") * 2 + 1).alias("at")))))
+    named = named.groupBy("query_id", "project_id", "node").agg(F.min("at").alias("at"))
+    before = seen.groupBy("query_id").agg(F.count("*").alias("n_seen"))
+    by_query = Window.partitionBy("query_id")
+    return (
+        named.join(seen, ["query_id", "project_id", "node"], "left_anti").join(before, "query_id")
+        .withColumn("place", F.row_number().over(by_query.orderBy("at")))
+        .withColumn("total", F.count("*").over(by_query) + F.col("n_seen"))
+        .where(F.col("place") <= max_nodes - F.col("n_seen"))
+    )
+
+
 def walk(
     edges: DataFrame,
     seeds: DataFrame,
     depth: int = WALK_DEPTH,
     max_nodes: int = WALK_MAX_NODES,
     frontier: int = WALK_FRONTIER,
-    small: bool = False,
 ) -> DataFrame:
     """Edges ``(query_id, project_id, kind, src, dst)`` around each query's seeds.
 
     Breadth first over links in both directions. A level fetches at most four
     times ``max_nodes`` edges, opens at most ``frontier`` new nodes, and the walk
     stops once ``max_nodes`` have been seen. ``seeds`` is ``(query_id,
-    project_id, node, ...)``. ``small`` says the caller has counted the queries
-    and their frontiers fit a broadcast.
+    project_id, node, ...)``. Each level is bounded per query by those caps and
+    read by the next ones, so it is settled.
     """
-    ship = F.broadcast if small else (lambda df: df)
-    seen = seeds.select("query_id", "project_id", "node").distinct()
-    edge_cap = max_nodes * 4
-    opened, walked = seen, None
-    for step in range(max(0, depth)):
-        rows = _level(edges, opened, edge_cap, ship)
-        fetched = rows.drop("rn")
-        walked = fetched if walked is None else walked.unionByName(fetched)
-        if step + 1 == depth:
-            break
-        # New nodes in the order the edges name them: target first, then source.
-        named = rows.select(
-            "query_id", "project_id",
-            F.inline(F.array(
-                F.struct(F.col("dst").alias("node"), (F.col("rn") * 2).alias("at")),
-                F.struct(F.col("src").alias("node"), (F.col("rn") * 2 + 1).alias("at")))))
-        named = named.groupBy("query_id", "project_id", "node").agg(F.min("at").alias("at"))
-        fresh = named.join(seen, ["query_id", "project_id", "node"], "left_anti")
-        before = seen.groupBy("query_id").agg(F.count("*").alias("n_seen"))
-        by_query = Window.partitionBy("query_id")
-        fresh = (
-            fresh.join(before, "query_id")
-            .withColumn("place", F.row_number().over(by_query.orderBy("at")))
-            .withColumn("total", F.count("*").over(by_query) + F.col("n_seen"))
-        )
-        kept = fresh.where(F.col("place") <= max_nodes - F.col("n_seen"))
-        opened = kept.where((F.col("place") <= frontier) & (F.col("total") < max_nodes)).select(
-            "query_id", "project_id", "node")
-        seen = seen.unionByName(kept.select("query_id", "project_id", "node"))
-    if walked is None:
+    if depth < 1:
         raise RecallError("depth must be >= 1.")
+    seen = seeds.select("query_id", "project_id", "node").distinct()
+    rows = settle(_level(edges, seen, max_nodes * 4))
+    walked = rows.drop("rn")
+    for _ in range(depth - 1):
+        fresh = settle(_fresh(rows, seen, max_nodes))
+        opened = fresh.where((F.col("place") <= frontier) & (F.col("total") < max_nodes))
+        rows = settle(_level(edges, opened.select("query_id", "project_id", "node"), max_nodes * 4))
+        walked = walked.unionByName(rows.drop("rn"))
+        seen = seen.unionByName(fresh.select("query_id", "project_id", "node"))
     return walked.distinct()
 
 

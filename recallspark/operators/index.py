@@ -76,16 +76,21 @@ def explode_queries(queries: DataFrame) -> DataFrame:
 
 # Question terms are shipped to every task up to this many rows (about 60 bytes each).
 BROADCAST_TERMS = 200_000
+ITSELF = ""
 
 
-def wanted_postings(index: DataFrame, asked: DataFrame, keep: list[str]) -> DataFrame:
+def wanted_postings(index: DataFrame, asked: DataFrame, keep: list[str], ship=lambda df: df) -> DataFrame:
     """Postings of the asked-for terms only, partitioned by record.
 
-    ``(memory_id, *keep, dl, term, f)`` with ``f`` the summed field weights.
+    ``(memory_id, *keep, dl, term, f)`` with ``f`` the summed field weights. Each
+    record also brings one row for the empty term, which no text contains: it
+    lets collection statistics come from the same pass over the text.
     """
-    exploded = index.select("memory_id", *keep, "dl", F.inline("entries"))
+    itself = F.array(F.struct(F.lit(ITSELF).alias("term"), F.lit(0.0).alias("w")))
+    asked = asked.unionByName(asked.sparkSession.createDataFrame([(ITSELF,)], "term string"))
+    exploded = index.select("memory_id", *keep, "dl", F.inline(F.concat("entries", itself)))
     return (
-        exploded.join(asked, "term", "left_semi")
+        exploded.join(ship(asked), "term", "left_semi")
         .repartition("memory_id")
         .groupBy("memory_id", *keep, "dl", "term")
         .agg(F.sum("w").alias("f"))
@@ -113,13 +118,13 @@ def bm25(
     terms = explode_queries(queries)
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     ship = F.broadcast if small else (lambda df: df)
-    asked = ship(terms.select("term").distinct())
-    # Two readers (document frequency and scoring) share one pass over the text.
-    postings = wanted_postings(index, asked, keep).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = terms.select("term").distinct()
+    # Three readers (statistics, document frequency, scoring) share one pass over the text.
+    postings = wanted_postings(index, asked, keep, ship).persist(StorageLevel.MEMORY_AND_DISK)
 
     group = scope or [F.lit(0).alias("_all")]
     names = scope or ["_all"]
-    stats = index.groupBy(*group).agg(
+    stats = postings.where(F.col("term") == ITSELF).groupBy(*group).agg(
         F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy(*group, "term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

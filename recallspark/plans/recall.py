@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recallspark.functions.labels import compile_labels
@@ -18,10 +17,7 @@ from recallspark.operators import graph
 from recallspark.operators.index import bm25
 from recallspark.operators.search import status_filter
 from recallspark.schema import STATUS_FACTORS, WALK_DEPTH, WALK_SEEDS, RecallError
-
-# Up to this many questions the frontiers (at most 60 nodes each) and results
-# (at most 50 + 2000 rows each) of a batch are small enough to broadcast.
-SMALL_BATCH = 2000
+from recallspark.session import settle
 
 
 @dataclass(frozen=True)
@@ -61,12 +57,8 @@ def recall(
     options.check()
     if "related_id" not in queries.columns:
         queries = queries.withColumn("related_id", F.lit(None).cast("string"))
-    small = queries.limit(SMALL_BATCH + 1).count() <= SMALL_BATCH
-    ship = F.broadcast if small else (lambda df: df)
-
-    text = bm25(index, queries, stats_by=list(options.stats_by)).select(
-        "query_id", "project_id", "memory_id", "text", "rn"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    text = settle(bm25(index, queries, stats_by=list(options.stats_by)).select(
+        "query_id", "project_id", "memory_id", "text", "rn"))
     seeds = text.where(F.col("rn") <= WALK_SEEDS).select(
         "query_id", "project_id", F.col("memory_id").alias("node"), F.col("text").alias("weight"))
     anchors = queries.where(F.col("related_id").isNotNull()).select("query_id", "project_id", "related_id")
@@ -75,18 +67,18 @@ def recall(
         "query_id", "project_id", F.col("related_id").alias("node"),
         F.greatest(F.lit(1.0), F.coalesce("total", F.lit(0.0))).alias("weight"))
     # An anchor that is also a text match keeps the anchor's weight.
-    seeds = seeds.unionByName(anchored).groupBy("query_id", "project_id", "node").agg(
-        F.max("weight").alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    seeds = settle(seeds.unionByName(anchored).groupBy("query_id", "project_id", "node").agg(
+        F.max("weight").alias("weight")))
 
     depth = WALK_DEPTH if options.include_derived else 1
-    pairs = graph.both_ways(graph.walk(edges, seeds, depth=depth, small=small))
+    pairs = graph.both_ways(graph.walk(edges, seeds, depth=depth))
     ranks = graph.personalized_pagerank(pairs, seeds)
     by_query = Window.partitionBy("query_id")
     peak = F.max("rank").over(by_query)
     near = ranks.select(
         "query_id", "memory_id", (F.col("rank") / F.when(peak == 0, 1.0).otherwise(peak)).alias("graph"))
 
-    asked = ship(queries.select("query_id", "project_id", "query", "related_id"))
+    asked = queries.select("query_id", "project_id", "related_id")
     blended = (
         text.select("query_id", "memory_id", "text").join(near, ["query_id", "memory_id"], "full")
         .na.fill(0.0, ["text", "graph"])
@@ -94,7 +86,7 @@ def recall(
         .where(F.col("related_id").isNull() | (F.col("memory_id") != F.col("related_id")))
     )
     weight = F.when(F.col("related_id").isNull(), options.graph_weight).otherwise(options.anchored_weight)
-    blended = blended.withColumn("raw", F.col("text") + weight * F.col("graph")).drop("query", "related_id")
+    blended = blended.withColumn("raw", F.col("text") + weight * F.col("graph")).drop("related_id")
 
     silent = queries.where((F.coalesce("query", F.lit("")) == "") & F.col("related_id").isNull()).select(
         "query_id", "project_id")
@@ -104,9 +96,11 @@ def recall(
         F.col("degree").cast("double").alias("raw"))
 
     # Nine places: sums that differ only in the last bits are the same score.
-    scored = blended.unionByName(oriented).withColumn("raw", F.round("raw", 9))
+    # Settled, the candidates (at most 50 + 2000 per question) are broadcast to the
+    # records only if their files are small, and pruned against them otherwise.
+    scored = settle(blended.unionByName(oriented).withColumn("raw", F.round("raw", 9)))
     shown = slots.select("project_id", "memory_id", "slug", "status", "labels", "origin").join(
-        ship(scored), ["project_id", "memory_id"])
+        scored, ["project_id", "memory_id"])
     considered = F.count("*").over(by_query)
     kept = (
         shown.withColumn("considered", considered)

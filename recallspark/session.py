@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a step to shared storage and read it back.
+
+    Later steps then start from files that outlive any executor, plan against
+    real sizes (so a join is broadcast only if the written side is small), and
+    never repeat the work.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     context = df.sparkSession.sparkContext

@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to process.
+
+    A file with fewer row groups than there are cores would be worked through by
+    as many tasks; only then are its rows dealt out by ``key`` first. Inputs of
+    any size to speak of have more splits than cores and are left alone.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def stamp(base: str, hours: Column) -> Column:
     """``base`` (a date) plus whole hours, as the fixed-width UTC string."""
     days = F.floor(hours / 24).cast("int")
@@ -25,9 +37,12 @@ def memory_key(doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit("doc-"), doc_id.cast("string")))
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with their ``labels`` row as knowledge records."""
-    docs = table(spark, sf_dir, "documents")
+def memories(spark: SparkSession, sf_dir: str, reading: bool = False) -> DataFrame:
+    """``documents`` with their ``labels`` row as knowledge records.
+
+    ``reading`` says the texts themselves will be processed.
+    """
+    docs = texts(spark, sf_dir, "documents", "doc_id") if reading else table(spark, sf_dir, "documents")
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = docs.join(marks, "doc_id", "left")
     doc_id = F.col("doc_id")
@@ -71,9 +86,9 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cached(spark: SparkSession, sf_dir: str, reading: bool = False) -> DataFrame:
     """``pages`` as copies borrowed from other servers."""
-    p = table(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages", "page_id") if reading else table(spark, sf_dir, "pages")
     page_id = F.col("page_id")
     return p.select(
         F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("project_id"),

@@ -13,7 +13,7 @@ from recallspark.suite.ctes import sql, tokens as sql_tokens
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Owned records and borrowed copies as index rows."""
-    own = src.memories(spark, sf)
+    own = src.memories(spark, sf, reading=True)
     own = index.index_rows(
         own.withColumn("live", F.col("archived_at").isNull()).withColumn("origin", F.lit(None).cast("string")),
         index.text_fields(
@@ -21,7 +21,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
             scope=[F.col("area"), F.array_join("files", " ")]),
         ["project_id", "memory_id", "slug", "live", "status", "labels", "origin", "area"],
     )
-    borrowed = src.cached(spark, sf).withColumn("live", F.lit(True)).withColumn("area", F.col("origin"))
+    borrowed = src.cached(spark, sf, reading=True).withColumn("live", F.lit(True)).withColumn("area", F.col("origin"))
     borrowed = index.index_rows(
         borrowed,
         index.text_fields(F.col("slug"), F.col("description"), labels=F.col("labels")),
@@ -31,7 +31,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    d = src.table(spark, sf, "documents").select("lang", "text")
+    d = src.texts(spark, sf, "documents", "doc_id").select("lang", "text")
     found = d.select("lang", tokens(F.col("text")).alias("t"), token_set(F.col("text")).alias("u"))
     return found.groupBy("lang").agg(
         F.sum(F.size("t")).alias("n_tokens"),
@@ -42,7 +42,7 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_token_df(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency of every folded token of the raw pages."""
-    p = src.table(spark, sf, "pages").select("html")
+    p = src.texts(spark, sf, "pages", "page_id").select("html")
     terms = p.select(F.explode(F.array_distinct(fold_all(F.col("html"), token_set(F.col("html"))))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
