@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recallspark.schema import ORDINAL_OF_EPOCH
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -149,18 +151,22 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("user_id"), F.col("lang").alias("project_id"))
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    day = F.unix_date(F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 100).cast("int")))
+    return as_usage(e.join(docs, "user_id"))
+
+
+def as_usage(e: DataFrame) -> DataFrame:
+    """Event rows that know their project, batch or stream."""
+    date = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 100).cast("int"))
     kind = F.col("event_type")
-    return e.join(docs, "user_id").select(
+    return e.select(
         "project_id",
         memory_key(F.col("user_id")).alias("memory_id"),
         F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("replica_id"),
-        (day.cast("long") + 719163).alias("day"),
+        (F.unix_date(date).cast("long") + ORDINAL_OF_EPOCH).alias("day"),
         kind.isin("view", "click").cast("long").alias("surfaced"),
         (kind == "click").cast("long").alias("direct"),
         (kind == "purchase").cast("long").alias("applied"),
-        F.concat(F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 100).cast("int")).cast("string"),
-                 F.lit("T00:00:00Z")).alias("ts"),
+        F.concat(date.cast("string"), F.lit("T00:00:00Z")).alias("ts"),
     )
 
 
@@ -209,3 +215,33 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = d.where(F.col("doc_id") % 7 < 3).select(
         F.concat(F.lit("bucket/"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt")).alias("path"))
     return data.union(bucket).distinct()
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as whole record documents, some of them breaking a rule."""
+    m = memories(spark, sf_dir)
+    n = F.col("doc_id")
+
+    def link(to: Column) -> Column:
+        short = F.when(n % 29 == 0, "Near.").otherwise("Next to it in the source.")
+        return F.struct(F.concat(F.lit("doc-"), to.cast("string")).alias("id"), short.alias("reason"))
+
+    related = F.array_compact(F.array(F.when(n % 3 != 0, link(n + 1)), F.when(n % 4 == 0, link(n - 1))))
+    supersedes = F.array_compact(F.array(F.when(n % 10 == 0, F.concat(F.lit("doc-"), (n - 2).cast("string")))))
+    none = F.array().cast("array<string>")
+    return m.select(
+        "project_id", "memory_id", "doc_id",
+        F.lit(1).alias("schema_version"), F.col("slug").alias("id"), "status", "description",
+        F.when(n % 19 == 0, F.concat("tags", "tags")).otherwise(F.col("tags")).alias("tags"),
+        "labels",
+        F.struct(F.col("project_id").alias("project"), "area", "files", none.alias("applies_to")).alias("scope"),
+        "triggers",
+        F.when(n % 31 == 0, none).otherwise(F.array(F.concat(F.lit("note "), F.col("slug")))).alias("remembered_facts"),
+        none.alias("solution_pattern"), none.alias("pitfalls"),
+        F.struct(
+            F.lit("import").alias("created_from_task"),
+            F.when(n % 23 == 0, "2024/01/01").otherwise("2024-01-01").alias("last_validated"),
+            "created").alias("evidence"),
+        F.struct(related.alias("related"), supersedes.alias("supersedes"), none.alias("superseded_by")).alias("relationships"),
+        "tier", "tier_since", "tier_since_query", "archived_at", F.lit(None).cast("string").alias("merged_into"), "visibility",
+    )

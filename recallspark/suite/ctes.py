@@ -84,6 +84,12 @@ SELECT conv_id || '-' || turn AS id, 'client-' || (conv_id % 7) AS to_client, ro
     "listing": ((), """
 SELECT DISTINCT 'data/' || source || '.txt' AS path FROM documents WHERE NOT regexp_matches(source, '[048]$')
 UNION SELECT DISTINCT 'bucket/' || (doc_id % 7) || '.txt' FROM documents WHERE doc_id % 7 < 3"""),
+    "links": (("memories",), """
+SELECT project_id, slug AS src, 'doc-' || (doc_id + 1) AS dst, 'related' AS kind,
+  CASE WHEN doc_id % 29 = 0 THEN 'Near.' ELSE 'Next to it in the source.' END AS reason FROM memories WHERE doc_id % 3 <> 0
+UNION ALL SELECT project_id, slug, 'doc-' || (doc_id - 1), 'related',
+  CASE WHEN doc_id % 29 = 0 THEN 'Near.' ELSE 'Next to it in the source.' END FROM memories WHERE doc_id % 4 = 0
+UNION ALL SELECT project_id, slug, 'doc-' || (doc_id - 2), 'supersedes', NULL FROM memories WHERE doc_id % 10 = 0"""),
     # Indexed rows: owned records and borrowed copies, one text per field.
     "corpus": (("memories", "cached"), """
 SELECT project_id, memory_id, slug, archived_at IS NULL AS live, status, labels, CAST(NULL AS VARCHAR) AS origin,
