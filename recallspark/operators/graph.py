@@ -169,7 +169,7 @@ def personalized_pagerank(
 
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, iterations: int = 30, tolerance: float = 0.0, keep_lineage: int = 6
+    nodes: DataFrame, edges: DataFrame, iterations: int = 30, tolerance: float = 0.0, keep_lineage: int = 3
 ) -> DataFrame:
     """Whole-graph centrality per project: ``(project_id, memory_id, rank)``.
 

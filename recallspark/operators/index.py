@@ -30,21 +30,19 @@ def text_fields(
     pitfalls: Column | None = None,
     scope: list[Column] | None = None,
 ) -> dict[str, Column]:
-    """The nine indexed fields of a record; absent ones index as empty."""
-    def joined(array: Column | None) -> Column:
-        return F.lit("") if array is None else F.coalesce(F.array_join(array, " "), F.lit(""))
-
-    return {
-        "id_text": slug,
-        "description": F.coalesce(description, F.lit("")),
-        "triggers": joined(triggers),
-        "tags": joined(tags),
-        "labels": joined(labels),
-        "facts": joined(facts),
-        "pattern": joined(pattern),
-        "pitfalls": joined(pitfalls),
-        "scope_text": F.concat_ws(" ", *scope) if scope else F.lit(""),
+    """The indexed fields of a record; those not given index as nothing."""
+    given = {
+        "id_text": slug, "description": description, "triggers": triggers, "tags": tags, "labels": labels,
+        "facts": facts, "pattern": pattern, "pitfalls": pitfalls,
     }
+    plain = ("id_text", "description")
+    fields = {
+        name: F.coalesce(value if name in plain else F.array_join(value, " "), F.lit(""))
+        for name, value in given.items() if value is not None
+    }
+    if scope:
+        fields["scope_text"] = F.concat_ws(" ", *scope)
+    return fields
 
 
 def index_rows(records: DataFrame, fields: dict[str, Column], keep: list[str]) -> DataFrame:
