@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recallspark.operators import audit, cache, dedup, records, usage, validate
 from recallspark.operators.similar import derived_edges
 from recallspark.schema import TABLES
+from recallspark.session import settle
 
 # --------------------------------------------------------------- fixed values
 PRIORITY = {"outbox": 10, "rebase": 20, "audit": 30, "evict": 35, "reindex": 40, "dedup": 50}
@@ -33,7 +34,7 @@ def flat(rows: DataFrame) -> DataFrame:
 
 def audit_job(tables: Tables, now: str, policy: audit.Policy = audit.Policy(), apply: bool = True) -> tuple[Tables, dict]:
     own = flat(tables["records"])
-    found = audit.findings(own, tables["usage"], tables["edges"], tables["projects"], now, policy)
+    found = settle(audit.findings(own, tables["usage"], tables["edges"], tables["projects"], now, policy))
     counts = {r["project_id"]: r.asDict() for r in audit.summary(found).collect()}  # one row per project
     run = F.concat_ws("/", "project_id", F.lit(now))
     out = dict(tables)
@@ -98,7 +99,9 @@ def run(spark: SparkSession, tables: Tables, kinds: list[str], now: str, **optio
     log = []
     for kind in sorted(set(kinds), key=lambda k: PRIORITY[k]):
         try:
-            tables, detail = JOBS[kind](tables, now, **options.get(kind, {}))
+            after, detail = JOBS[kind](tables, now, **options.get(kind, {}))
+            # What a job changed is written before the next one reads it.
+            tables = {k: df if df is tables.get(k) else settle(df) for k, df in after.items()}
             outcome = "done"
         except Exception as error:  # a failed job must not stop the ones after it
             detail, outcome = {"error": str(error)}, "failed"

@@ -57,7 +57,11 @@ def load(spark: SparkSession, root: str, stamp: str | None = None) -> dict[str,
         raise RecallError(f"no snapshot {stamp or ''} under {root}")
     base = f"{root}/{PREFIX}{stamp or known[0]}"
     names = [r["name"] for r in spark.read.parquet(f"{base}/{MANIFEST}").collect()]
-    return {name: spark.read.option("basePath", f"{base}/{name}").parquet(f"{base}/{name}") for name in names}
+    # An empty table has no file to take a schema from.
+    return {
+        name: (spark.read.schema(TABLES[name]) if name in TABLES else spark.read).parquet(f"{base}/{name}")
+        for name in names
+    }
 
 
 def prune(spark: SparkSession, root: str, keep: int) -> list[str]:
