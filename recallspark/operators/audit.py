@@ -11,6 +11,7 @@ from recallspark.functions.rank import top_k
 from recallspark.functions.stamps import age_days
 from recallspark.operators.usage import combine
 from recallspark.schema import RecallError
+from recallspark.session import settle
 
 
 @dataclass(frozen=True)
@@ -174,7 +175,8 @@ def findings(
     records: DataFrame, usage: DataFrame, edges: DataFrame, projects: DataFrame, now: str,
     policy: Policy = Policy(),
 ) -> DataFrame:
-    return hold_back(judge(evidence(records, usage, edges, projects, now), policy), policy)
+    # Counted, ranked and joined below: written once rather than judged three times.
+    return hold_back(settle(judge(evidence(records, usage, edges, projects, now), policy)), policy)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -168,46 +168,53 @@ def personalized_pagerank(
         "query_id", F.col("node").alias("memory_id"), "rank")
 
 
+# Links one task takes of a single node; a node with more is split over several.
+HUB_LINKS = 100_000
+
+
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, iterations: int = 30, tolerance: float = 0.0, keep_lineage: int = 3
+    nodes: DataFrame, edges: DataFrame, iterations: int = 30, tolerance: float = 0.0, keep_lineage: int = 3,
+    hub_links: int = HUB_LINKS,
 ) -> DataFrame:
     """Whole-graph centrality per project: ``(project_id, memory_id, rank)``.
 
-    Links count both ways. Ranks are joined to links already laid out by source,
-    contributions combine map-side, and the lineage is cut on shared storage
-    every ``keep_lineage`` rounds, where convergence is also tested.
+    Links count both ways. They are laid out by source once, a hub's links dealt
+    over as many slots as it needs, and only a hub's rank is repeated per slot; so
+    each round moves ranks, never links, and no task holds a whole hub.
+    Contributions combine map-side. The lineage is cut on shared storage every
+    ``keep_lineage`` rounds, where convergence is also tested.
     """
     pair = F.inline(F.array(
         F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
         F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
-    links = (
+    links = settle(
         edges.select("project_id", edge_weight().alias("w"), pair)
-        .groupBy("project_id", "a", "b").agg(F.max("w").alias("w"))
-    )
-    out = links.groupBy("project_id", "a").agg(F.sum("w").alias("out"))
+        .groupBy("project_id", "a", "b").agg(F.max("w").alias("w")))
+    out = settle(links.groupBy("project_id", F.col("a").alias("memory_id")).agg(
+        F.sum("w").alias("out"), F.ceil(F.count("*") / hub_links).cast("int").alias("slots")))
+    key = ["project_id", "memory_id"]
     steps = cut_lineage(
-        links.join(out, ["project_id", "a"]).select(
-            "project_id", F.col("a").alias("memory_id"), "b", (F.col("w") / F.col("out")).alias("step"))
-        .repartition("project_id", "memory_id"))
+        links.withColumnRenamed("a", "memory_id").join(out, key).select(
+            *key, F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), "b",
+            (F.col("w") / F.col("out")).alias("step"))
+        .repartition(*key, "slot"))
     sizes = nodes.groupBy("project_id").agg(F.count("*").alias("size"))
-    linked = out.select("project_id", F.col("a").alias("memory_id"), F.lit(True).alias("linked"))
     base = cut_lineage(
-        nodes.select("project_id", "memory_id").join(sizes, "project_id")
-        .join(linked, ["project_id", "memory_id"], "left")
-        .select("project_id", "memory_id", (1.0 / F.col("size")).alias("start"),
-                F.coalesce("linked", F.lit(False)).alias("linked")))
+        nodes.select(*key).join(sizes, "project_id").join(out.select(*key, "slots"), key, "left")
+        .select(*key, (1.0 / F.col("size")).alias("start"), F.coalesce("slots", F.lit(0)).alias("slots")))
     ranks = base.withColumn("rank", F.col("start"))
     for done in range(1, iterations + 1):
+        sent = ranks.where(F.col("slots") > 0).select(
+            *key, "rank", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
         moved = (
-            steps.join(ranks.select("project_id", "memory_id", "rank"), ["project_id", "memory_id"])
+            steps.join(sent, [*key, "slot"])
             .groupBy("project_id", F.col("b").alias("memory_id"))
             .agg(F.sum(F.col("rank") * F.col("step")).alias("moved"))
         )
         spilt = ranks.groupBy("project_id").agg(
-            F.sum(F.when(~F.col("linked"), F.col("rank")).otherwise(0.0)).alias("spilt"))
+            F.sum(F.when(F.col("slots") == 0, F.col("rank")).otherwise(0.0)).alias("spilt"))
         fresh = (
-            ranks.withColumnRenamed("rank", "was")
-            .join(moved, ["project_id", "memory_id"], "left").join(spilt, "project_id")
+            ranks.withColumnRenamed("rank", "was").join(moved, key, "left").join(spilt, "project_id")
             .withColumn("rank", RESTART * F.col("start") + (1 - RESTART) * (
                 F.coalesce("moved", F.lit(0.0)) + F.col("spilt") * F.col("start")))
         )
@@ -217,10 +224,10 @@ def pagerank(
             change = fresh.groupBy("project_id").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change"))
             if tolerance > 0 and change.where(F.col("change") >= tolerance).isEmpty():
                 last = True
-        ranks = fresh.select("project_id", "memory_id", "start", "linked", "rank")
+        ranks = fresh.select(*key, "start", "slots", "rank")
         if last:
             break
-    return ranks.select("project_id", "memory_id", "rank")
+    return ranks.select(*key, "rank")
 
 
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, max_nodes: int = 25) -> tuple[DataFrame, DataFrame]:
