@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recallspark.functions.identity import fingerprint, token_hash
 from recallspark.functions.rank import six
 from recallspark.functions.text import fold_all, slugify, token_set, tokens
 from recallspark.operators import index
@@ -57,10 +58,16 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
                         six(F.col("text")).alias("text"))
 
 
+def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return src.table(spark, sf, "customer").select(
+        "c_custkey", fingerprint(F.col("c_name")).alias("fingerprint"), token_hash(F.col("c_name")).alias("token_hash"))
+
+
 QUERIES = {
     "tokenize_stats": token_stats,
     "token_document_frequency": page_token_df,
     "slugify": slugs,
+    "fingerprints": fingerprints,
     "bm25_topk": bm25_topk,
 }
 
@@ -74,6 +81,9 @@ SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_transform({sq
 FROM pages) GROUP BY term""",
     "slugify": """
 SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+FROM customer""",
+    "fingerprints": """
+SELECT c_custkey, 'SHA256:' || rtrim(to_base64(unhex(sha256(c_name))), '=') AS fingerprint, sha256(c_name) AS token_hash
 FROM customer""",
     "bm25_topk": sql("""
 SELECT query_id, rn, memory_id, round(raw, 6) AS score, round(text, 6) AS text FROM text_top""", "text_top"),

@@ -305,3 +305,21 @@ def test_search_refuses_unknown_status(spark):
     with pytest.raises(RecallError):
         search.status_filter(["active", "dead"])
     assert set(TABLES) >= {"records", "usage", "edges", "outbox"}
+
+
+def test_recall_across_reports_what_it_could_not_read(spark, tmp_path):
+    from recallspark.plans.federated import RANKED, recall_across, remember
+
+    ddl = "query_id int, rank int, uuid string, slug string, status string, description string, labels array<string>"
+    local = spark.createDataFrame([(1, 0, "u1", "mine", "active", "d", []), (1, 1, "u2", "both", "active", "d", [])], ddl)
+    team = spark.createDataFrame([(1, 0, "u2", "both", "active", "theirs", [])], ddl)
+    fused, answers, lost = recall_across(
+        local, {"team": lambda: team, "gone": lambda: spark.read.parquet(str(tmp_path / "nothing"))}, 5)
+    rows = fused.orderBy("rn").collect()
+    assert [r["slug"] for r in rows] == ["both", "mine"] and rows[0]["source"] == "team" and list(lost) == ["gone"]
+    held = spark.createDataFrame([("p", "u2", "first-name", "stale", "old", [], "team", "c", "2020")],
+                                 "project_id string, memory_id string, slug string, status string, description string, "
+                                 "labels array<string>, origin string, created string, cached_at string")
+    after = remember(held, answers, "p", NOW).head()
+    assert (after["slug"], after["created"], after["description"], after["cached_at"]) == ("first-name", "c", "theirs", NOW)
+    assert set(RANKED) < set(answers.columns)
