@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recallspark.functions.secrets import findings
 from recallspark.schema import MIN_PROMOTION_TIER
+from recallspark.session import settle
 
 KEY = ["project_id", "memory_id"]
+# Record ids (32 characters) shipped to every task up to this many.
+BROADCAST_IDS = 200_000
 
 
 def publication_state(records: DataFrame, cached: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def gate(requests: DataFrame, state: DataFrame, bodies: DataFrame, remotes: Data
     """
     known = remotes.select(F.col("name").alias("remote"), F.col("enabled").alias("_enabled"))
     asked = requests.join(state, ["project_id", "slug"], "left").join(known, "remote", "left")
-    text = bodies.select(*KEY, F.size(findings(F.col("text"))).alias("_secrets"))
+    text = bodies.select(*KEY, F.explode(findings(F.col("text")))).groupBy(*KEY).agg(F.count("*").alias("_secrets"))
     asked = asked.join(text, KEY, "left")
     outcome = (
         F.when(F.col("memory_id").isNull(), "unknown record")
@@ -79,11 +82,14 @@ def classify(queue: DataFrame, records: DataFrame, remotes: DataFrame, text: Col
     enabled = remotes.where("enabled").select(F.col("name").alias("remote"), F.lit(True).alias("_open"))
     rows = queue.join(state, "memory_id", "left").join(enabled, "remote", "left")
     waiting = rows.where(F.col("_here") & F.col("archived_at").isNull() & F.col("_open"))
-    scanned = (
-        records.join(waiting.select("memory_id").distinct(), "memory_id", "left_semi")
-        .select("memory_id", findings(text).alias("_found"))
-        .where(F.size("_found") > 0)
-    )
+    ids = settle(waiting.select("memory_id").distinct())
+    texts = records
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        # Few: scan only those texts, where they lie. Otherwise scan all, so that
+        # findings move and texts do not.
+        texts = records.join(F.broadcast(ids), "memory_id", "left_semi")
+    scanned = texts.select("memory_id", F.explode(findings(text)).alias("_f")).groupBy("memory_id").agg(
+        F.array_sort(F.collect_list("_f")).alias("_found"))
     rows = rows.join(scanned, "memory_id", "left")
     action = (
         F.when(F.col("_here").isNull() | F.col("archived_at").isNotNull(), "drop")
