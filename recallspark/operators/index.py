@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recallspark.functions.rank import top_k
 from recallspark.functions.text import fold_all, query_terms, token_set, tokens
 from recallspark.schema import BM25_B, BM25_K1, FIELD_WEIGHTS, IDF_FLOOR, TEXT_LIMIT
+from recallspark.session import settle
 
 
 
@@ -75,6 +76,10 @@ def explode_queries(queries: DataFrame) -> DataFrame:
 # Question terms are shipped to every task up to this many rows (about 60 bytes each).
 BROADCAST_TERMS = 200_000
 ITSELF = ""
+# A term in more than this share of all records is common.
+COMMON_SHARE = 0.1
+# Below this many (question term, record) meetings, two passes cost more than they save.
+SKIP_ABOVE = 1e8
 
 
 def wanted_postings(index: DataFrame, asked: DataFrame, keep: list[str], ship=lambda df: df) -> DataFrame:
@@ -101,6 +106,7 @@ def bm25(
     limit: int = TEXT_LIMIT,
     stats_by: list[str] | None = None,
     partition: list[str] | None = None,
+    skip_above: float = SKIP_ABOVE,
 ) -> DataFrame:
     """Best ``limit`` live records per query (and per ``partition`` value).
 
@@ -109,6 +115,8 @@ def bm25(
     are taken over the whole index, or separately per ``stats_by`` columns.
     Returns ``query_id, project_id, memory_id, raw, text, rn`` plus those
     columns; ``raw`` is rounded to nine places so ties are ties on any machine.
+    Once questions and records would meet in more than ``skip_above`` terms,
+    common terms are scored only where they can matter (same result).
     """
     scope = stats_by or []
     apart = partition or []
@@ -126,25 +134,63 @@ def bm25(
         F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy(*group, "term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = (
+    weights = settle(
         terms.join(df, "term")
         .join(stats, names)
         .select(
             "query_id", "project_id", "term", "times", *scope, "avgdl",
             F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("idf"),
-        )
-    )
-    f = F.col("f")
-    norm = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / F.col("avgdl"))
-    gain = F.col("times") * F.col("idf") * f * (BM25_K1 + 1) / (f + norm)
-    scored = (
-        postings.where("live")
-        .join(ship(weights), ["term", "project_id", *scope])
-        .groupBy("memory_id", "query_id", "project_id", *apart)
-        .agg(F.round(F.sum(gain), 9).alias("raw"))
-    )
+            (F.col("df") > F.col("n") * COMMON_SHARE).alias("common"), "df",
+        ))
+    live = postings.where("live")
+    on = ["term", "project_id", *scope]
+    work = weights.agg(F.sum("df")).head()[0] or 0.0
+    if scope or apart or work <= skip_above:
+        scored = _sum(_gains(live, ship(weights), on, apart), apart)
+    else:
+        scored = _skipping(live, weights, on, limit, ship)
     best = top_k(
         scored, ["query_id", *apart], [F.col("raw").desc(), F.col("memory_id")], limit)
+    best = best.join(queries.select("query_id", "project_id"), "query_id")
     top = F.max("raw").over(Window.partitionBy("query_id", *apart))
     return best.withColumn("text", F.greatest(F.lit(0.0), F.col("raw") / F.when(top == 0, 1.0).otherwise(top)))
 
+
+def _gains(postings: DataFrame, weights: DataFrame, on: list[str], apart: list[str]) -> DataFrame:
+    """What each term adds to each (record, query) pair it occurs in."""
+    f = F.col("f")
+    norm = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / F.col("avgdl"))
+    gain = F.col("times") * F.col("idf") * f * (BM25_K1 + 1) / (f + norm)
+    return postings.join(weights, on).select("memory_id", "query_id", *apart, gain.alias("gain"))
+
+
+def _sum(gains: DataFrame, apart: list[str]) -> DataFrame:
+    return gains.groupBy("memory_id", "query_id", *apart).agg(F.round(F.sum("gain"), 9).alias("raw"))
+
+
+def _skipping(live: DataFrame, weights: DataFrame, on: list[str], limit: int, ship) -> DataFrame:
+    """Scores of every pair that can still be among a query's best ``limit``.
+
+    A common term meets a large share of all records and adds little to each:
+    less than ``(k1 + 1) * idf``. So rare terms are scored first. The score of the
+    ``limit``-th best record by rare terms alone is one the final list certainly
+    reaches, and a record that stays below it even with everything the common
+    terms could add is out. Only the others are joined to common terms. A query
+    whose common terms could carry a record into the list on their own, or whose
+    rare terms find too few records, is scored in full. The result is exact.
+    """
+    slack = 1e-6  # far above the rounding of a sum, so ties are never skipped
+    rare = _gains(live, ship(weights.where(~F.col("common"))), on, []).groupBy("memory_id", "query_id").agg(
+        F.sum("gain").alias("part"))
+    sure = top_k(rare, ["query_id"], [F.col("part").desc(), F.col("memory_id")], limit).where(
+        F.col("rn") == limit).select("query_id", F.col("part").alias("sure"))
+    most = weights.groupBy("query_id").agg(
+        F.sum(F.when(F.col("common"), F.col("times") * F.col("idf") * (BM25_K1 + 1)).otherwise(0.0)).alias("most"))
+    bounds = settle(sure.join(most, "query_id").where(F.col("sure") > F.col("most") + slack))
+    open_pairs = rare.join(ship(bounds), "query_id").where(F.col("part") + F.col("most") >= F.col("sure") - slack)
+    first = open_pairs.select("memory_id", "query_id", F.col("part").alias("gain"))
+    rest = _gains(
+        live.join(first.select("memory_id", "query_id"), "memory_id"),
+        ship(weights.where("common")), ["query_id", *on], [])
+    whole = _gains(live, ship(weights.join(bounds, "query_id", "left_anti")), on, [])
+    return _sum(first.unionByName(rest).unionByName(whole), [])

@@ -301,6 +301,27 @@ def test_bm25_against_loops(spark):
     assert [r["memory_id"] for r in limited] == [k for _, k in best] and limited[0]["text"] == 1.0
 
 
+@pytest.mark.parametrize("limit", [1, 3, 10])
+def test_skipping_common_terms_changes_nothing(spark, limit):
+    """Two terms on most records, one on a third, rare ones; copies make exact ties."""
+    rows = []
+    for i in range(120):
+        words = ["the", "of"] if i % 7 else ["the"]
+        words += ["third"] if i % 3 == 0 else []
+        words += [f"r{i % 40}"] if i % 2 else []
+        words += [f"pad{j}" for j in range(i % 5)]
+        rows += [("p", f"d{i:03}{c}", " ".join(words), i % 13 != 0) for c in "ab"]
+    df = spark.createDataFrame(rows, "project_id string, memory_id string, description string, live boolean")
+    built = index.index_rows(df, {"description": F.col("description")}, ["project_id", "memory_id", "live"])
+    asked = spark.createDataFrame(
+        [(1, "p", "the of r1 r3 r5"), (2, "p", "the of"), (3, "p", "third r7 of"), (4, "p", "r9"), (5, "p", "third the"),
+         (6, "p", "r1 r3 r5 r7 r9 r11 the of third")], "query_id int, project_id string, query string")
+    plain = index.bm25(built, asked, limit=limit)
+    skipped = index.bm25(built, asked, limit=limit, skip_above=0)
+    key = lambda df: sorted((r["query_id"], r["rn"], r["memory_id"], r["raw"]) for r in df.collect())
+    assert key(plain) == key(skipped)
+
+
 def test_search_refuses_unknown_status(spark):
     with pytest.raises(RecallError):
         search.status_filter(["active", "dead"])
