@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from recallspark.functions.rank import top_k
 from recallspark.schema import CACHE_MAX_ROWS, CACHE_TTL_DAYS
 
 KEY = ["project_id", "memory_id"]
+STAMP_FORMAT = "%Y-%m-%dT%H:%M:%SZ"
 
 
 def refresh(held: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -32,9 +35,8 @@ def retained(
     Ranking stops at ``keep_most_recent`` rows per project, so the surplus, however
     large, is never sorted.
     """
-    cutoff = F.date_format(
-        F.timestamp_seconds(F.unix_timestamp(F.lit(now).cast("timestamp")) - max(0, older_than_days) * 86400),
-        "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    oldest = datetime.strptime(now, STAMP_FORMAT) - timedelta(days=max(0, older_than_days))
+    cutoff = oldest.strftime(STAMP_FORMAT)
     young = held.where(F.col("cached_at") >= cutoff)
     if keep_most_recent < 1:
         return young.limit(0)

@@ -13,7 +13,9 @@ from recallspark.operators.records import DOCUMENT_FIELDS
 from recallspark.schema import DOCUMENT, DOCUMENT_DDL, STARTER_LABELS, STANDING_DDL, RecallError
 
 # --------------------------------------------------------------- fixed values
-FORMAT = "project-memory-export"
+FORMAT = "recallspark-export"
+# Documents name the store that wrote them, then this.
+DOCUMENT_SUFFIX = "-export"
 FORMAT_VERSION = 3
 COUNTERS = ("surfaced", "surfaced_direct", "applied", "last_surfaced", "last_applied", "spread_bits", "spread_epoch")
 # ----------------------------------------------------------- end fixed values
@@ -70,7 +72,7 @@ def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     )
     text = spark.read.text(path, wholetext=True)
     doc = text.select(F.from_json(F.ltrim(F.col("value"), F.lit("\ufeff")), shape).alias("d")).select("d.*")
-    if doc.where(F.col("format") == FORMAT).isEmpty():
+    if doc.where(F.col("format").endswith(DOCUMENT_SUFFIX)).isEmpty():
         raise RecallError(f"{path} is not an export")
     projects = doc.select(F.explode("projects").alias("project_id", "p"))
     labels = projects.select("project_id", F.explode("p.labels").alias("label", "l")).select(
