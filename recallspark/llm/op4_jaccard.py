@@ -4,16 +4,23 @@ A set's parity sketch has one bit per hash cell, the parity of its elements ther
 Hamming distance of two sketches is at most the size of the sets' symmetric difference.
 Sets are put into size bands. In a band where linked sets differ in at most ``d``
 elements, a sketch has ``B > d`` blocks of 64 cells, and two linked sets agree in at least
-``B - d`` of them, so joining on (band, block number, block) misses no link. Blank blocks
-say little and are left out, unless a set has ``B - d`` or more of them. A set also enters
-the band below its own if smaller partners may be there.
-
-Equal sets are one class. Candidates are then settled without pairing groups with
-themselves: within a key everyone is compared with the key's smallest document. A task
-first does so among its own rows, so that a hot key sends one row per batch. Exact
-intersections decide. Only in keys whose members are still in different components are the
-members outside the key's largest component compared with those of other components.
-Every pair that agrees in a key is therefore verified or already connected.
+``B - d`` of them, so joining on (band, block number, block) misses no link. A set also
+enters the band below its own if smaller partners may be there.
+
+Two things keep the join selective. Shingles that very many texts share are left out of
+the sketches: that cannot enlarge a difference, so the bound holds for whatever list is
+left out. And blank blocks are not joined on: a set with fewer than ``B - d`` of them still
+agrees with each partner in another block. Sets with more (texts made of common passages)
+are looked up by a second sketch of all their elements as well, blank blocks included if
+need be, where they meet each other.
+
+Equal sets are one class. Candidates are settled without pairing groups with themselves:
+first every document is compared with the one it shares most keys with among the smallest
+of its keys (a task does so among its own rows, so that a hot key sends one row per batch).
+Exact intersections decide. Then, only in keys whose members are still in different
+components, the members outside the key's largest component are compared with those of
+other components, if they share as many keys as linked sets must. Every pair that could
+link is therefore verified or already connected.
 
 Defined results: a text with fewer words than a shingle is one shingle; null, empty and
 blank texts have empty sets and link with nothing; rows without an id get no component;
@@ -28,11 +35,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from recallspark.llm import blocks
 from recallspark.llm.links import components
+from recallspark.llm.op2_langid import Lookup
 from recallspark.session import settle
 
 WORDS, SHARE = 4, 85
 BAND = 1.5
 CELLS = 64
+#: A shingle that so many different sets of a batch share may be common; at most so many are left out of sketches.
+OFTEN, COMMON = 3, 1_000_000
 CHECK_CELLS = 2048
 
 
@@ -77,7 +87,9 @@ def bands(share: int, most: int) -> list[tuple[int, int, int, int]]:
 
 def _blocks_of(sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set number, block number and parity word of every block that has elements (hashes ascend, so blocks do)."""
-    flat = np.concatenate(sets)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     block = ((flat >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (of[1:] != of[:-1])]))
@@ -85,33 +97,47 @@ def _blocks_of(sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarra
     return of[first], block[first].astype(np.int64), word
 
 
-def sketch_keys(sets: list[np.ndarray], share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set number and join key of every block that a set is looked up by."""
+def _keys_of(sets, owner, low, count, d, kind):
+    """Owner, key and least number of keys shared with a linked set, per block; owners with too many blanks."""
+    of, block, word = _blocks_of(sets, count)
+    of, block, word = of[word != 0], block[word != 0], word[word != 0]
+    blank = count - np.bincount(of, minlength=len(sets))
+    need = np.maximum(count - d - blank, 1)
+    return owner[of], _tag(low, count, kind, block, word), need[of], blank >= count - d, of, block
+
+
+def _tag(low, count, kind, block, word):
+    place = (block + (low * 1_000_003 + count * 7 + kind)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return blocks.mix(blocks.mix(place + np.uint64(kind)) ^ word * np.uint64(0xD6E8FEB86659FD93))
+
+
+def sketch_keys(sets: list[np.ndarray], share: int, common: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set number, join key and ``need`` of every block that a set is looked up by."""
     size = np.array([len(x) for x in sets], np.int64)
-    owner, keys = [], []
-    table = bands(share, int(size.max(initial=0)))
-    for number, (low, high, d, count) in enumerate(table):
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    keep = common.find(flat) < 0
+    at = np.concatenate([[0], np.cumsum(size)])
+    rare = [x[keep[a:b]] for x, a, b in zip(sets, at[:-1], at[1:])]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for low, high, d, count in bands(share, int(size.max(initial=0))):
         # Larger partners of this band's sets come from the band above.
         pick = np.flatnonzero((size >= low) & (size * share <= (high - 1) * 100))
         if not len(pick):
             continue
-        of, block, word = _blocks_of([sets[i] for i in pick], count)
-        of, block, word = of[word != 0], block[word != 0], word[word != 0]
-        blank = count - np.bincount(of, minlength=len(pick))
-        poor = np.flatnonzero(blank >= count - d)
-        if len(poor):
-            grid = np.ones((len(pick), count), bool)[poor]
-            inside = np.isin(of, poor)
-            grid[np.searchsorted(poor, of[inside]), block[inside]] = False
-            more_of, more_block = np.nonzero(grid)
-            of, block = np.concatenate([of, poor[more_of]]), np.concatenate([block, more_block])
-            word = np.concatenate([word, np.zeros(len(more_of), np.uint64)])
-        tag = (block + (low * 1_000_003 + count)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(count)
-        owner.append(pick[of])
-        keys.append(blocks.mix(blocks.mix(tag) ^ word * np.uint64(0xD6E8FEB86659FD93)))
-    if not owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owner), np.concatenate(keys)
+        owner, key, need, poor, _, _ = _keys_of([rare[i] for i in pick], pick, low, count, d, 0)
+        out.append((owner, key, need))
+        pick = pick[poor]
+        if not len(pick):
+            continue
+        owner, key, need, poor, of, block = _keys_of([sets[i] for i in pick], pick, low, count, d, 1)
+        out.append((owner, key, need))
+        if poor.any():
+            grid = np.ones((len(pick), count), bool)
+            grid[of, block] = False
+            grid[~poor] = False
+            of, block = np.nonzero(grid)
+            out.append((pick[of], _tag(low, count, 1, block, np.zeros(len(of), np.uint64)), np.ones(len(of), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _batches(batch, words):
@@ -131,27 +157,38 @@ def _identity(sets):
 
 
 def set_sizes(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``id, n, s1, s2`` of every row: its set's size and identity."""
+    """``id, n, s1, s2, sketch`` of every row: its set's size, identity and a parity sketch of one size
+    for all; and, in rows of their own, ``shingle, times``: what several different sets of a batch share."""
     source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
     def run(batches):
         for batch in batches:
             sets = _batches(batch, words)
             s1, s2 = _identity(sets)
+            _, alone = np.unique(np.stack([s1, s2]), axis=1, return_index=True) if len(sets) else (None, [])
+            shingle, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in alone)]), return_counts=True)
+            shingle, times = shingle[times >= OFTEN], times[times >= OFTEN]
+            none, blank = pa.nulls(len(shingle), pa.int64()), pa.nulls(len(sets), pa.int64())
+            sketches = np.zeros((len(sets), CHECK_CELLS // CELLS), np.uint64)
+            of, block, word = _blocks_of(sets, CHECK_CELLS // CELLS)
+            sketches[of, block] = word
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))],
-                ["id", "n", "s1", "s2"])
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                 _lists(list(sketches)), blank, blank], names)
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(len(shingle), pa.list_(pa.int64())), pa.array(shingle.view(np.int64)), pa.array(times)], names)
 
-    return source.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint")
+    names = ["id", "n", "s1", "s2", "sketch", "shingle", "times"]
+    return source.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>, shingle bigint, times bigint")
 
 
-def key_rows(df: DataFrame, key: str, text: str, words: int, share: int) -> DataFrame:
-    """``deal, key, id, pivot``: what each set is looked up by, once per batch and equal set.
+def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common: np.ndarray) -> DataFrame:
+    """``deal, key, id, pivot, need``: what each set is looked up by, once per batch and equal set.
 
     Where several rows of a batch have a key, all but the smallest id point to it at once
     (``pivot`` differs from ``id``) and are dealt out by themselves.
     """
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
+    sent = df.sparkSession.sparkContext.broadcast(Lookup(common))
 
     def run(batches):
         for batch in batches:
@@ -159,120 +196,135 @@ def key_rows(df: DataFrame, key: str, text: str, words: int, share: int) -> Data
             sets = _batches(batch, words)
             s1, s2 = _identity(sets)
             order = np.lexsort((ids, s2, s1))
-            same = np.concatenate([[False], (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])])
+            same = np.concatenate([[False], (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])])[: len(order)]
             alone = order[~same]
-            owner, keys = sketch_keys([sets[i] for i in alone], share)
+            owner, keys, need = sketch_keys([sets[i] for i in alone], share, sent.value)
             owner = ids[alone][owner]
             order = np.lexsort((owner, keys))
-            keys, owner = keys[order], owner[order]
+            keys, owner, need = keys[order], owner[order], need[order].astype(np.int16)
             first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             pivot = owner[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else owner
             deal = np.where(pivot == owner, keys, blocks.mix(keys ^ owner.astype(np.uint64)))
             for a in range(0, len(keys), 500_000):
                 part = slice(a, a + 500_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[part]) for x in (deal.view(np.int64), keys.view(np.int64), owner, pivot)], ["deal", "key", "id", "pivot"])
+                    [pa.array(x[part]) for x in (deal.view(np.int64), keys.view(np.int64), owner, pivot, need)], ["deal", "key", "id", "pivot", "need"])
 
-    return source.mapInArrow(run, "deal bigint, key bigint, id bigint, pivot bigint")
+    return source.mapInArrow(run, "deal bigint, key bigint, id bigint, pivot bigint, need smallint")
 
 
 def point_to_smallest(rows: DataFrame) -> DataFrame:
-    """``key, id, pivot`` with different ids: every member of a shared key but its smallest.
+    """``key, id, need, pivot, pivot_need``: every member of a shared key but its smallest, which it points to.
 
-    Streams over sorted partitions, remembering one key and its first id.
+    Streams over sorted partitions, remembering one key and its first member.
     """
 
     def run(batches):
-        last_key, last_pivot = None, None
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids, pivot = (batch.column(i).to_numpy() for i in range(3))
-            lone = pivot == ids
-            out = [(key[~lone], ids[~lone], pivot[~lone])]
-            key, ids = key[lone], ids[lone]
+            key, ids, pivot, need = (batch.column(i).to_numpy() for i in range(4))
+            away = pivot != ids
+            out = [(key[away], ids[away], need[away], pivot[away], need[away])]
+            key, ids, need = key[~away], ids[~away], need[~away]
             if len(key):
-                first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-                group = np.cumsum(first) - 1
-                starts = ids[first]
-                target = np.where(group >= 0, starts[np.maximum(group, 0)] if len(starts) else last_pivot or 0, last_pivot or 0)
-                move = ~first & (target != ids)
-                out.append((key[move], ids[move], target[move]))
-                last_key, last_pivot = key[-1], target[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "id", "pivot"])
+                if last is not None:
+                    key, ids, need = (np.concatenate([[x], y]) for x, y in zip(last, (key, ids, need)))
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                lead = np.repeat(start, np.diff(np.append(start, len(key))))
+                move = ids != ids[lead]
+                out.append((key[move], ids[move], need[move], ids[lead][move], need[lead][move]))
+                last = key[-1], ids[lead[-1]], need[lead[-1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(zip(*out), ("i8", "i8", "i2", "i8", "i2"))],
+                ["key", "id", "need", "pivot", "pivot_need"])
 
     dealt = rows.repartition(blocks.parts(rows), "deal").sortWithinPartitions("key", "id")
-    return dealt.select("key", "id", "pivot").mapInArrow(run, "key bigint, id bigint, pivot bigint")
+    return dealt.select("key", "id", "pivot", "need").mapInArrow(run, "key bigint, id bigint, need smallint, pivot bigint, pivot_need smallint")
 
 
-def set_rows(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``id, hashes, sketch``: whole sets, and parity sketches of one size for all."""
-    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
 
-    def lists(arrays):
-        offs = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+def set_rows(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
+    """``id, hashes``: whole sets of the wanted documents."""
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
     def run(batches):
         for batch in batches:
             sets = _batches(batch, words)
-            sketches = np.zeros((len(sets), CHECK_CELLS // CELLS), np.uint64)
-            of, block, word = _blocks_of(sets, CHECK_CELLS // CELLS) if sum(map(len, sets)) else (np.zeros(0, int),) * 3
-            sketches[of, block] = word
             for a in range(0, len(sets), 1000):
-                part = slice(a, a + 1000)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], lists(sets[part]), lists(list(sketches[part]))], ["id", "hashes", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a: a + 1000], _lists(sets[a: a + 1000])], ["id", "hashes"])
 
-    return source.mapInArrow(run, "id bigint, hashes array<bigint>, sketch array<bigint>")
+    return texts.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those ``a, b`` whose sets reach the share; distant sketches are ruled out before sets move."""
+def verified(pairs: DataFrame, sketches: DataFrame, sets_of, share: int) -> DataFrame:
+    """Those ``a, b`` whose sets reach the share.
+
+    The distance of the sketches rules most others out; only then are whole sets made
+    (``sets_of`` the ids that remain) and intersected. The ids are settled first: while they
+    are few, Spark sends them to the texts by itself and no text is shuffled.
+    """
     near = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
-    side = lambda one, names: sets.select(F.col("id").alias(one), *names)
-    size = F.size("hashes").alias
-    close = (
-        pairs.join(side("a", [F.col("sketch").alias("x"), size("na")]), "a").join(side("b", [F.col("sketch").alias("y"), size("nb")]), "b")
+    side = lambda one, of, n: sketches.select(F.col("rep").alias(one), F.col("sketch").alias(of), F.col("n").alias(n))
+    close = settle(
+        pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b")
         .where(F.greatest("na", "nb") * share <= F.least("na", "nb") * 100)
-        .where(near * (100 + share) <= (F.col("na") + F.col("nb")) * (100 - share)).select("a", "b")
-    )
-    both = close.join(side("a", [F.col("hashes").alias("x")]), "a").join(side("b", [F.col("hashes").alias("y")]), "b")
+        .where(near * (100 + share) <= (F.col("na") + F.col("nb")) * (100 - share)).select("a", "b").distinct())
+    sets = settle(sets_of(settle(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())))
+    both = (close.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("i", shared).where(100 * F.col("i") >= share * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
+    return settle(both.withColumn("i", shared).where(100 * F.col("i") >= share * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"))
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
     """Per row: the key, ``n_shingles`` and ``component_id``."""
-    rows = settle(set_sizes(df, key, text, words))
+    seen = settle(set_sizes(df, key, text, words))
+    common = (seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+              .orderBy(F.desc("times"), "shingle").limit(COMMON).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
+    rows = seen.where("shingle is null")
     classes = rows.where("id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    rows = settle(rows.join(classes, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    rows = settle(rows.join(classes, ["s1", "s2", "n"], "left")
+                  .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     rep = rows.where("id is not null").select("id", "rep").distinct()
 
-    keyed = settle(point_to_smallest(key_rows(df, key, text, words, share)))
-    known = rep.withColumnRenamed("id", "x")
-    stars = keyed.groupBy("id").agg(F.min("pivot").alias("pivot"))
-    stars = settle(
-        stars.join(known.toDF("id", "a"), "id").join(known.toDF("pivot", "b"), "pivot")
-        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    members = keyed.select("key", "id").union(keyed.select("key", "pivot"))
-    wanted = keyed.select("id").union(keyed.select("pivot")).distinct().join(known.toDF("id", "rep"), "id").select("rep").distinct()
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("rep"), F.col(text).alias("t"))
-    sets = settle(set_rows(texts.join(wanted, "rep", "left_semi"), "rep", "t", words))
-    links = settle(verified(stars, sets, share))
+    keyed = settle(point_to_smallest(key_rows(df, key, text, words, share, common)))
+    known = rep.toDF("id", "a"), rep.toDF("pivot", "b")
+    stars = (keyed.groupBy("id", "pivot").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+             .groupBy("id").agg(F.max_by(F.struct("pivot", "n", "need"), F.struct("n", "pivot")).alias("x")).where("x.n >= x.need")
+             .select("id", "x.pivot"))
+    stars = settle(stars.join(known[0], "id").join(known[1], "pivot")
+                   .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sketches = seen.where("shingle is null and id is not null and n > 0").select(F.col("id").alias("rep"), "n", "sketch")
+
+    def sets_of(ids):
+        return set_rows(df, key, text, words, ids)
+
+    links = verified(stars, sketches, sets_of, share)
 
     found = components(links).toDF("rep", "component")
-    placed = (members.join(rep, "id").select("key", "rep").distinct().join(found, "rep", "left")
-              .select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    members = keyed.select("key", "id", "need").union(keyed.select("key", "pivot", "pivot_need"))
+    placed = (members.join(rep, "id").groupBy("key", "rep").agg(F.min("need").alias("need")).join(found, "rep", "left")
+              .select("key", "rep", "need", F.coalesce("component", "rep").alias("component")))
     placed = settle(placed)
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = settle(placed.join(split, "key", "left_semi"))
     largest = (open_.groupBy("key", "component").agg(F.count("*").alias("n"))
                .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    aside = open_.join(largest, "key").where("component <> main").select("key", F.col("rep").alias("p"), F.col("component").alias("c"))
-    pairs = (aside.join(open_, "key").where("c <> component")
-             .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    links = links.union(settle(verified(settle(pairs), sets, share)))
+    aside = (open_.join(largest, "key").where("component <> main")
+             .select("key", F.col("rep").alias("p"), F.col("component").alias("c"), F.col("need").alias("p_need")))
+    # A pair of two members aside comes up from both sides, hence from its smaller one only.
+    pairs = (
+        aside.join(open_.join(largest, "key"), "key").where("c <> component and (component = main or p < rep)")
+        .groupBy(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
+        .agg(F.count("*").alias("n"), F.min("need").alias("x"), F.min("p_need").alias("y"))
+        .where("n >= x and n >= y").select("a", "b").join(stars, ["a", "b"], "left_anti"))
+    links = links.union(verified(pairs, sketches, sets_of, share))
 
     final = components(links).toDF("rep", "component_id")
     return rows.join(final, "rep", "left").select(
