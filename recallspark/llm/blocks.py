@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recallspark import session
+
 SLICE = 2 << 20
 #: ASCII white space, bytes 0x20 and 0x09 to 0x0D: what ends a word.
 SPACE = np.zeros(256, bool)
@@ -114,3 +116,14 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def per_row(rows: np.ndarray, n: int) -> np.ndarray:
     """Bounds of each row's run in a sorted row index."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A step written to shared storage and read back, and the disk of the steps before it freed.
+
+    Spark removes shuffle files once the driver has collected what refers to them, which a
+    quiet driver may put off for half an hour; a run of many steps asks for it.
+    """
+    out = session.settle(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
