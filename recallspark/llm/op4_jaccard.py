@@ -14,13 +14,18 @@ agrees with each partner in another block. Sets with more (texts made of common
 are looked up by a second sketch of all their elements as well, blank blocks included if
 need be, where they meet each other.
 
-Equal sets are one class. Candidates are settled without pairing groups with themselves:
-first every document is compared with the one it shares most keys with among the smallest
-of its keys (a task does so among its own rows, so that a hot key sends one row per batch).
+Linked sets share at least ``B - d - blanks`` keys. Of its keys that anyone shares, a set
+therefore needs only the rarest (all but that number less one, by a common order), and
+none at all if it shares fewer: texts that are alike, but not enough, drop out here
+instead of being paired.
+
+Equal sets are one class. What is left is settled without pairing groups with themselves:
+first every document is compared with the one it meets most often as a key's smallest.
 Exact intersections decide. Then, only in keys whose members are still in different
 components, the members outside the key's largest component are compared with those of
-other components, if they share as many keys as linked sets must. Every pair that could
-link is therefore verified or already connected.
+other components. Every pair that could link is therefore verified or already connected.
+A task passes on one row per key; the others of its batch are dealt out by themselves, so
+that a hot key sends one row per batch to one place.
 
 Defined results: a text with fewer words than a shingle is one shingle; null, empty and
 blank texts have empty sets and link with nothing; rows without an id get no component;
@@ -31,12 +36,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from recallspark.llm import blocks
+from recallspark.llm.blocks import settle
 from recallspark.llm.links import components
 from recallspark.llm.op2_langid import Lookup
-from recallspark.session import settle
 
 WORDS, SHARE = 4, 85
 BAND = 1.5
@@ -97,13 +102,15 @@ def _blocks_of(sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarra
     return of[first], block[first].astype(np.int64), word
 
 
-def _keys_of(sets, owner, low, count, d, kind):
-    """Owner, key and least number of keys shared with a linked set, per block; owners with too many blanks."""
+def _keys_of(sets, owner, size, low, high, count, kind, share):
+    """Owner, key and number of keys shared with a linked set, per block; owners with too many blanks."""
     of, block, word = _blocks_of(sets, count)
     of, block, word = of[word != 0], block[word != 0], word[word != 0]
     blank = count - np.bincount(of, minlength=len(sets))
-    need = np.maximum(count - d - blank, 1)
-    return owner[of], _tag(low, count, kind, block, word), need[of], blank >= count - d, of, block
+    partner = np.where(size >= high, high - 1, size * 100 // share)
+    agree = count - (100 - share) * (size + partner) // (100 + share)
+    need = np.maximum(agree - blank, 1)
+    return owner[of], _tag(low, count, kind, block, word), need[of], blank >= agree, of, block
 
 
 def _tag(low, count, kind, block, word):
@@ -111,32 +118,33 @@ def _tag(low, count, kind, block, word):
     return blocks.mix(blocks.mix(place + np.uint64(kind)) ^ word * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch_keys(sets: list[np.ndarray], share: int, common: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set number, join key and ``need`` of every block that a set is looked up by."""
+def sketch_keys(sets: list[np.ndarray], share: int, common: Lookup) -> tuple[np.ndarray, ...]:
+    """Set number, join key, ``need`` and lane (one per band and sketch) of every block that a set is looked up by."""
     size = np.array([len(x) for x in sets], np.int64)
     flat = np.concatenate([np.zeros(0, np.uint64), *sets])
     keep = common.find(flat) < 0
     at = np.concatenate([[0], np.cumsum(size)])
     rare = [x[keep[a:b]] for x, a, b in zip(sets, at[:-1], at[1:])]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    for low, high, d, count in bands(share, int(size.max(initial=0))):
+    none = np.zeros(0, np.int64)
+    out = [(none, none.astype(np.uint64), none, none)]
+    for number, (low, high, d, count) in enumerate(bands(share, int(size.max(initial=0)))):
         # Larger partners of this band's sets come from the band above.
         pick = np.flatnonzero((size >= low) & (size * share <= (high - 1) * 100))
-        if not len(pick):
-            continue
-        owner, key, need, poor, _, _ = _keys_of([rare[i] for i in pick], pick, low, count, d, 0)
-        out.append((owner, key, need))
-        pick = pick[poor]
-        if not len(pick):
-            continue
-        owner, key, need, poor, of, block = _keys_of([sets[i] for i in pick], pick, low, count, d, 1)
-        out.append((owner, key, need))
-        if poor.any():
-            grid = np.ones((len(pick), count), bool)
-            grid[of, block] = False
-            grid[~poor] = False
-            of, block = np.nonzero(grid)
-            out.append((pick[of], _tag(low, count, 1, block, np.zeros(len(of), np.uint64)), np.ones(len(of), np.int64)))
+        for kind, of_sets in ((0, rare), (1, sets)):
+            if not len(pick):
+                break
+            owner, key, need, poor, of, block = _keys_of([of_sets[i] for i in pick], pick, size[pick], low, high, count, kind, share)
+            lane = np.full(len(key), 2 * number + kind)
+            if kind and poor.any():
+                lane, need = lane.copy(), np.where(poor[of], 1, need)
+                grid = np.ones((len(pick), count), bool)
+                grid[of, block] = False
+                grid[~poor] = False
+                of, block = np.nonzero(grid)
+                owner, key = np.append(owner, pick[of]), np.append(key, _tag(low, count, 1, block, np.zeros(len(of), np.uint64)))
+                need, lane = np.append(need, np.ones(len(of), np.int64)), np.append(lane, np.full(len(of), 2 * number + 1))
+            out.append((owner, key, need, lane))
+            pick = pick[poor]
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -181,11 +189,13 @@ def set_sizes(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return source.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>, shingle bigint, times bigint")
 
 
+LONE, LEADS, FOLLOWS = 0, 1, 2
+
+
 def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common: np.ndarray) -> DataFrame:
-    """``deal, key, id, pivot, need``: what each set is looked up by, once per batch and equal set.
+    """``deal, key, id, need, lane, role``: what each set is looked up by, once per batch and equal set.
 
-    Where several rows of a batch have a key, all but the smallest id point to it at once
-    (``pivot`` differs from ``id``) and are dealt out by themselves.
+    Where several rows of a batch have a key, the smallest id leads; the others are dealt out by themselves.
     """
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     sent = df.sparkSession.sparkContext.broadcast(Lookup(common))
@@ -198,50 +208,61 @@ def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common:
             order = np.lexsort((ids, s2, s1))
             same = np.concatenate([[False], (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])])[: len(order)]
             alone = order[~same]
-            owner, keys, need = sketch_keys([sets[i] for i in alone], share, sent.value)
+            owner, keys, need, lane = sketch_keys([sets[i] for i in alone], share, sent.value)
             owner = ids[alone][owner]
             order = np.lexsort((owner, keys))
-            keys, owner, need = keys[order], owner[order], need[order].astype(np.int16)
-            first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-            pivot = owner[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else owner
-            deal = np.where(pivot == owner, keys, blocks.mix(keys ^ owner.astype(np.uint64)))
+            keys, owner, need, lane = (x[order] for x in (keys, owner, need, lane))
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+            role = np.where(first, np.where(np.append(first[1:], True)[: len(keys)], LONE, LEADS), FOLLOWS)
+            deal = np.where(first, keys, blocks.mix(keys ^ owner.astype(np.uint64)))
             for a in range(0, len(keys), 500_000):
                 part = slice(a, a + 500_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[part]) for x in (deal.view(np.int64), keys.view(np.int64), owner, pivot, need)], ["deal", "key", "id", "pivot", "need"])
+                    [pa.array(x[part]) for x in (deal.view(np.int64), keys.view(np.int64), owner, need.astype("i2"), lane.astype("i2"), role.astype("i1"))],
+                    ["deal", "key", "id", "need", "lane", "role"])
 
-    return source.mapInArrow(run, "deal bigint, key bigint, id bigint, pivot bigint, need smallint")
+    return source.mapInArrow(run, "deal bigint, key bigint, id bigint, need smallint, lane smallint, role tinyint")
 
 
-def point_to_smallest(rows: DataFrame) -> DataFrame:
-    """``key, id, need, pivot, pivot_need``: every member of a shared key but its smallest, which it points to.
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """``key, id, need, lane`` of the keys that several rows have.
 
-    Streams over sorted partitions, remembering one key and its first member.
+    Streams over sorted partitions; of the last key it remembers the first row, and whether that was given out.
     """
 
     def run(batches):
-        last = None
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids, pivot, need = (batch.column(i).to_numpy() for i in range(4))
-            away = pivot != ids
-            out = [(key[away], ids[away], need[away], pivot[away], need[away])]
-            key, ids, need = key[~away], ids[~away], need[~away]
-            if len(key):
-                if last is not None:
-                    key, ids, need = (np.concatenate([[x], y]) for x, y in zip(last, (key, ids, need)))
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            follows = columns[4] == FOLLOWS
+            out = [[c[follows] for c in columns[:4]]]
+            columns = [c[~follows] for c in columns]
+            given = np.zeros(len(columns[0]), bool)
+            if len(given):
+                if held:
+                    columns, given = [np.concatenate(x) for x in zip(held[0], columns)], np.append(held[1], given)
+                key = columns[0]
                 start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                lead = np.repeat(start, np.diff(np.append(start, len(key))))
-                move = ids != ids[lead]
-                out.append((key[move], ids[move], need[move], ids[lead][move], need[lead][move]))
-                last = key[-1], ids[lead[-1]], need[lead[-1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(zip(*out), ("i8", "i8", "i2", "i8", "i2"))],
-                ["key", "id", "need", "pivot", "pivot_need"])
+                size = np.diff(np.append(start, len(key)))
+                several = np.repeat((size > 1) | np.logical_or.reduceat(columns[4] == LEADS, start), size)
+                out.append([c[several & ~given] for c in columns[:4]])
+                held = [c[start[-1:]] for c in columns], several[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "id", "need", "lane"])
 
-    dealt = rows.repartition(blocks.parts(rows), "deal").sortWithinPartitions("key", "id")
-    return dealt.select("key", "id", "pivot", "need").mapInArrow(run, "key bigint, id bigint, need smallint, pivot bigint, pivot_need smallint")
+    dealt = rows.repartition(blocks.parts(rows), "deal").sortWithinPartitions("key")
+    return dealt.select("key", "id", "need", "lane", "role").mapInArrow(run, "key bigint, id bigint, need smallint, lane smallint")
+
+
+def needed(members: DataFrame) -> DataFrame:
+    """``key, id``: of each document's shared keys those that a linked partner cannot all avoid, rarest first."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    mine = Window.partitionBy("id", "lane")
+    ranked = members.join(sizes, "key").select(
+        "key", "id", "need", F.row_number().over(mine.orderBy("size", "key")).alias("rank"), F.count("*").over(mine).alias("n"))
+    kept = ranked.where("rank <= n - need + 1").select("key", "id")
+    return kept.join(kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key", "left_semi")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -293,37 +314,30 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
                   .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     rep = rows.where("id is not null").select("id", "rep").distinct()
 
-    keyed = settle(point_to_smallest(key_rows(df, key, text, words, share, common)))
-    known = rep.toDF("id", "a"), rep.toDF("pivot", "b")
-    stars = (keyed.groupBy("id", "pivot").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-             .groupBy("id").agg(F.max_by(F.struct("pivot", "n", "need"), F.struct("n", "pivot")).alias("x")).where("x.n >= x.need")
-             .select("id", "x.pivot"))
-    stars = settle(stars.join(known[0], "id").join(known[1], "pivot")
-                   .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    members = settle(shared_keys(key_rows(df, key, text, words, share, common)))
+    members = settle(needed(members).join(rep, "id").select("key", "rep").distinct())
+    leads = members.groupBy("key").agg(F.min("rep").alias("lead"))
+    stars = (members.join(leads, "key").where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
+             .groupBy("rep").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")))
+    stars = settle(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     sketches = seen.where("shingle is null and id is not null and n > 0").select(F.col("id").alias("rep"), "n", "sketch")
 
     def sets_of(ids):
         return set_rows(df, key, text, words, ids)
 
     links = verified(stars, sketches, sets_of, share)
-
     found = components(links).toDF("rep", "component")
-    members = keyed.select("key", "id", "need").union(keyed.select("key", "pivot", "pivot_need"))
-    placed = (members.join(rep, "id").groupBy("key", "rep").agg(F.min("need").alias("need")).join(found, "rep", "left")
-              .select("key", "rep", "need", F.coalesce("component", "rep").alias("component")))
-    placed = settle(placed)
+    placed = settle(members.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = settle(placed.join(split, "key", "left_semi"))
+    open_ = placed.join(split, "key", "left_semi")
     largest = (open_.groupBy("key", "component").agg(F.count("*").alias("n"))
                .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    aside = (open_.join(largest, "key").where("component <> main")
-             .select("key", F.col("rep").alias("p"), F.col("component").alias("c"), F.col("need").alias("p_need")))
+    open_ = settle(open_.join(largest, "key"))
+    aside = open_.where("component <> main").select("key", F.col("rep").alias("p"), F.col("component").alias("c"))
     # A pair of two members aside comes up from both sides, hence from its smaller one only.
     pairs = (
-        aside.join(open_.join(largest, "key"), "key").where("c <> component and (component = main or p < rep)")
-        .groupBy(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
-        .agg(F.count("*").alias("n"), F.min("need").alias("x"), F.min("p_need").alias("y"))
-        .where("n >= x and n >= y").select("a", "b").join(stars, ["a", "b"], "left_anti"))
+        aside.join(open_, "key").where("c <> component and (component = main or p < rep)")
+        .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
     links = links.union(verified(pairs, sketches, sets_of, share))
 
     final = components(links).toDF("rep", "component_id")
