@@ -46,7 +46,7 @@ def test_running_sum_by_hand(spark):
     rows = [(i, "x " * (i % 5 + 1), "s") for i in range(40)] + [(100 + i, "y", "t") for i in range(4)]
     got = {r._key: r for r in op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     u = int(hashlib.md5(b"mix:s:s").hexdigest()[:8], 16) / 2**32
-    for p, (i, _, _) in enumerate(sorted(rows[:40], key=lambda r: (len(r[1]), r[0]))):
+    for p, (i, _, _) in enumerate(sorted(rows[:40], key=lambda r: (len(r[1]), int(hashlib.md5(str(r[0]).encode()).hexdigest()[:8], 16) % 8, r[0]))):
         rate = got[i].target / got[i].source_size
         assert got[i].copies == math.floor((p + 1) * rate + u) - math.floor(p * rate + u)
 
