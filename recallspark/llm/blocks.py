@@ -119,11 +119,11 @@ def per_row(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A step written to shared storage and read back, and the disk of the steps before it freed.
+    """A step written to shared storage and read back, the disk of the steps before it freed first.
 
     Spark removes shuffle files once the driver has collected what refers to them, which a
-    quiet driver may put off for half an hour; a run of many steps asks for it.
+    quiet driver may put off for half an hour; a run of many steps asks for it. What the last
+    write used is still referred to when it returns, hence before the next one.
     """
-    out = session.settle(df)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return session.settle(df)

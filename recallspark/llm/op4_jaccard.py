@@ -261,7 +261,7 @@ def needed(members: DataFrame) -> DataFrame:
     mine = Window.partitionBy("id", "lane")
     ranked = members.join(sizes, "key").select(
         "key", "id", "need", F.row_number().over(mine.orderBy("size", "key")).alias("rank"), F.count("*").over(mine).alias("n"))
-    kept = ranked.where("rank <= n - need + 1").select("key", "id")
+    kept = settle(ranked.where("rank <= n - need + 1").select("key", "id"))
     return kept.join(kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key", "left_semi")
 
 
