@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recallspark import session
 
@@ -36,6 +36,11 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shape(source: DataFrame, key: str, rest: str) -> T.StructType:
+    """The key's own field, whatever its type, and further fields."""
+    return T.StructType([source.schema[key], *T.StructType.fromDDL(rest).fields])
+
+
 def remainder(column, by: int):
     """``crc32`` of an id's text modulo ``by``; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % by, F.lit(0)).cast("int")

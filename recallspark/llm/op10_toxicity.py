@@ -313,7 +313,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def _evidence(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches):
         decoder = Decoder(sent.value.bits)
@@ -324,7 +323,7 @@ def _evidence(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(found), pa.array(sent.value.score(found))], ["_key", "evidence", "score"])
 
-    return source.mapInArrow(run, f"_key {kind}, evidence double, score double").withColumnRenamed("_key", key)
+    return source.mapInArrow(run, blocks.shape(source, "_key", "evidence double, score double")).withColumnRenamed("_key", key)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -336,7 +335,6 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 def restore(df: DataFrame, bits: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and ``words``: the text's words as meant, restored ones after the row's plain ones."""
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches):
         decoder = Decoder(bits)
@@ -348,7 +346,7 @@ def restore(df: DataFrame, bits: np.ndarray, key: str = "doc_id", text: str = "t
                 found = [[flat[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(s[i:j], e[i:j])] for i, j in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.string()))], ["_key", "words"])
 
-    return source.mapInArrow(run, f"_key {kind}, words array<string>").withColumnRenamed("_key", key)
+    return source.mapInArrow(run, blocks.shape(source, "_key", "words array<string>")).withColumnRenamed("_key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -186,7 +186,6 @@ def predict(df: DataFrame, prices: Prices, key: str = "doc_id", text: str = "tex
     sent = df.sparkSession.sparkContext.broadcast(prices)
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
                        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches):
         model = sent.value
@@ -205,7 +204,7 @@ def predict(df: DataFrame, prices: Prices, key: str = "doc_id", text: str = "tex
                      pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, least, 0.0))],
                     ["_key", "lang_pred", "score", "bits"])
 
-    return source.mapInArrow(run, f"_key {kind}, lang_pred string, score double, bits double").withColumnRenamed("_key", key)
+    return source.mapInArrow(run, blocks.shape(source, "_key", "lang_pred string, score double, bits double")).withColumnRenamed("_key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

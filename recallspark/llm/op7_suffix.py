@@ -423,8 +423,8 @@ def spans(docs: DataFrame, length: int = LENGTH, cap: int = CAP) -> DataFrame:
 
 def kept(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, cap: int = CAP,
          digests: bool = False) -> DataFrame:
-    """Every row with ``kept`` (the remaining bytes; ``digests``: their SHA-256 instead, as
-    ``kept_sha256``), ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed`` (list of ``low, size``).
+    """Every row with ``kept`` and ``kept_text`` (the remaining bytes, and as text without the
+    characters cut in two; ``digests``: their SHA-256 instead, as ``kept_sha256``), ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed`` (list of ``low, size``).
 
     Without ``digests`` the row keeps its other columns; those of the same names are replaced.
     """
@@ -432,7 +432,7 @@ def kept(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = L
     number = F.coalesce(F.col(key).cast("bigint"), far)
     docs = df.select(number.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     removed = settle(spans(docs, length, cap).groupBy("id").agg(F.collect_list(F.struct("low", "size")).alias("places")))
-    made = ("n_bytes", "n_removed", "n_spans", "removed", "kept_sha256" if digests else "kept")
+    made = ["n_bytes", "n_removed", "n_spans", "removed", *(["kept_sha256"] if digests else ["kept", "kept_text"])]
     others = [key] if digests else [c for c in df.columns if c not in made]
     source = (df.select(number.alias("_id"), F.col(text).alias("_text"), F.struct(*(F.col(c) for c in others)).alias("_row"))
               .join(removed.withColumnRenamed("id", "_id"), "_id", "left").select("_text", "places", "_row"))
@@ -453,16 +453,16 @@ def kept(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = L
                 rest = b"".join([*parts, raw[at:]])
                 total.append(len(raw)), gone.append(len(raw) - len(rest)), count.append(len(low))
                 where.append([{"low": a, "size": n} for a, n in zip(low.tolist(), size.tolist())])
-                left.append(hashlib.sha256(rest).hexdigest() if digests else rest)
+                left.append(rest)
+            ends = [pa.array([hashlib.sha256(x).hexdigest() for x in left])] if digests else [
+                pa.array(left, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()),
-                 pa.array(where, span), pa.array(left, pa.string() if digests else pa.binary())], ["_row", *made])
+                 pa.array(where, span), *ends], ["_row", *made])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*others).schema)
-    out = source.mapInArrow(run, f"_row struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in df.select(*others).schema)}>, "
-                            f"n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<low: int, size: int>>, "
-                            f"{made[-1]} {'string' if digests else 'binary'}") if shape else source
-    return out.select("_row.*", *made)
+    rest = "n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<low: int, size: int>>"
+    ends = "kept_sha256 string" if digests else "kept binary, kept_text string"
+    return source.mapInArrow(run, blocks.shape(source, "_row", f"{rest}, {ends}")).select("_row.*", *made)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers
@@ -161,7 +162,6 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: bytes
     """
     ranks = ranks or rank_file()
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    kind = source.schema["_key"].dataType.simpleString()
     extra = ("ids_sha256 string, decoded_sha256 string" if digests
              else "ids array<int>" + (", starts array<int>, ends array<int>" if offsets else ""))
 
@@ -184,7 +184,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: bytes
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["_key", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", *(["starts", "ends"] if offsets else [])])]
-    return source.mapInArrow(run, f"_key {kind}, n_tokens bigint, {extra}").withColumnRenamed("_key", key)
+    return source.mapInArrow(run, blocks.shape(source, "_key", f"n_tokens bigint, {extra}")).withColumnRenamed("_key", key)
 
 
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: bytes | None = None) -> DataFrame:
@@ -195,20 +195,25 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: bytes |
     """
     ranks = ranks or rank_file()
     source = df.select(F.col(key).alias("_key"), F.col(ids).cast("array<bigint>").alias("_ids"))
-    kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches):
         _, table, offs = tokenizer(ranks)
         for batch in batches:
-            raw = []
-            for one in batch.column(1).to_pylist():
-                known = np.array([i for i in one or () if i is not None and 0 <= i < len(offs) - 1], np.int64)
-                raw.append(decode_flat(known, table, offs)[0].tobytes())
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy()
+            known = (flat >= 0) & (flat < len(offs) - 1)
+            back, length = decode_flat(flat[known], table, offs)
+            each = np.zeros(len(flat), np.int64)
+            each[known] = length
+            at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(size)])].tolist()
+            joined = back.tobytes()
+            raw = [joined[a:b] for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw])],
                 ["_key", "bytes", "text"])
 
-    return source.mapInArrow(run, f"_key {kind}, bytes binary, text string").withColumnRenamed("_key", key)
+    return source.mapInArrow(run, blocks.shape(source, "_key", "bytes binary, text string")).withColumnRenamed("_key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
