@@ -48,6 +48,8 @@ BAND = 1.5
 CELLS = 64
 #: A shingle that so many different sets of a batch share may be common; at most so many are left out of sketches.
 OFTEN, COMMON = 3, 1_000_000
+#: Members of a key that are compared with as many others in one place.
+CELL = 2000
 CHECK_CELLS = 2048
 
 
@@ -303,6 +305,59 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets_of, share: int) -> Data
     return settle(both.withColumn("i", shared).where(100 * F.col("i") >= share * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"))
 
 
+def close_pairs(members: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
+    """``a, b``: members of one key but of different components whose sketches are close enough to link.
+
+    Members outside a key's largest component are held against the others of the key. The
+    comparison is made in cells of at most about ``CELL`` by ``CELL`` members, into which larger
+    keys are dealt, and only close pairs leave it.
+    """
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    chunks = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    counts = counts.select("key", "main", chunks(F.col("all")).alias("across"), chunks(F.col("all") - F.col("most")).alias("down"))
+    rows = members.join(counts, "key").join(sketches, "rep")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    what = ["rep", "component", "n", "sketch"]
+    others = rows.select("key", upto(F.col("down")).alias("i"), place(F.col("across")).alias("j"), F.lit(0).alias("kind"), "main", *what)
+    aside = (rows.where("component <> main")
+             .select("key", place(F.col("down")).alias("i"), upto(F.col("across")).alias("j"), F.lit(1).alias("kind"), "main", *what))
+
+    def run(batches):
+        at, held, ready = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, kind, main, rep, component, n = (batch.column(c).to_numpy() for c in range(8))
+            sketch = batch.column(8).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (kind[1:] != kind[:-1])])
+            cut, out = np.flatnonzero(new), [[], []]
+            for a, b in zip(cut, np.append(cut[1:], len(key))):
+                if (key[a], i[a], j[a]) != at:
+                    at, held, ready = (key[a], i[a], j[a]), [], None
+                if kind[a] == 0:
+                    held.append((rep[a:b], component[a:b], n[a:b], sketch[a:b]))
+                    continue
+                if ready is None:
+                    ready = [np.concatenate(x) for x in zip(*held)] if held else None
+                if ready is None:
+                    continue
+                for r in range(a, b):
+                    other = (ready[1] != component[r]) & ((ready[1] == main[r]) | (ready[0] > rep[r]))
+                    other &= (np.maximum(ready[2], n[r]) * share <= np.minimum(ready[2], n[r]) * 100)
+                    other = np.flatnonzero(other)
+                    apart = np.bitwise_count(ready[3][other] ^ sketch[r]).sum(axis=1, dtype=np.int64)
+                    other = other[apart * (100 + share) <= (ready[2][other] + n[r]) * (100 - share)]
+                    out[0].append(np.minimum(ready[0][other], rep[r])), out[1].append(np.maximum(ready[0][other], rep[r]))
+            if out[0]:
+                pair = np.unique(np.stack([np.concatenate(x) for x in out]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    dealt = others.union(aside).repartition(blocks.parts(members), "key", "i", "j").sortWithinPartitions("key", "i", "j", "kind")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
     """Per row: the key, ``n_shingles`` and ``component_id``."""
     seen = settle(set_sizes(df, key, text, words))
@@ -330,14 +385,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     placed = settle(members.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = placed.join(split, "key", "left_semi")
-    largest = (open_.groupBy("key", "component").agg(F.count("*").alias("n"))
-               .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    open_ = settle(open_.join(largest, "key"))
-    aside = open_.where("component <> main").select("key", F.col("rep").alias("p"), F.col("component").alias("c"))
-    # A pair of two members aside comes up from both sides, hence from its smaller one only.
-    pairs = (
-        aside.join(open_, "key").where("c <> component and (component = main or p < rep)")
-        .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    pairs = close_pairs(settle(open_), sketches, share).join(stars, ["a", "b"], "left_anti")
     links = links.union(verified(pairs, sketches, sets_of, share))
 
     final = components(links).toDF("rep", "component_id")

@@ -99,3 +99,18 @@ def test_components(spark):
     got = {r.id: r.component_id for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 180)}, 301: 301, 302: 301}
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_cells_of_a_crowded_key(spark, monkeypatch):
+    """Alike texts, some linked and some not, in keys larger than a cell."""
+    monkeypatch.setattr(op, "CELL", 7)
+    rng = random.Random(9)
+    base = [f"c{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.choice([1, 3, 5])):
+            words[rng.randrange(100)] = f"y{rng.random()}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(df) == brute(rows, 4, 85)
