@@ -59,10 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row, and whether decoding gives the text back."""
-    coded = op9_bpe.encode(docs.select(F.struct("doc_id", "text").alias("row"), "text"), key="row")
-    decoded = op9_bpe.decode(coded.select(F.struct("row", "n_tokens", "ids").alias("all"), "ids"), key="all")
-    same = F.col("text") == F.coalesce("all.row.text", F.lit(""))
-    return decoded.select("all.row.doc_id", "all.n_tokens", "all.ids", same.alias("round_trip"))
+    return op9_bpe.encode(docs, check=True).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [

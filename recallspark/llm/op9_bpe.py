@@ -154,16 +154,17 @@ def _char_offsets(ids: bytes, decoded: bytes, encoder: Encoder) -> tuple[bytes,
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: bytes | None = None,
-           offsets: bool = False, digests: bool = False) -> DataFrame:
+           offsets: bool = False, digests: bool = False, check: bool = False) -> DataFrame:
     """One row per text: the key, ``n_tokens``, and ``ids``.
 
     ``offsets`` adds ``starts`` and ``ends``, the characters each id touches; ``digests``
-    gives SHA-256 of ids and of the decoded bytes in place of the ids themselves.
+    gives SHA-256 of ids and of the decoded bytes in place of the ids themselves. ``check``
+    adds ``round_trip``: whether the ids, decoded in the same pass, gave the text back.
     """
     ranks = ranks or rank_file()
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     extra = ("ids_sha256 string, decoded_sha256 string" if digests
-             else "ids array<int>" + (", starts array<int>, ends array<int>" if offsets else ""))
+             else "ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")) + (", round_trip boolean" if check else "")
 
     def run(batches):
         encoder = Encoder(ranks)
@@ -181,9 +182,13 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: bytes
                     if offsets:
                         both = [_char_offsets(*g, encoder) for g in got]
                         columns += [_numbers([x[0] for x in both]), _numbers([x[1] for x in both])]
+                if check:
+                    raw = buf[offs[a]: offs[b]].tobytes()
+                    at = (offs[a: b + 1] - offs[a]).tolist()
+                    columns.append(pa.array([g[1] == raw[x:y] for g, x, y in zip(got, at[:-1], at[1:])], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["_key", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", *(["starts", "ends"] if offsets else [])])]
+    names = ["_key", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", *(["starts", "ends"] if offsets else [])]), *(["round_trip"] if check else [])]
     return source.mapInArrow(run, blocks.shape(source, "_key", f"n_tokens bigint, {extra}")).withColumnRenamed("_key", key)
 
 
