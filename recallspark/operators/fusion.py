@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from recallspark.functions.rank import six, top_k
 from recallspark.functions.text import token_set
@@ -30,14 +30,15 @@ def fuse(ranked: DataFrame, limit: int) -> DataFrame:
 
 
 def choose_remote(
-    records: DataFrame, remotes: DataFrame, k: int = 1, consulted: DataFrame | None = None
+    records: DataFrame, remotes: DataFrame, k: int | None = None, consulted: DataFrame | None = None
 ) -> DataFrame:
-    """The ``k`` best enabled destinations of each record.
+    """Enabled destinations of each record, best first: all of them, or the ``k`` best.
 
     Consulted sources first, then the share of a source's description found in
     the record, then the name. Records meet sources only through shared words;
-    the first ``k`` names stand in for sources sharing none, so nothing is paired
-    with everything. ``consulted`` is ``(memory_id, name)``.
+    with ``k``, the first ``k`` names stand in for sources sharing none, so that a
+    batch of records is not paired with every source. Without ``k`` the ranking is
+    complete, one row per record and enabled source. ``consulted`` is ``(memory_id, name)``.
     """
     words = F.array_distinct(F.concat(
         token_set(F.col("description")),
@@ -51,10 +52,11 @@ def choose_remote(
         .join(sizes, "name")
         .select("project_id", "memory_id", "name", (F.col("shared") / F.col("size")).alias("overlap"))
     )
-    # k rows at most: every record may fall back on them.
-    first = open_remotes.select("name").orderBy("name").limit(k).agg(F.collect_list("name").alias("names"))
+    # The names a record may fall back on, as one row.
+    names = open_remotes.select("name").distinct().orderBy("name")
+    first = (names if k is None else names.limit(k)).agg(F.array_sort(F.collect_list("name")).alias("names"))
     fallback = records.select("project_id", "memory_id", F.lit(1).alias("_one")).join(
-        first.withColumn("_one", F.lit(1)).hint("broadcast"), "_one"
+        first.withColumn("_one", F.lit(1)), "_one"
     ).select("project_id", "memory_id", F.explode("names").alias("name"), F.lit(0.0).alias("overlap"))
     options = overlap.unionByName(fallback)
     if consulted is not None:
@@ -69,8 +71,11 @@ def choose_remote(
         options = options.withColumn("_c", F.lit(None).cast("boolean"))
     options = options.withColumn("consulted", F.coalesce("_c", F.lit(False))).withColumn(
         "description_match", F.round("overlap", 3))
-    best = top_k(options, ["project_id", "memory_id"],
-                 [F.col("consulted").desc(), F.col("description_match").desc(), F.col("name")], k)
+    order = [F.col("consulted").desc(), F.col("description_match").desc(), F.col("name")]
+    if k is None:
+        best = options.withColumn("rn", F.row_number().over(Window.partitionBy("project_id", "memory_id").orderBy(*order)))
+    else:
+        best = top_k(options, ["project_id", "memory_id"], order, k)
     return best.select(
         "project_id", "memory_id", F.col("rn").alias("place"), "name", "consulted", "description_match",
         F.when(F.col("consulted"), "you queried this remote while solving the task")

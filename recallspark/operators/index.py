@@ -10,7 +10,6 @@ one exchange. The only rows that then cross the network are each task's best
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recallspark.functions.rank import top_k
@@ -126,7 +125,7 @@ def bm25(
     ship = F.broadcast if small else (lambda df: df)
     asked = terms.select("term").distinct()
     # Three readers (statistics, document frequency, scoring) share one pass over the text.
-    postings = wanted_postings(index, asked, keep, ship).persist(StorageLevel.MEMORY_AND_DISK)
+    postings = settle(wanted_postings(index, asked, keep, ship))
 
     group = scope or [F.lit(0).alias("_all")]
     names = scope or ["_all"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recallspark.operators.dedup import keep_then_new
 from recallspark.operators.usage import RECORD, REPLICA, add_counters
 from recallspark.operators.validate import document_errors
+from recallspark.session import settle
 from recallspark.schema import DOCUMENT, LABEL_PATTERN, RELATED, RecallError
 
 MIRROR = {"related": "related", "supersedes": "superseded_by", "superseded_by": "supersedes"}
@@ -78,7 +79,8 @@ def patched(df: DataFrame, patch: str = "patch") -> DataFrame:
         field = df.schema[name].dataType
         if hasattr(field, "fieldNames"):
             inner = F.json_object_keys(F.get_json_object(given, f"$.{name}"))
-            changes[name] = F.when(F.array_contains(keys, name), F.struct(*[
+            # A patch that puts null, or anything but an object, in an object's place leaves none to keep fields of.
+            changes[name] = F.when(F.array_contains(keys, name) & inner.isNull(), F.lit(None).cast(field)).when(F.array_contains(keys, name), F.struct(*[
                 F.when(F.array_contains(inner, sub), parsed[name][sub]).otherwise(F.col(name)[sub]).alias(sub)
                 for sub in field.fieldNames()])).otherwise(F.col(name))
         else:
@@ -99,9 +101,10 @@ def update(
         .otherwise(F.array().cast("array<string>")))
     judged = after.withColumn("errors", errors)
     fine = judged.where(F.size("errors") == 0).drop("errors", "patch", "_name")
-    revisions = before.join(fine.select("memory_id"), "memory_id", "left_semi").select(
+    # An id is kept when a record moves on to another project, so it names a record only within one.
+    revisions = before.join(fine.select(*RECORD), RECORD, "left_semi").select(
         "project_id", "memory_id", F.lit(now).alias("revised_at"), body(records).alias("body"))
-    rest = records.join(fine.select("memory_id"), "memory_id", "left_anti")
+    rest = records.join(fine.select(*RECORD), RECORD, "left_anti")
     return (
         rest.unionByName(fine.select(*records.columns)),
         revisions,
@@ -158,6 +161,61 @@ def synchronize(records: DataFrame) -> DataFrame:
     return with_links(records, mirror(authored_links(records)).join(names, ["project_id", "src"], "left_semi"))
 
 
+def spread_links(after: DataFrame, before: DataFrame, written: DataFrame) -> DataFrame:
+    """``after`` with the links of the ``written`` records (``project_id, id``) carried to their targets.
+
+    What a written record says of a link holds: a target gets the counterpart with the
+    writer's reason, and loses it when the writer dropped the link. A written record keeps
+    its own list and gains what others written with it say. Lists keep their order and new
+    entries follow by name; records that no written one links or linked stay as they are.
+    """
+    names = written.select("project_id", "id").distinct()
+    said = authored_links(after.join(names, ["project_id", "id"], "left_semi"))
+    had = authored_links(before.join(names, ["project_id", "id"], "left_semi"))
+    flip = F.create_map(*[F.lit(x) for pair in MIRROR.items() for x in pair])
+    told = said.select("project_id", F.col("dst").alias("id"), F.col("src").alias("other"), flip[F.col("kind")].alias("kind"), "reason")
+    told = told.groupBy("project_id", "id", "other", "kind").agg(F.min("reason").alias("_reason")).withColumn("_told", F.lit(True))
+    told = settle(told)
+    near = told.select("project_id", "id").union(had.select("project_id", F.col("dst").alias("id"))).distinct()
+    near = settle(near)
+    rows = after.join(near, ["project_id", "id"], "left_semi")
+    at = ["project_id", "id"]
+    related = rows.select(*at, F.posexplode("relationships.related").alias("pos", "l")).select(
+        *at, F.lit("related").alias("kind"), "pos", F.col("l.id").alias("other"), F.col("l.reason").alias("reason"))
+    has = related
+    for kind in ("supersedes", "superseded_by"):
+        has = has.unionByName(rows.select(*at, F.lit(kind).alias("kind"), F.posexplode(f"relationships.{kind}").alias("pos", "other"),
+                                          F.lit(None).cast("string").alias("reason")))
+    own = names.withColumn("_own", F.lit(True))
+    others = names.select("project_id", F.col("id").alias("other"), F.lit(True).alias("_by_writer"))
+    joined = (has.join(told, [*at, "other", "kind"], "full").join(own, at, "left").join(others, ["project_id", "other"], "left"))
+    mine = F.coalesce("_own", F.lit(False))
+    stays = F.col("pos").isNull() | mine | F.col("_by_writer").isNull() | F.col("_told")
+    reason = F.when(F.col("pos").isNotNull() & (mine | F.col("_told").isNull()), F.col("reason")).otherwise(F.col("_reason"))
+    entry = F.struct(F.coalesce("pos", F.lit(1 << 30)).alias("pos"), F.col("other"), reason.alias("reason"))
+    kept = joined.where(F.coalesce(stays, F.lit(False)))
+
+    def listed(kind: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
+
+    grouped = kept.groupBy(*at).agg(*(listed(k).alias(f"_{k}") for k in MIRROR))
+    none = "array<struct<pos:int,other:string,reason:string>>"
+    of = lambda kind: F.coalesce(F.col(f"_{kind}"), F.array().cast(none))
+    changed = rows.join(grouped, at, "left").withColumn("relationships", F.struct(
+        F.transform(of("related"), lambda e: F.struct(e["other"].alias("id"), e["reason"].alias("reason"))).alias("related"),
+        F.transform(of("supersedes"), lambda e: e["other"]).alias("supersedes"),
+        F.transform(of("superseded_by"), lambda e: e["other"]).alias("superseded_by"))).select(*after.columns)
+    return after.join(near, at, "left_anti").select(*after.columns).unionByName(changed)
+
+
+def unknown_targets(incoming: DataFrame, records: DataFrame) -> DataFrame:
+    """``project_id, id, errors`` of documents with a link to what neither the store nor their batch holds."""
+    known = records.select("project_id", F.col("id").alias("dst")).union(incoming.select("project_id", "id")).distinct()
+    lost = authored_links(incoming).join(known, ["project_id", "dst"], "left_anti")
+    return lost.groupBy("project_id", F.col("src").alias("id")).agg(F.array_sort(F.collect_set(
+        F.concat(F.lit("linked record '"), "dst", F.lit("' does not exist.")))).alias("errors"))
+
+
 def edges_of(records: DataFrame) -> DataFrame:
     """Authored edges by id; a link to a record that does not exist makes no edge."""
     ids = records.select("project_id", F.col("id").alias("src"), F.col("memory_id").alias("_src"))

@@ -72,10 +72,19 @@ def reindex_job(tables: Tables, now: str) -> tuple[Tables, dict]:
 
 
 def dedup_job(tables: Tables, now: str, threshold: float = 0.6, limit: int = 25) -> tuple[Tables, dict]:
+    """The strongest ``limit`` pairs of every project; the detail is one row per project, as a table."""
     pairs = dedup.duplicate_report(
         dedup.duplicate_pairs(flat(tables["records"]), tables["edges"].where("kind = 'derived'"), threshold), limit)
-    best = pairs.orderBy(F.col("score").desc(), "a", "b").limit(limit).collect()
-    return tables, {"candidates": len(best), "pairs": [[r["a"], r["b"]] for r in best]}
+    return tables, dedup_details(tables["records"], pairs)
+
+
+def dedup_details(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``project_id, detail`` of a duplicate report: how many pairs, and the pairs, strongest first."""
+    listed = pairs.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("rn", "a", "b"))).alias("best"))
+    every = records.select("project_id").distinct().join(listed, "project_id", "left")
+    best = F.coalesce("best", F.array().cast("array<struct<rn:int,a:string,b:string>>"))
+    return every.select("project_id", F.to_json(F.struct(
+        F.size(best).alias("candidates"), F.transform(best, lambda p: F.array(p["a"], p["b"])).alias("pairs"))).alias("detail"))
 
 
 def rebase_job(tables: Tables, now: str, mark_stale: bool = False) -> tuple[Tables, dict]:
@@ -94,9 +103,19 @@ JOBS: dict[str, Callable[..., tuple[Tables, dict]]] = {
 }
 
 
+def short(detail: dict) -> str:
+    """JSON of at most ``MAX_DETAIL`` characters: where it would be longer, its longest texts are cut, never the JSON."""
+    text = json.dumps(detail)
+    while len(text) > MAX_DETAIL and any(isinstance(v, str) and len(v) > 40 for v in detail.values()):
+        longest = max((k for k, v in detail.items() if isinstance(v, str)), key=lambda k: len(detail[k]))
+        detail = {**detail, longest: detail[longest][: len(detail[longest]) // 2]}
+        text = json.dumps(detail)
+    return text
+
+
 def run(spark: SparkSession, tables: Tables, kinds: list[str], now: str, **options: dict) -> Tables:
     """Run each requested kind once, most urgent first, and append the log to ``jobs``."""
-    log = []
+    log, per_project = [], []
     for kind in sorted(set(kinds), key=lambda k: PRIORITY[k]):
         try:
             after, detail = JOBS[kind](tables, now, **options.get(kind, {}))
@@ -105,8 +124,14 @@ def run(spark: SparkSession, tables: Tables, kinds: list[str], now: str, **optio
             outcome = "done"
         except Exception as error:  # a failed job must not stop the ones after it
             detail, outcome = {"error": str(error)}, "failed"
-        log.append((None, "*", kind, now, now, outcome, json.dumps(detail)[:MAX_DETAIL]))
+        if isinstance(detail, DataFrame):  # a row per project
+            per_project.append(detail.select(F.lit(None).cast("bigint").alias("id"), "project_id", F.lit(kind).alias("kind"), F.lit(now).alias("started"),
+                                             F.lit(now).alias("finished"), F.lit(outcome).alias("outcome"), "detail"))
+            continue
+        log.append((None, "*", kind, now, now, outcome, short(detail)))
     fresh = spark.createDataFrame(log, TABLES["jobs"])
+    for rows in per_project:
+        fresh = fresh.unionByName(settle(rows))
     have = tables.get("jobs")
     return {**tables, "jobs": fresh if have is None else have.unionByName(fresh)}
 

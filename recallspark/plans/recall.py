@@ -105,7 +105,7 @@ def recall(
     kept = (
         shown.withColumn("considered", considered)
         .where(F.col("raw") > 0).where(status_filter(options.statuses))
-        .where(compile_labels(options.label_query, set(options.known_labels) if options.known_labels else None).predicate)
+        .where(compile_labels(options.label_query, None if options.known_labels is None else set(options.known_labels)).predicate)
     )
     cut = top_k(kept, ["query_id"], [F.col("raw").desc(), F.col("slug"), F.col("memory_id")], options.limit, "place")
     factor = F.lit(1.0)

@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallspark.functions.secrets import findings
-from recallspark.operators import dedup, fusion, graph, index, messages, outbox, records, search, usage
+from recallspark.operators import dedup, fusion, graph, index, messages, outbox, records, remotes, search, usage
 from recallspark.operators.similar import derived_edges
 from recallspark.plans import jobs
 from recallspark.plans.recall import RecallOptions, exposures, recall, sightings
@@ -152,8 +152,8 @@ class Store:
         found = self.tables["remotes"]
         return (found.where("enabled") if enabled_only else found).orderBy("name")
 
-    def promotion_targets(self, slug: str, consulted: list[str] | None = None, k: int = 5) -> DataFrame:
-        """Ranked destinations of one public record, with the secrets that would hold it back."""
+    def promotion_targets(self, slug: str, consulted: list[str] | None = None, k: int | None = None) -> DataFrame:
+        """Every enabled destination of one public record, best first (or the ``k`` best), with the secrets that would hold it back."""
         ids = self._ids([slug])
         rows = self._mine("records").join(ids.drop("id"), ["project_id", "memory_id"], "left_semi").where("visibility = 'public'")
         used = None
@@ -164,6 +164,27 @@ class Store:
             findings(published_text()), lambda f: F.concat(f["rule"], F.lit(" "), f["masked"])), "; ").alias("held"))
         return fusion.choose_remote(rows, self.tables["remotes"], k, used).join(held, "memory_id")
 
+    def add_remote(self, name: str, url: str, description: str, now: str) -> None:
+        """Register a destination, enabled; a name that is there already gets the new address and description."""
+        fresh = self.spark.createDataFrame([(name, url, description, True, now, None, None)], TABLES["remotes"])
+        self.tables["remotes"] = settle(remotes.add(self.tables["remotes"], fresh))
+
+    def enable_remote(self, name: str, enabled: bool = True) -> None:
+        self._remote(name)
+        self.tables["remotes"] = settle(remotes.enable(self.tables["remotes"], name, enabled))
+
+    def remove_remote(self, name: str) -> int:
+        """Forget a destination and what waits for it; returns how many rows waited."""
+        self._remote(name)
+        waiting = self.tables["outbox"].where(F.col("remote") == name).count()
+        left = remotes.remove(self.tables["remotes"], self.tables["outbox"], name)
+        self.tables["remotes"], self.tables["outbox"] = (settle(df) for df in left)
+        return waiting
+
+    def _remote(self, name: str) -> None:
+        if self.tables["remotes"].where(F.col("name") == name).isEmpty():
+            raise RecallError(f"no remote is called '{name}'")
+
     def outbox_status(self, limit: int = 50) -> DataFrame:
         return outbox.status(self._mine("outbox"), jobs.flat(self._mine("records")), limit)
 
@@ -190,23 +211,32 @@ class Store:
             rows = text.select(F.lit(self.project).alias("project_id"), F.from_json("j", DOCUMENT).alias("d")).select(
                 "project_id", "d.*")
         rows = rows.withColumn("visibility", F.lit(visibility))
-        accepted, refused = records.create(self.tables["records"], rows, self._known(), now)
+        held = self.tables["records"]
+        lost = settle(records.unknown_targets(rows, held))
+        rows = rows.join(lost, ["project_id", "id"], "left_anti")
+        accepted, refused = records.create(held, rows, self._known(), now)
+        refused = refused.unionByName(lost)
         queries = self.tables["projects"].select("project_id", F.col("queries").alias("tier_since_query"))
         accepted = accepted.join(queries, "project_id", "left").withColumn("author_name", F.lit(self.actor).cast("string"))
         merged = self.tables["records"].unionByName(
             accepted.select([c for c in accepted.columns if c in self.tables["records"].columns]), allowMissingColumns=True)
         refused = settle(refused)
-        self.tables["records"] = settle(records.synchronize(merged))
+        self.tables["records"] = settle(records.spread_links(settle(merged), held, settle(accepted.select("project_id", "id"))))
         self.reindex()
         return refused
 
     def update(self, slug: str, patch: dict, now: str) -> DataFrame:
         self._ids([slug])
         patches = self.spark.createDataFrame([(self.project, slug, json.dumps(patch))], "project_id string, id string, patch string")
-        after, revisions, refused = records.update(self.tables["records"], patches, self._known(), now)
-        refused = settle(refused)
+        held = self.tables["records"]
+        after, revisions, refused = records.update(held, patches, self._known(), now)
+        lost = records.unknown_targets(after.where((F.col("project_id") == self.project) & (F.col("id") == slug)), after)
+        refused = settle(refused.unionByName(lost))
+        if not refused.isEmpty():
+            return refused
+        revisions = revisions.withColumn("author_name", F.lit(self.actor).cast("string"))
         self.tables["revisions"] = settle(self.tables["revisions"].unionByName(revisions, allowMissingColumns=True))
-        self.tables["records"] = settle(records.synchronize(after))
+        self.tables["records"] = settle(records.spread_links(settle(after), held, patches))
         self.reindex()
         return refused
 
@@ -227,9 +257,9 @@ class Store:
 
     def merge(self, keep: str, merge: str, reason: str, now: str) -> None:
         if keep == merge:
-            raise RecallError("A memory cannot be merged into itself.")
+            raise RecallError(f"'{keep}' was named on both sides of the merge")
         if not (reason or "").strip():
-            raise RecallError("A merge needs a reason.")
+            raise RecallError("say why the two are merged")
         self._ids([keep, merge])
         pair = self.spark.createDataFrame(
             [(self.project, keep, merge, reason)], "project_id string, keep_id string, merge_id string, reason string")
@@ -237,7 +267,8 @@ class Store:
         done = {name: settle(df) for name, df in done.items()}
         self.tables["revisions"] = self.tables["revisions"].unionByName(done["revisions"], allowMissingColumns=True)
         self.tables["usage"] = done["usage"]
-        self.tables["records"] = settle(records.synchronize(done["records"]))
+        named = pair.select("project_id", F.col("keep_id").alias("id"))
+        self.tables["records"] = settle(records.spread_links(done["records"], self.tables["records"], named))
         self.reindex()
 
     def archive(self, slugs: list[str], now: str | None) -> None:
@@ -264,18 +295,23 @@ class Store:
         self.tables["outbox"] = settle(queue.select(*self.tables["outbox"].columns))
         return outcome
 
-    def send(self, to: str, body: str, message_id: str, now: str) -> str:
+    def send(self, to: str, body: str, message_id: str, now: str, about: str | None = None, reply_to: str | None = None) -> str:
         out = self.spark.createDataFrame([(message_id, self.actor, to, body, now)],
                                          "id string, from_client string, to_name string, body string, sent_at string")
         done = messages.send(out, self.tables["messages"], self.tables["clients"])
         row = done.head()
         if row["outcome"] == "sent":
             self._append("messages", [(message_id, self.project, self.actor, self.actor, None, row["to_client"], row["body"],
-                                       None, None, now, None)])
+                                       about, reply_to, now, None)])
         return row["outcome"]
 
-    def inbox(self, client: str, unread_only: bool = True) -> DataFrame:
-        return messages.inbox(self.tables["messages"].where(F.col("to_client") == client), unread_only)
+    def inbox(self, client: str, unread_only: bool = True, mark_read_at: str | None = None) -> DataFrame:
+        """A client's newest messages; with a stamp, those shown count as read from then on."""
+        shown = messages.inbox(self.tables["messages"].where(F.col("to_client") == client), unread_only)
+        if mark_read_at is not None:
+            shown = settle(shown)
+            self.tables["messages"] = settle(messages.mark_read(self.tables["messages"], shown, mark_read_at))
+        return shown
 
     def run_jobs(self, kinds: list[str], now: str, **options: dict) -> None:
         self.tables = jobs.run(self.spark, self.tables, kinds, now, **options)

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from recallspark.schema import ORDINAL_OF_EPOCH
 
 
+#: Tables smaller than this are dealt out over all cores.
+DEALT_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,13 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table whose rows are costly to process.
 
-    A file with fewer row groups than there are cores would be worked through by
-    as many tasks; only then are its rows dealt out by ``key`` first. Inputs of
-    any size to speak of have more splits than cores and are left alone.
+    A small file would be worked through by one task; only a table below
+    ``DEALT_BYTES`` has its rows dealt out by ``key`` first. Larger ones are left alone.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < DEALT_BYTES else df
 
 
 def stamp(base: str, hours: Column) -> Column:
