@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recallspark import session
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: ASCII white space, bytes 0x20 and 0x09 to 0x0D: what ends a word.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -36,7 +36,7 @@ from recallspark.llm.blocks import settle
 
 LENGTH, GRAM = 100, 24
 #: Bytes laid into one suffix array, if a single key does not need more.
-SHARD = 3 << 20
+SHARD = 1 << 20
 #: Most different strings of a key that one shard takes.
 CAP = 50_000
 _SYMBOL = np.random.default_rng(77).integers(0, 1 << 63, 258, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -433,13 +433,14 @@ def kept(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = L
     docs = df.select(number.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     removed = settle(spans(docs, length, cap).groupBy("id").agg(F.collect_list(F.struct("low", "size")).alias("places")))
     made = ["n_bytes", "n_removed", "n_spans", "removed", *(["kept_sha256"] if digests else ["kept", "kept_text"])]
-    others = [key] if digests else [c for c in df.columns if c not in made]
+    others = [key] if digests else [c for c in df.columns if c not in made and c != text]
     source = (df.select(number.alias("_id"), F.col(text).alias("_text"), F.struct(*(F.col(c) for c in others)).alias("_row"))
               .join(removed.withColumnRenamed("id", "_id"), "_id", "left").select("_text", "places", "_row"))
     span = pa.list_(pa.struct([("low", pa.int32()), ("size", pa.int32())]))
 
     def run(batches):
-        for batch in batches:
+        # A thousand rows at a time: what is made of them is several times their size.
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             total, gone, count, where, left = [], [], [], [], []
             for text_, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text_ or "").encode()
@@ -457,12 +458,14 @@ def kept(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = L
             ends = [pa.array([hashlib.sha256(x).hexdigest() for x in left])] if digests else [
                 pa.array(left, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()),
-                 pa.array(where, span), *ends], ["_row", *made])
+                [batch.column(2), batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()),
+                 pa.array(where, span), *ends], ["_row", "_text", *made])
 
     rest = "n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<low: int, size: int>>"
     ends = "kept_sha256 string" if digests else "kept binary, kept_text string"
-    return source.mapInArrow(run, blocks.shape(source, "_row", f"{rest}, {ends}")).select("_row.*", *made)
+    out = source.mapInArrow(run, blocks.shape(source, "_row", f"_text string, {rest}, {ends}"))
+    columns = others if digests else [c for c in df.columns if c not in made]
+    return out.select(*(F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in columns), *made)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
