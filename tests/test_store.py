@@ -145,7 +145,7 @@ def test_publication(spark):
     s.promote("leaky", "team", NOW, force=True, allow_secrets=True)
     s.promote("pump-drift", "team", NOW, force=True)
     s.promote("pump-drift", "team", NOW, force=True)  # asking again refreshes, never duplicates
-    assert sorted(r["name"] for r in s.outbox_status().collect()) == ["pump-drift", "leaky"]
+    assert sorted(r["name"] for r in s.outbox_status().collect()) == ["leaky", "pump-drift"]
     s.add_remote("far", "v", "nothing in common", NOW)
     assert [r["name"] for r in s.promotion_targets("pump-drift").orderBy("place").collect()] == ["team", "far"]
     assert s.promotion_targets("pump-drift", k=1).count() == 1
