@@ -5,9 +5,10 @@ vectors; then the nearest by Euclidean distance is the largest by inner product.
 hashes a vector by ``HASHES`` Gaussian projections cut into cells of width ``WIDTH``. A
 neighbour at distance ``r`` falls into each cell around the query with a known probability,
 so a query visits the cells of a table in the order of that probability until together
-they hold such a neighbour with probability ``REACH``; ``r``, the distance of the query's
-last wanted neighbour, is estimated from a bounded sample of the rows. What the tables find
-is ranked by the inner product of the original vectors, in double precision.
+they hold such a neighbour with probability ``REACH``. ``r`` is the distance of the ``k``-th
+nearest row of a bounded sample, the query itself left out: part of the rows cannot hold a
+``k``-th neighbour nearer than that of all rows, so ``r`` is never too small. What the tables
+find is ranked by the inner product of the original vectors, in double precision.
 
 Rows and visits meet in bins of buckets; a bucket with too many rows is dealt over several
 bins, all of which its visitors see. A bin passes on a query's nearest rows only.
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recallspark.llm import blocks
 from recallspark.llm.blocks import settle
-from recallspark.llm.vectors import matrix, sample, usable
+from recallspark.llm.vectors import matrix, usable
 
 HASHES, TABLES, WIDTH, REACH = 4, 3, 0.8, 0.75
-SAMPLE, ROWS_PER_BIN = 4096, 10_000
+SAMPLE, ROWS_PER_BIN = 32_768, 10_000
 #: Cells to each side of the query's that are considered; what lies beyond is out of reach of any neighbour.
 SPREAD = 4
 _ERF = np.frompyfunc(math.erf, 1, 1)
@@ -40,10 +41,10 @@ _ERF = np.frompyfunc(math.erf, 1, 1)
 class Tables:
     """The projections, and what is needed to hash rows and plan visits."""
 
-    def __init__(self, dim: int, largest: float, known: np.ndarray, rows: int, k: int, hashes: int, tables: int, width: float, reach: float):
+    def __init__(self, dim: int, largest: float, ids: np.ndarray, known: np.ndarray, k: int, hashes: int, tables: int, width: float, reach: float):
         rng = np.random.default_rng(8)
         self.a, self.b = rng.normal(size=(dim + 1, tables * hashes)), rng.uniform(0, width, tables * hashes)
-        self.dim, self.largest, self.known, self.rows, self.k = dim, largest, known, rows, k
+        self.dim, self.largest, self.ids, self.known, self.k = dim, largest, ids, known, k
         self.hashes, self.tables, self.width, self.reach = hashes, tables, width, reach
         steps = np.arange(-SPREAD, SPREAD + 1)
         self.moves = np.stack(np.meshgrid(*[steps] * hashes, indexing="ij"), axis=-1).reshape(-1, hashes)
@@ -61,16 +62,16 @@ class Tables:
         cells = np.floor((np.hstack([x, extra]) @ self.a + self.b) / self.width).reshape(len(x), self.tables, self.hashes)
         return self.keys(cells, np.arange(self.tables)[None, :])
 
-    def radius(self, q: np.ndarray) -> float:
-        """Distance of the query's last wanted neighbour, from the sample (not less than the sample shows)."""
-        near = np.sort(np.maximum(2 - 2 * (self.known @ q) / self.largest, 1e-6))
-        at = math.ceil((self.k + 1) * len(near) / max(self.rows, 1))
-        return math.sqrt(near[min(max(at, 1), len(near)) - 1])
+    def radius(self, query: int, q: np.ndarray) -> float:
+        """Distance of the sample's ``k``-th nearest row other than the query, which is not less than that of all rows."""
+        near = np.maximum(2 - 2 * (self.known @ q) / self.largest, 1e-6)[self.ids != query]
+        at = min(self.k, len(near)) - 1
+        return math.sqrt(np.partition(near, at)[at]) if len(near) else math.sqrt(2)
 
-    def visits(self, q: np.ndarray) -> np.ndarray:
+    def visits(self, query: int, q: np.ndarray) -> np.ndarray:
         """Keys of the cells to visit, most promising first, table by table."""
         q = q / np.linalg.norm(q)
-        r = self.radius(q)
+        r = self.radius(query, q)
         place = (np.append(q, 0.0) @ self.a + self.b) / self.width
         base = np.floor(place)
         edge = (base + np.arange(-SPREAD, SPREAD + 2)[:, None] - place) * self.width / r
@@ -88,6 +89,16 @@ class Tables:
         return np.concatenate(out)
 
 
+def sample(rows: DataFrame, n: int, dim: int, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of at most ``most`` of ``n`` rows with different ids, those with the smallest hash of the id."""
+    most = max(2, min(most, 4_000_000 // dim))
+    hashed = F.xxhash64("id")
+    # Hashes spread evenly, so the smallest lie below this bound; only about twice the sample is sorted.
+    low = -(1 << 63) + (1 << 64) * (2 * most + 1000) // max(n, 2 * most + 1000)
+    got = rows.where(hashed <= F.lit(min(low, (1 << 63) - 1))).orderBy(hashed, "id").limit(most).toArrow()
+    return got["id"].to_numpy(), matrix(got["vector"]) if len(got) else np.zeros((0, dim))
+
+
 def _bin(key: Column, chunk: Column, bins: int) -> Column:
     return F.pmod(F.xxhash64(key, chunk), F.lit(bins)).cast("int")
 
@@ -101,12 +112,12 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         return found.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector")).dropDuplicates(["id"])
 
     rows, asked = clean(df), clean(queries)
-    known = sample(rows, "id", "vector", SAMPLE)
-    dim = known.shape[1]
+    common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim = common["dim"] if common else 1
     rows, asked = rows.where(F.size("vector") == dim), asked.where(F.size("vector") == dim)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     size = rows.agg(F.count("*").alias("n"), F.max(norm).alias("most")).first()
-    model = Tables(dim, (size["most"] or 1.0) * (1 + 1e-12), known, size["n"], k, hashes, tables, width, reach)
+    model = Tables(dim, (size["most"] or 1.0) * (1 + 1e-12), *sample(rows, size["n"], dim), k, hashes, tables, width, reach)
     sent = df.sparkSession.sparkContext.broadcast(model)
     bins = max(1, -(-tables * size["n"] // rows_per_bin))
 
@@ -119,7 +130,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     def plan_visits(batches):
         for batch in batches:
             if batch.num_rows:
-                keys = [sent.value.visits(q).view(np.int64).tolist() for q in matrix(batch.column(1))]
+                keys = [sent.value.visits(i, q).view(np.int64).tolist() for i, q in zip(batch.column(0).to_numpy(), matrix(batch.column(1)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["id", "vector", "keys"])
 
     shape = "id bigint, vector array<double>, keys array<bigint>"

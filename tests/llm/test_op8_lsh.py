@@ -1,6 +1,7 @@
 """Multiprobe search: recall against brute force, exact scores and ties, hot buckets, odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,28 @@ def test_odd_rows(spark):
     got = ranked(op.nearest(df, df).collect())
     assert got == {1: [(2, 4.0), (9, 0.0)], 2: [(1, 4.0), (9, -1.5)], 9: [(1, 0.0), (2, -1.5)]}
     assert op.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_sampled_queries_and_few_copies_of_a_large_table(spark):
+    rng = np.random.default_rng(11)
+    n, d = 100_000, 16
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hashed = spark.range(n).select("id").orderBy(F.xxhash64("id"), "id").limit(4096).collect()
+    sampled = [r.id for r in hashed[:60]]
+    others = [i for i in range(0, n, 1999) if i not in sampled]
+    copied = [r.id for r in hashed[100:140]]
+    for at, i in enumerate(copied):  # four copies each, some of them in any sample that takes small hashes
+        for j in [hashed[200 + at].id, hashed[300 + at].id, 7 + 3 * i % 90_000, 11 + 7 * i % 90_000]:
+            x[j] = x[i]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).repartition(8)
+    asked = sampled + others + copied
+    got = ranked(op.nearest(df, df.where(F.col("vec_id").isin(asked))).collect())
+    recall = {}
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -9
+        least = np.partition(score, n - 20)[n - 20]
+        recall[q] = sum(s >= least - 1e-9 for _, s in got.get(q, [])) / 20
+    means = [np.mean([recall[q] for q in group]) for group in (sampled, others, copied)]
+    assert min(means) >= 0.95, means
