@@ -84,3 +84,27 @@ def test_sampled_queries_and_few_copies_of_a_large_table(spark):
         recall[q] = sum(s >= least - 1e-9 for _, s in got.get(q, [])) / 20
     means = [np.mean([recall[q] for q in group]) for group in (sampled, others, copied)]
     assert min(means) >= 0.95, means
+
+
+def test_all_candidates_where_there_are_few(spark):
+    rng = np.random.default_rng(3)
+    for n in (15, 21):
+        rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = ranked(op.nearest(df, df).collect())
+        want = brute(rows, range(n), 20)
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    stranger = spark.createDataFrame([(99, [-x for x in rows[0][1]])], "vec_id long, embedding array<double>")
+    assert len(ranked(op.nearest(df.limit(19), stranger).collect())[99]) == 19
+
+
+def test_a_query_with_empty_cells_meets_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.array([1.0, 0, 0, 0]) + 0.01 * rng.normal(size=4)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    far = [(500, [-1.0, 0.1, 0.0, 0.2]), (501, [1.0, 0.0, 0.0, 0.0])]
+    got = ranked(op.nearest(df, spark.createDataFrame(far, "vec_id long, embedding array<double>"), rows_per_bin=100, reach=0.01).collect())
+    want = brute(rows + far, [500, 501], 22)
+    for q in (500, 501):
+        assert len(got[q]) == 20
+    assert [i for i, _ in got[500]] == [i for i, _ in want[500] if i < 500][:20]
