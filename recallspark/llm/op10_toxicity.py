@@ -5,7 +5,9 @@ letters, with runs of a repeated letter, or spelled out letter by letter opens a
 of readings: leet symbols stand for letters, separators and repeats may be dropped, each
 at the price of that disguise. Viterbi decoding under a character trigram model, counted
 over the whole corpus, picks the cheapest reading. Each different disguise is decoded once
-per task and remembered.
+per task and remembered. Among lone letters a space may also be the end of a word: besides
+the run as one word, all words count that lie on a reading of the run at most ``MARGIN``
+bits above its cheapest one.
 
 Restored words and their first bytes (for inflected words) are the features. Their weights
 are smoothed log-odds of document presence between toxic and other labelled rows; a
@@ -44,8 +46,10 @@ LEET = {
 }
 #: Bits: reading a symbol as a letter, dropping it, dropping a separator, a repeat in a pair, in a longer run.
 SUBSTITUTE, DROP_SYMBOL, DROP_SEPARATOR, DROP_PAIR, DROP_RUN = 2.0, 14.0, 1.0, 6.0, 1.0
-#: How many lone letters in a row open a lattice.
-SPELLED = 4
+#: How many lone letters in a row open a lattice; at this number one of them must be no digit.
+SPELLED = 3
+#: Bits that a division of lone letters may lie above the cheapest; letters of a divided word; letters divided at a time.
+MARGIN, LONGEST, WINDOW = 22.0, 32, 512
 
 _SYMBOLS = 28  # the end of a word, a to z, any other letter
 _CLASS = np.zeros(256, np.int64)
@@ -92,6 +96,7 @@ class Decoder:
     def __init__(self, bits: np.ndarray):
         self.bits = bits.tolist()
         self.known: dict[bytes, bytes] = {}
+        self.divided: dict[bytes, list[bytes]] = {}
 
     def restore(self, word: bytes) -> bytes:
         if word not in self.known:
@@ -100,6 +105,42 @@ class Decoder:
             self.known[word] = self._viterbi(word.decode("utf-8", "replace"))
         return self.known[word]
 
+    def spelled(self, letters: list[bytes]) -> list[bytes]:
+        """What lone letters in a row may mean: one word, and the words of their likely divisions."""
+        run = b" ".join(letters)
+        if run not in self.divided:
+            if len(self.divided) > REMEMBERED // 10:
+                self.divided = {}
+            chars, found = [x.decode("utf-8", "replace") for x in letters], {self.restore(run)}
+            for at in range(0, max(1, len(chars) - LONGEST), WINDOW - LONGEST):
+                found |= self._divisions(chars[at: at + WINDOW])
+            self.divided[run] = sorted(found)
+        return self.divided[run]
+
+    def _divisions(self, chars: list[str]) -> set[bytes]:
+        """Words of at least two letters on divisions within ``MARGIN`` of the cheapest."""
+        bits, n, found = self.bits, len(chars), []
+        for start in range(n):
+            states, joined = {(0, 0): (0.0, "")}, 0.0
+            for end in range(start, min(n, start + LONGEST)):
+                readings = [(c, SUBSTITUTE) for c in LEET.get(chars[end], "")] or [(chars[end], 0.0)]
+                following: dict = {}
+                for (a, b), (cost, word) in states.items():
+                    for read, price in readings:
+                        c = ord(read) - 96 if "a" <= read <= "z" else 27
+                        new = cost + price + joined + bits[a][b][c]
+                        if (b, c) not in following or new < following[b, c][0]:
+                            following[b, c] = new, word + read
+                states, joined = following, DROP_SEPARATOR
+                cost, word = min((cost + bits[a][b][0], word) for (a, b), (cost, word) in states.items())
+                found.append((start, end + 1, cost, word))
+        before, after = [0.0] + [np.inf] * n, [np.inf] * n + [0.0]
+        for start, end, cost, _ in found:
+            before[end] = min(before[end], before[start] + cost)
+        for start, end, cost, _ in reversed(found):
+            after[start] = min(after[start], cost + after[end])
+        return {word.encode() for start, end, cost, word in found if end - start > 1 and before[start] + cost + after[end] <= before[n] + MARGIN}
+
     def _viterbi(self, word: str) -> bytes:
         # A state is the last two classes and the last letter; it holds its cost and a linked reading.
         bits, states, before = self.bits, {(0, 0, ""): (0.0, None)}, ""
@@ -176,11 +217,12 @@ def words(buf: np.ndarray, offs: np.ndarray, decoder: Decoder) -> tuple[np.ndarr
     lone = (e2 - s2 == width) & (_LETTER[buf[s2]] | _LEET[buf[s2]])
     edge = np.flatnonzero(np.concatenate([[True], (lone[1:] != lone[:-1]) | (lone_row[1:] != lone_row[:-1])]))
     size = np.diff(np.append(edge, len(lone)))
-    spelled = edge[lone[edge] & (size >= SPELLED)], size[lone[edge] & (size >= SPELLED)]
+    spelled = lone[edge] & (size >= SPELLED) & ((size > SPELLED) | (np.add.reduceat(_LETTER[buf[s2]].astype(np.int64), edge) > 0))
     extra, extra_row = [], []
-    for at, n in zip(*spelled):
-        extra.append(decoder.restore(b" ".join(buf[a:b].tobytes() for a, b in zip(s2[at: at + n], e2[at: at + n]))))
-        extra_row.append(lone_row[at])
+    for at, n in zip(edge[spelled], size[spelled]):
+        found = decoder.spelled([buf[a:b].tobytes() for a, b in zip(s2[at: at + n], e2[at: at + n])])
+        extra += found
+        extra_row += [lone_row[at]] * len(found)
     for at in np.flatnonzero(odd):
         extra.append(decoder.restore(buf[s2[at]: e2[at]].tobytes()))
         extra_row.append(lone_row[at])

@@ -37,6 +37,18 @@ def test_disguises_score_like_the_plain_word(spark, model):
     assert all("idiot" in r.words for r in read)
 
 
+def test_spelled_words_beside_lone_letters_and_each_other(spark, model):
+    clean = "the and of that ererou to shre as reontioned"
+    texts = {"such a i d i o t": "idiot", "I i d i o t": "idiot", "i d i o t I": "idiot", "i d i o t s c u m": "idiot", "s c u m i d i o t": "scum", "a 1 d 1 0 t": "idiot"}
+    rows = [(i, f"{clean} {x} {clean}") for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {r.doc_id: r.words for r in op.restore(df, model.bits).collect()}
+    assert all(w in words[i] for i, w in enumerate(texts.values())), words
+    assert all(r.predicted == 1 for r in op.score(df, model).collect())
+    short = op.restore(spark.createDataFrame([(1, f"{clean} a s s {clean}"), (2, "4 5 5")], "doc_id long, text string"), model.bits).collect()
+    assert "ass" in {r.doc_id: r.words for r in short}[1] and "ass" not in {r.doc_id: r.words for r in short}[2]
+
+
 def brute(bits, word):
     """Cheapest reading by trying every one of a short word without repeats."""
     options = [[(c, 0.0)] if c.isalpha() else
