@@ -7,9 +7,12 @@ Each language has a context tree: how often every byte followed every context of
 The statistics are frozen once counted, so a text's code length is a sum of looked-up
 prices, and the language with the shortest code wins. No exclusions are applied.
 
-Counting is a Spark aggregation over all training texts. ``max_nodes`` bounds the trees
-together (most frequent nodes stay, a parent always before its children): with at most
-that many nodes the prices have a proven size, and only they are sent to the tasks.
+Counting is a Spark aggregation over all training texts, and all nodes count. At most
+``max_nodes`` of them are sent to the tasks as prices. Larger trees stay a written table:
+only the prices of the most frequent longest contexts are sent, each taken from the full
+counts; what else a text holds is summed from a join on the context and byte. The table is
+priced in buckets of the two bytes before, where a context meets all its children and all
+its shorter contexts but the last two, whose number is bounded by bytes.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is
 everything if nothing could be learned; null ids count as remainder 0; equal code lengths
@@ -26,6 +29,8 @@ from recallspark.llm import blocks
 
 ORDER = 3
 MAX_NODES = 1_000_000
+#: Nodes that a bucket of a written table holds, about.
+PER_BUCKET = 200_000
 UNKNOWN = "und"
 
 
@@ -114,9 +119,10 @@ def counts(df: DataFrame, text: str, lang: str, order: int) -> DataFrame:
 class Prices:
     """Code lengths of every known context and byte, per language."""
 
-    def __init__(self, level: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int):
-        self.langs = sorted(set(lang.tolist()))
-        code = np.array([self.langs.index(x) for x in lang], np.int64) if len(lang) else np.zeros(0, np.int64)
+    def __init__(self, level: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, langs: list[str] | None = None):
+        self.langs = sorted(set(lang.tolist())) if langs is None else langs
+        number = {x: i for i, x in enumerate(self.langs)}
+        code = np.array([number[x] for x in lang], np.int64) if len(lang) else np.zeros(0, np.int64)
         self.order, self.tables = order, []
         for j in range(order + 1):
             here = level == j
@@ -167,25 +173,81 @@ class Prices:
         return out
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, max_nodes: int = MAX_NODES) -> Prices:
+class Stored:
+    """Prices of trees that are too large to send: all nodes as a table, the commonest prices at hand."""
+
+    def __init__(self, nodes: DataFrame, size: int, order: int, max_nodes: int):
+        self.nodes, self.order = nodes, order
+        self.langs = sorted(r.lang for r in nodes.select("lang").distinct().collect())
+        self.buckets = -(-size // PER_BUCKET)
+        low = nodes.where(F.col("level") < min(2, order + 1)).toArrow()  # at most 65,536 + 256 a language
+        self.low = nodes.sparkSession.sparkContext.broadcast(_columns(low))
+        common = nodes.where(F.col("level") == order).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram")
+        got = self.priced(common.limit(max(1, max_nodes // len(self.langs))).select("gram")).toArrow()
+        keys = got["gram"].to_numpy().astype(np.uint64)
+        self.keys, self.price = keys, got["price"].combine_chunks().flatten().to_numpy().reshape(len(keys), len(self.langs))
+
+    def _bucket(self, gram):
+        return F.pmod(F.xxhash64(F.shiftright(gram, 8).bitwiseAND(0xFFFF)), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def priced(self, asked: DataFrame) -> DataFrame:
+        """``gram, price``: the price of different longest grams under every language."""
+        langs, order, low = self.langs, self.order, self.low
+
+        def run(nodes, grams):
+            own = _columns(nodes)
+            level, lang, gram, n = (np.concatenate(x) for x in zip(low.value, own))
+            keys = grams["gram"].to_numpy().astype(np.uint64)
+            price = Prices(level, lang, gram, n, order, langs)._price(order, keys)
+            return pa.table({"gram": grams["gram"], "price": pa.array(list(price), pa.list_(pa.float64()))})
+
+        deep = self.nodes.where("level >= 2").select(self._bucket(F.col("gram")), "lang", "level", "gram", "n")
+        some = asked.select(self._bucket(F.col("gram")), "gram")
+        return deep.groupBy("bucket").cogroup(some.groupBy("bucket")).applyInArrow(run, "gram bigint, price array<double>")
+
+
+def _columns(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    column = lambda name, kind: nodes[name].to_numpy().astype(kind)
+    return column("level", np.int64), np.array(nodes["lang"].to_pylist(), object), column("gram", np.uint64), column("n", np.float64)
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, max_nodes: int = MAX_NODES) -> Prices | Stored:
     """Context trees of all rows of ``df`` with a text and a language."""
     longest = counts(df, text, lang, order)
     level = F.explode(F.array(*[F.struct(F.lit(j).alias("level"), F.col("gram").bitwiseAND(F.lit((1 << (8 * j + 8)) - 1)).alias("gram"))
                                 for j in range(order + 1)]))
-    nodes = (
-        longest.select("lang", "n", level.alias("x")).groupBy("lang", "x.level", "x.gram").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "level", "gram", "lang").limit(max_nodes)
-    )
-    got = nodes.toArrow()
-    column = lambda name, kind: got[name].to_numpy().astype(kind)
-    return Prices(column("level", np.int64), np.array(got["lang"].to_pylist(), object), column("gram", np.uint64), column("n", np.float64), order)
+    nodes = blocks.settle(longest.select("lang", "n", level.alias("x")).groupBy("lang", "x.level", "x.gram").agg(F.sum("n").alias("n")))
+    size = nodes.count()
+    return Prices(*_columns(nodes.toArrow()), order) if size <= max_nodes else Stored(nodes, size, order, max_nodes)
+
 
+def _judged(bits: np.ndarray, letter: np.ndarray, langs: list[str]) -> list[pa.Array]:
+    """Language, share of the likelihoods and code length of rows of code lengths."""
+    known = letter & bool(langs)
+    best = bits.argmin(axis=1) if langs else np.zeros(len(bits), int)
+    least = bits.min(axis=1) if langs else np.zeros(len(bits))
+    share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1) if langs else least
+    return [pa.array([langs[i] if ok else UNKNOWN for i, ok in zip(best, known)], pa.string()),
+            pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, least, 0.0))]
 
-def predict(df: DataFrame, prices: Prices, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def predict(df: DataFrame, prices: Prices | Stored, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, ``lang_pred``, ``score`` (its share of the likelihoods) and ``bits`` of every row."""
-    sent = df.sparkSession.sparkContext.broadcast(prices)
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
                        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    shape = blocks.shape(source, "_key", "lang_pred string, score double, bits double")
+    names = ["_key", "lang_pred", "score", "bits"]
+    if isinstance(prices, Stored):
+        langs, rows = prices.langs, _stored_bits(source, prices)
+
+        def judge(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    bits = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, len(langs))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(bits, np.array(batch.column(1).to_pylist(), bool), langs)], names)
+
+        return rows.mapInArrow(judge, shape).withColumnRenamed("_key", key)
+    sent = df.sparkSession.sparkContext.broadcast(prices)
 
     def run(batches):
         model = sent.value
@@ -194,17 +256,45 @@ def predict(df: DataFrame, prices: Prices, key: str = "doc_id", text: str = "tex
             letter = np.array(batch.column(2).to_pylist(), bool)
             for a, b in blocks.slices(offs):
                 bits = model.bits(buf[offs[a]: offs[b]], offs[a: b + 1] - offs[a])
-                known = letter[a:b] & bool(model.langs)
-                best = bits.argmin(axis=1) if model.langs else np.zeros(b - a, int)
-                least = bits.min(axis=1) if model.langs else np.zeros(b - a)
-                share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1) if model.langs else least
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
-                     pa.array([model.langs[i] if ok else UNKNOWN for i, ok in zip(best, known)], pa.string()),
-                     pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, least, 0.0))],
-                    ["_key", "lang_pred", "score", "bits"])
-
-    return source.mapInArrow(run, blocks.shape(source, "_key", "lang_pred string, score double, bits double")).withColumnRenamed("_key", key)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_judged(bits, letter[a:b], model.langs)], names)
+
+    return source.mapInArrow(run, shape).withColumnRenamed("_key", key)
+
+
+def _stored_bits(source: DataFrame, prices: Stored) -> DataFrame:
+    """``_key, _letter, bits`` (an array) of every row: sent prices summed in the scan, the others by a join."""
+    order, width = prices.order, len(prices.langs)
+    sent = source.sparkSession.sparkContext.broadcast((Lookup(prices.keys), prices.price))
+
+    def scan(batches):
+        lookup, price = sent.value
+        for batch in batches:
+            buf, offs = blocks.flat(batch.column(1))
+            for a, b in blocks.slices(offs):
+                here = offs[a: b + 1] - offs[a]
+                keys, row = grams(buf[offs[a]: offs[b]], here, order), np.repeat(np.arange(b - a), np.diff(here))
+                at = lookup.find(keys)
+                bits = np.zeros((b - a, width))
+                for i in range(width):
+                    bits[:, i] = np.bincount(row[at >= 0], price[at[at >= 0], i], b - a)
+                rest = np.flatnonzero(at < 0)
+                rest = rest[np.lexsort((keys[rest], row[rest]))]
+                k, r = keys[rest], row[rest]
+                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])) if len(k) else np.zeros(0, np.int64)
+                times, cut = np.diff(np.append(new, len(k))), np.searchsorted(r[new], np.arange(b - a + 1)).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a),
+                                                  pa.array(list(bits), pa.list_(pa.float64())), lists(k[new]), lists(times)],
+                                                 ["_key", "_letter", "_sent", "_grams", "_times"])
+
+    found = source.mapInArrow(scan, blocks.shape(source, "_key", "_letter boolean, _sent array<double>, _grams array<bigint>, _times array<bigint>"))
+    rows = blocks.settle(found.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = rows.select("_row", F.explode(F.arrays_zip("_grams", "_times")).alias("x")).select("_row", F.col("x._grams").alias("gram"), F.col("x._times").alias("times"))
+    price = prices.priced(pairs.select("gram").distinct())
+    parts = [F.sum(F.col("price")[i] * F.col("times")) for i in range(width)]
+    rest = pairs.join(price, "gram").groupBy("_row").agg(F.array(*parts).alias("_rest"))
+    both = F.when(F.col("_rest").isNull(), F.col("_sent")).otherwise(F.zip_with("_sent", "_rest", lambda x, y: x + y))
+    return rows.join(rest, "_row", "left").select("_key", "_letter", both.alias("bits"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

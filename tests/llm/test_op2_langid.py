@@ -72,3 +72,15 @@ def test_bounded_trees_keep_parents(spark):
     small = op.fit(df, max_nodes=12)
     got = op.predict(spark.createDataFrame([(1, "abc"), (2, "qrs")], "doc_id long, text string"), small).collect()
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_large_trees_price_every_context(spark):
+    rows = [("the cat sat on the mat, that hat " * 50, "aa"), ("le chat est là et la chatte aussi", "bb"), ("abcabcabd xyz é", "cc")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    texts = ["the chatte", "là aussi", "zzz€", "xyz abd", "é 1", "the hat " * 300, "", None, "12"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "chat")], "doc_id long, text string")
+    whole, stored = op.fit(df), op.fit(df, max_nodes=30)
+    want, got = ({r.doc_id: r for r in op.predict(asked, m).collect()} for m in (whole, stored))
+    assert got.keys() == want.keys() and len(got) == 10
+    for i, r in want.items():
+        assert got[i].lang_pred == r.lang_pred and math.isclose(got[i].bits, r.bits, rel_tol=1e-9) and math.isclose(got[i].score, r.score, rel_tol=1e-6)
