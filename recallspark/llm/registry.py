@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from recallspark.llm import op1_quality, op2_langid, op3_hilbert, op4_jaccard, op5_itq, op6_mixing, op7_suffix, op8_lsh, op9_bpe, op10_toxicity, op11_spelling
+from recallspark.llm import op1_quality, op2_langid, op3_hilbert, op4_jaccard, op5_itq, op6_mixing, op7_suffix, op8_lsh, op9_bpe, op10_toxicity, op11_spelling, op12_lattice, op13_alignment
 
-MODULES = (op1_quality, op2_langid, op3_hilbert, op4_jaccard, op5_itq, op6_mixing, op7_suffix, op8_lsh, op9_bpe, op10_toxicity, op11_spelling)
+MODULES = (op1_quality, op2_langid, op3_hilbert, op4_jaccard, op5_itq, op6_mixing, op7_suffix, op8_lsh, op9_bpe, op10_toxicity, op11_spelling, op12_lattice, op13_alignment)
 
 
 def queries() -> dict:
