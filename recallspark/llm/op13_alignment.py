@@ -42,6 +42,8 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HOT = 1 << 17
 #: Most pieces a task remembers between slices; beyond it the memory starts afresh.
 REMEMBERED = 200_000
+#: Bytes that are given to the tokenizers at once, about.
+CHUNK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -147,39 +149,82 @@ class Aligned:
         return incidence(self.group_a, groups), incidence(self.group_b, groups).transposed()
 
 
+def visible(byte: np.ndarray) -> np.ndarray:
+    """Bytes that begin a visible character: ASCII, or a lead byte that no white space begins with."""
+    return ((byte > 0x20) & (byte < 0x7F)) | (byte >= 0xC3) & ~np.isin(byte, (0xE1, 0xE2, 0xE3))
+
+
 class Aligner:
     def __init__(self, first: bytes, second: bytes):
         self.one, self.table_a, self.offs_a = first_tokenizer(first)
         self.two, self.table_b, self.offs_b = second_tokenizer(second)
         self.width = len(self.offs_b) - 1
         self.digits, self.digits_at = _table([str(i).encode() for i in range(max(len(self.offs_a), len(self.offs_b)))])
-        self.known: dict[bytes, tuple] = {}
+        self._forget()
 
-    def _ids(self, strings: list[bytes]) -> tuple[list, list]:
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.good = np.zeros(0, bool)
+        self.counts = np.zeros((0, 4), np.int64)
+        self.codes, self.code_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.spellings: list[bytes] = []
+
+    def _ids(self, raw: list[bytes]) -> tuple[list, list]:
         """Ids of strings that begin with a space, which the second tokenizer adds by itself."""
-        texts = [s.decode("utf-8", "replace") for s in strings]
-        return [e.ids for e in self.one.encode_batch_fast(texts, add_special_tokens=False)], self.two.encode([t[1:] for t in texts], num_threads=1)
+        texts = [s.decode("utf-8", "replace") for s in raw]
+        first = self.one.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.int64) for e in first], [np.array(x, np.int64) for x in self.two.encode([t[1:] for t in texts], num_threads=1)]
+
+    def _fits(self, a: np.ndarray, b: np.ndarray, raw: bytes, ends: np.ndarray) -> bool:
+        """Whether both kinds of tokens give ``raw`` back and end at all of ``ends``."""
+        for ids, table, offs in ((a, self.table_a, self.offs_a), (b, self.table_b, self.offs_b)):
+            flat, length = decode_flat(ids, table, offs)
+            if flat.tobytes() != raw or not np.isin(ends, np.cumsum(length)).all():
+                return False
+        return True
+
+    def _chunks(self, strings: list[bytes]) -> tuple[bytes, np.ndarray, list[int]]:
+        """All strings end to end, their bounds, and where to cut for encoding several at once.
+
+        A string that is a space and a visible character at its start can follow any other: a token
+        of either kind begins there anyway.
+        """
+        raw = b"".join(strings)
+        at = np.append(0, np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings))))
+        second = np.frombuffer(raw, np.uint8)[np.minimum(at[:-1] + 1, max(len(raw) - 1, 0))] if raw else np.zeros(len(strings), np.uint8)
+        alone = ~visible(second)
+        cut = [0]
+        for x, y in blocks.slices(at, CHUNK):
+            cut += [*(np.flatnonzero(alone[x:y]) + x).tolist(), y]
+        return raw, at, sorted({*cut, len(strings)})
 
     def align(self, strings: list[bytes]) -> Aligned:
         """Strings whose tokens do not give them back are not ``good`` and have none."""
-        a, b = self._ids(strings)
+        raw, at, cut = self._chunks(strings)
+        parts = [raw[at[x]: at[y]] for x, y in zip(cut[:-1], cut[1:])]
         good = np.ones(len(strings), bool)
-        for lists, table, offs in ((a, self.table_a, self.offs_a), (b, self.table_b, self.offs_b)):
-            flat = np.fromiter((i for ids in lists for i in ids), np.int64)
-            if decode_flat(flat, table, offs)[0].tobytes() != b"".join(strings):
-                good &= [table[ragged(offs[i], offs[i + 1] - offs[i])].tobytes() == s for i, s in zip((np.array(x, np.int64) for x in lists), strings)]
-        a, b = ([x if g else [] for x, g in zip(lists, good)] for lists in (a, b))
-        flat_a, flat_b = (np.fromiter((i for ids in lists for i in ids), np.int64) for lists in (a, b))
-        length_a, length_b = (offs[x + 1] - offs[x] for x, offs in ((flat_a, self.offs_a), (flat_b, self.offs_b)))
+        found_a, found_b = [], []
+        for x, y, part, a, b in zip(cut[:-1], cut[1:], parts, *self._ids(parts)):
+            if self._fits(a, b, part, at[x + 1: y + 1] - at[x]):
+                found_a.append(a)
+                found_b.append(b)
+                continue
+            for i, a, b in zip(range(x, y), *self._ids(strings[x:y])):
+                good[i] = self._fits(a, b, strings[i], np.array([len(strings[i])]))
+                if good[i]:
+                    found_a.append(a)
+                    found_b.append(b)
+        flat_a, flat_b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
+        length_a, length_b = self.offs_a[flat_a + 1] - self.offs_a[flat_a], self.offs_b[flat_b + 1] - self.offs_b[flat_b]
         ends_a, ends_b = np.cumsum(length_a), np.cumsum(length_b)
-        total = int(ends_a[-1]) if len(ends_a) else 0
+        bounds = np.append(0, np.cumsum(np.diff(at) * good))
+        total = int(bounds[-1])
         rows_a, rows_b = incidence(ends_a - length_a, total, length_a), incidence(ends_b - length_b, total, length_b)
-        both = np.zeros(total + 1, bool)
+        both, other = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
         both[ends_a] = True
-        other = np.zeros(total + 1, bool)
         other[ends_b] = True
         group = np.append(0, np.cumsum(both & other))  # groups that end at or before an offset
-        return Aligned(flat_a, flat_b, np.append(0, np.cumsum([len(x) for x in a])), np.append(0, np.cumsum([len(x) for x in b])),
+        return Aligned(flat_a, flat_b, np.searchsorted(ends_a, bounds, "right"), np.searchsorted(ends_b, bounds, "right"),
                        product(rows_a, rows_b.transposed()), group[ends_a], group[ends_b], good)
 
     def spelled(self, found: Aligned) -> tuple[bytes, np.ndarray]:
@@ -203,10 +248,13 @@ class Aligner:
         link_at = found.links.ptr[found.a_at]
         shared = np.append(0, np.cumsum(row_sizes(*found.group_matrices())))[found.a_at]
         last = np.append(-1, found.group_a)[found.a_at]
-        for i, (string, good) in enumerate(zip(strings, found.good.tolist())):
-            self.known[string] = (
-                good, int(found.a_at[i + 1] - found.a_at[i]), int(found.b_at[i + 1] - found.b_at[i]), int(last[i + 1] - last[i]),
-                int(shared[i + 1] - shared[i]), codes[link_at[i]: link_at[i + 1]].tobytes(), spelled[at[i]: max(at[i], at[i + 1] - 1)])
+        self.known.update(zip(strings, range(len(self.good), len(self.good) + len(strings))))
+        self.good = np.append(self.good, found.good)
+        self.counts = np.concatenate([self.counts, np.stack([np.diff(x) for x in (found.a_at, found.b_at, last, shared)], 1)])
+        self.code_at = np.append(self.code_at, self.code_at[-1] + link_at[1:])
+        self.codes = np.append(self.codes, codes)
+        cuts = at.tolist()
+        self.spellings += [spelled[x: y - 1] if y > x else b"" for x, y in zip(cuts[:-1], cuts[1:])]
 
     def rows(self, buf: np.ndarray, offs: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """Of every text: counts and digest; then row, code and times of each id pair it holds linked."""
@@ -222,36 +270,42 @@ class Aligner:
         array = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(spaced)]).dictionary_encode()
         names, piece = array.dictionary.to_pylist(), array.indices.to_numpy().astype(np.int64)
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [s for s in names if s not in self.known and len(s) > 1]  # a lone space is an empty text
+            self._forget()
+        if b" " not in self.known:
+            self._remember_nothing()
+        new = [s for s in names if s not in self.known]
         for x, y in blocks.slices(np.append(0, np.cumsum([len(s) for s in new]))) if new else ():
             self.learn(new[x:y])
-        none = (True, 0, 0, 0, 0, b"", b"")
-        each = [self.known.get(s, none) for s in names]
+        each = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         row = np.searchsorted(at, start, "right") - 1
         good = np.ones(n, bool)
-        good[row[~np.fromiter((e[0] for e in each), bool, len(each))[piece]]] = False
-        counts = [np.bincount(row, weights=np.fromiter((e[k] for e in each), np.int64, len(each))[piece], minlength=n).astype(np.int64) for k in (1, 2, 3, 4)]
-        ids, bound = piece.tolist(), np.searchsorted(row, np.arange(n + 1)).tolist()
-        spelled = [e[6] for e in each]
-        digests = [hashlib.sha256(b";".join(spelled[i] for i in ids[x:y])).hexdigest() if c else "" for x, y, c in zip(bound[:-1], bound[1:], counts[0].tolist())]
-        held, times = np.unique(row * len(each) + piece, return_counts=True)
-        holder, piece = np.divmod(held, max(len(each), 1))
-        size = np.fromiter((len(e[5]) // 4 for e in each), np.int64, len(each))
-        flat = np.frombuffer(b"".join(e[5] for e in each), np.int32).astype(np.int64)
-        codes = flat[ragged((np.cumsum(size) - size)[piece], size[piece])]
-        key = np.repeat(holder, size[piece]) << 32 | codes
+        good[row[~self.good[each[piece]]]] = False
+        counts = [np.bincount(row, weights=self.counts[each[piece], k], minlength=n).astype(np.int64) for k in range(4)]
+        ids, bound = each[piece].tolist(), np.searchsorted(row, np.arange(n + 1)).tolist()
+        spelled = self.spellings
+        digests = [hashlib.sha256(b";".join([spelled[i] for i in ids[x:y]])).hexdigest() if c else "" for x, y, c in zip(bound[:-1], bound[1:], counts[0].tolist())]
+        held, times = np.unique(row * len(names) + piece, return_counts=True)
+        holder, piece = np.divmod(held, max(len(names), 1))
+        size = np.diff(self.code_at)[each[piece]]
+        codes = self.codes[ragged(self.code_at[each[piece]], size)].astype(np.int64)
+        key, times = np.repeat(holder, size) << 32 | codes, np.repeat(times, size)
         out = [*counts, digests]
         if not good.all():
-            key, times = self._whole(spaced, at, good, out, key, np.repeat(times, size[piece]))
-        else:
-            times = np.repeat(times, size[piece])
+            key, times = self._whole(spaced, at, good, out, key, times)
         order = np.argsort(key, kind="stable")
         key, times = key[order], times[order]
         first = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
         times = np.add.reduceat(times, first) if len(first) else times
         return out, key[first] >> 32, key[first] & 0xFFFFFFFF, times
 
+    def _remember_nothing(self) -> None:
+        """A lone space is an empty text: good, and without tokens."""
+        self.known[b" "] = len(self.good)
+        self.good = np.append(self.good, True)
+        self.counts = np.concatenate([self.counts, np.zeros((1, 4), np.int64)])
+        self.code_at = np.append(self.code_at, self.code_at[-1])
+        self.spellings.append(b"")
+
     def _whole(self, spaced, at, good, out, key, times):
         """Texts with a piece that its tokens do not give back, encoded as wholes: only these decide."""
         keep = good[key >> 32]
