@@ -8,6 +8,11 @@ from recallspark.functions.rank import six, top_k
 from recallspark.functions.text import token_set
 from recallspark.schema import RRF_K
 
+# --------------------------------------------------------------- fixed values
+CONSULTED = "you queried this remote while solving the task"
+NO_SIGNAL = "no signal either way"
+# ----------------------------------------------------------- end fixed values
+
 
 def fuse(ranked: DataFrame, limit: int) -> DataFrame:
     """Merge lists by position only.
@@ -35,10 +40,11 @@ def choose_remote(
     """Enabled destinations of each record, best first: all of them, or the ``k`` best.
 
     Consulted sources first, then the share of a source's description found in
-    the record, then the name. Records meet sources only through shared words;
-    with ``k``, the first ``k`` names stand in for sources sharing none, so that a
-    batch of records is not paired with every source. Without ``k`` the ranking is
-    complete, one row per record and enabled source. ``consulted`` is ``(memory_id, name)``.
+    the record, then the name. Records meet sources only through shared words; with
+    ``k``, the first ``k`` names stand in for sources sharing none. Without ``k`` the
+    rows are all sources that have anything to do with the record; all others follow
+    them in the order of :func:`rest_of_remotes`, which is the same for every record and
+    so is kept once, not per record. ``consulted`` is ``(project_id, memory_id, name)``.
     """
     words = F.array_distinct(F.concat(
         token_set(F.col("description")),
@@ -52,21 +58,19 @@ def choose_remote(
         .join(sizes, "name")
         .select("project_id", "memory_id", "name", (F.col("shared") / F.col("size")).alias("overlap"))
     )
-    # The names a record may fall back on, as one row.
-    names = open_remotes.select("name").distinct().orderBy("name")
-    first = (names if k is None else names.limit(k)).agg(F.array_sort(F.collect_list("name")).alias("names"))
-    fallback = records.select("project_id", "memory_id", F.lit(1).alias("_one")).join(
-        first.withColumn("_one", F.lit(1)), "_one"
-    ).select("project_id", "memory_id", F.explode("names").alias("name"), F.lit(0.0).alias("overlap"))
-    options = overlap.unionByName(fallback)
+    options = overlap
+    if k is not None:
+        names = [r["name"] for r in open_remotes.select("name").distinct().orderBy("name").limit(k).collect()]
+        options = options.unionByName(records.select(
+            "project_id", "memory_id", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("name"), F.lit(0.0).alias("overlap")))
     if consulted is not None:
         asked = consulted.join(open_remotes.select("name"), "name", "left_semi").join(
-            records.select("project_id", "memory_id"), "memory_id")
+            records.select("project_id", "memory_id"), ["project_id", "memory_id"])
         options = options.unionByName(asked.select("project_id", "memory_id", "name", F.lit(0.0).alias("overlap")))
     options = options.groupBy("project_id", "memory_id", "name").agg(F.max("overlap").alias("overlap"))
     if consulted is not None:
         options = options.join(
-            consulted.select("memory_id", "name", F.lit(True).alias("_c")).distinct(), ["memory_id", "name"], "left")
+            consulted.select("project_id", "memory_id", "name", F.lit(True).alias("_c")).distinct(), ["project_id", "memory_id", "name"], "left")
     else:
         options = options.withColumn("_c", F.lit(None).cast("boolean"))
     options = options.withColumn("consulted", F.coalesce("_c", F.lit(False))).withColumn(
@@ -78,7 +82,24 @@ def choose_remote(
         best = top_k(options, ["project_id", "memory_id"], order, k)
     return best.select(
         "project_id", "memory_id", F.col("rn").alias("place"), "name", "consulted", "description_match",
-        F.when(F.col("consulted"), "you queried this remote while solving the task")
+        F.when(F.col("consulted"), CONSULTED)
         .when(F.col("overlap") > 0, F.concat(
             F.lit("description overlap "), F.bround(F.col("overlap") * 100).cast("int").cast("string"), F.lit("%")))
-        .otherwise("no signal either way").alias("why"))
+        .otherwise(NO_SIGNAL).alias("why"))
+
+
+def rest_of_remotes(remotes: DataFrame) -> DataFrame:
+    """``name, place``: all enabled sources by name, as they follow those that have to do with a record."""
+    return remotes.where("enabled").select("name").distinct().withColumn(
+        "place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")))
+
+
+def complete(chosen: DataFrame, remotes: DataFrame, records: DataFrame) -> DataFrame:
+    """Every enabled source for each of a few ``records`` (a caller's own, not a table): chosen ones, then the rest."""
+    keys = ["project_id", "memory_id"]
+    every = records.select(*keys).crossJoin(rest_of_remotes(remotes).withColumnRenamed("place", "_name_place"))
+    others = every.join(chosen.select(*keys, "name"), [*keys, "name"], "left_anti")
+    many = chosen.groupBy(*keys).agg(F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_name_place")) + F.coalesce("_n", F.lit(0))
+    return chosen.unionByName(others.join(many, keys, "left").select(
+        *keys, place.cast("int").alias("place"), "name", F.lit(False).alias("consulted"), F.lit(0.0).alias("description_match"), F.lit(NO_SIGNAL).alias("why")))

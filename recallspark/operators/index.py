@@ -134,15 +134,15 @@ def bm25(
     df = postings.groupBy(*group, "term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = settle(
-        terms.join(df, "term")
+        terms.join(df, ["term", *(c for c in scope if c == "project_id")])
         .join(stats, names)
         .select(
-            "query_id", "project_id", "term", "times", *scope, "avgdl",
+            "query_id", "term", "times", *dict.fromkeys(["project_id", *scope]), "avgdl",
             F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("idf"),
             (F.col("df") > F.col("n") * COMMON_SHARE).alias("common"), "df",
         ))
     live = postings.where("live")
-    on = ["term", "project_id", *scope]
+    on = list(dict.fromkeys(["term", "project_id", *scope]))
     work = weights.agg(F.sum("df")).head()[0] or 0.0
     if scope or apart or work <= skip_above:
         scored = _sum(_gains(live, ship(weights), on, apart), apart)

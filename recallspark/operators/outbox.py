@@ -1,16 +1,31 @@
-"""Publication: who may leave, what is queued, and what a delivery run does with it."""
+"""Publication: who may leave, what is queued, and what a delivery run does with it.
+
+A delivery is a set of rows under a run id in the destination's own folder; it counts once
+the run's manifest, written last, is there. A run that is repeated, or that follows one whose
+queue was never updated, finds what has been delivered and sends it no second time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallspark.functions.secrets import findings
+from recallspark.operators.records import DOCUMENT_FIELDS
 from recallspark.schema import MIN_PROMOTION_TIER
 from recallspark.session import settle
+from recallspark.sources.files import create_text, list_names
 
 KEY = ["project_id", "memory_id"]
-# Record ids (32 characters) shipped to every task up to this many.
-BROADCAST_IDS = 200_000
+#: Remotes that are written to at the same time.
+ABREAST = 8
+
+
+def published_text() -> Column:
+    """Everything of a document that would leave with it; key material fields are not part of it."""
+    return F.to_json(F.struct(*[c for c in DOCUMENT_FIELDS if c != "schema_version"]))
 
 
 def publication_state(records: DataFrame, cached: DataFrame) -> DataFrame:
@@ -33,7 +48,9 @@ def gate(requests: DataFrame, state: DataFrame, bodies: DataFrame, remotes: Data
     """
     known = remotes.select(F.col("name").alias("remote"), F.col("enabled").alias("_enabled"))
     asked = requests.join(state, ["project_id", "slug"], "left").join(known, "remote", "left")
-    text = bodies.select(*KEY, F.explode(findings(F.col("text")))).groupBy(*KEY).agg(F.count("*").alias("_secrets"))
+    # Only texts somebody asks for are scanned.
+    wanted = bodies.join(settle(asked.where("memory_id is not null").select(*KEY).distinct()), KEY, "left_semi")
+    text = wanted.select(*KEY, F.explode(findings(F.col("text")))).groupBy(*KEY).agg(F.count("*").alias("_secrets"))
     asked = asked.join(text, KEY, "left")
     outcome = (
         F.when(F.col("memory_id").isNull(), "unknown record")
@@ -65,10 +82,11 @@ def enqueue(queue: DataFrame, accepted: DataFrame, now: str) -> DataFrame:
 
 
 def status(queue: DataFrame, records: DataFrame, limit: int = 50) -> DataFrame:
-    """First ``limit`` queue rows by id, named by slug where the record still exists."""
+    """First ``limit`` queue rows by id with their last error, named by slug where the record still exists."""
     first = queue.orderBy("id").limit(limit)
-    named = first.join(records.select("memory_id", "slug"), "memory_id", "left")
-    return named.select("id", F.coalesce("slug", "memory_id").alias("name"), "remote", "queued_at", "attempts")
+    named = first.join(records.select(*KEY, "slug"), KEY, "left")
+    error = F.col("last_error") if "last_error" in queue.columns else F.lit(None).cast("string")
+    return named.select("id", F.coalesce("slug", "memory_id").alias("name"), "remote", "queued_at", "attempts", error.alias("last_error"))
 
 
 def classify(queue: DataFrame, records: DataFrame, remotes: DataFrame, text: Column) -> DataFrame:
@@ -78,19 +96,14 @@ def classify(queue: DataFrame, records: DataFrame, remotes: DataFrame, text: Col
     again because a body may have changed while its row waited. Only records with
     a row waiting for an open remote are read.
     """
-    state = records.select("memory_id", "slug", "archived_at", F.lit(True).alias("_here"))
+    state = records.select(*KEY, "slug", "archived_at", F.lit(True).alias("_here"))
     enabled = remotes.where("enabled").select(F.col("name").alias("remote"), F.lit(True).alias("_open"))
-    rows = queue.join(state, "memory_id", "left").join(enabled, "remote", "left")
+    rows = queue.join(state, KEY, "left").join(enabled, "remote", "left")
     waiting = rows.where(F.col("_here") & F.col("archived_at").isNull() & F.col("_open"))
-    ids = settle(waiting.select("memory_id").distinct())
-    texts = records
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        # Few: scan only those texts, where they lie. Otherwise scan all, so that
-        # findings move and texts do not.
-        texts = records.join(F.broadcast(ids), "memory_id", "left_semi")
-    scanned = texts.select("memory_id", F.explode(findings(text)).alias("_f")).groupBy("memory_id").agg(
+    texts = records.join(settle(waiting.select(*KEY).distinct()), KEY, "left_semi")
+    scanned = texts.select(*KEY, F.explode(findings(text)).alias("_f")).groupBy(*KEY).agg(
         F.array_sort(F.collect_list("_f")).alias("_found"))
-    rows = rows.join(scanned, "memory_id", "left")
+    rows = rows.join(scanned, KEY, "left")
     action = (
         F.when(F.col("_here").isNull() | F.col("archived_at").isNotNull(), "drop")
         .when(F.col("_open").isNull(), "skip")
@@ -101,7 +114,7 @@ def classify(queue: DataFrame, records: DataFrame, remotes: DataFrame, text: Col
         action == "hold",
         F.concat(F.lit("held: "), F.array_join(F.transform(
             "_found", lambda f: F.concat(f["rule"], F.lit(" "), f["masked"])), "; ")))
-    return rows.select("id", "memory_id", F.coalesce("slug", "memory_id").alias("name"), "remote", "queued_at",
+    return rows.select("id", *KEY, F.coalesce("slug", "memory_id").alias("name"), "remote", "queued_at",
                        "attempts", action.alias("action"), why.alias("last_error"))
 
 
@@ -112,12 +125,61 @@ def after_delivery(classified: DataFrame, failed: DataFrame) -> DataFrame:
     missed = (F.col("action") == "send") & F.col("_failed")
     kept = left.where((F.col("action") != "send") | missed)
     return kept.select(
-        "id", "memory_id", "remote", "queued_at",
+        "id", *KEY, "remote", "queued_at",
         (F.col("attempts") + F.when(missed, 1).otherwise(0)).alias("attempts"),
         F.when(missed, F.col("error")).otherwise(F.col("last_error")).alias("last_error"))
 
 
-def deliver(classified: DataFrame, bodies: DataFrame, path: str) -> None:
-    """Append what is sent to each destination's dataset, partitioned by remote."""
-    classified.where(F.col("action") == "send").select("memory_id", "remote").join(bodies, "memory_id").write.mode(
-        "append").partitionBy("remote").parquet(path)
+def delivered(spark: SparkSession, url: str) -> DataFrame | None:
+    """What a destination holds: rows of the runs whose manifest is there; None before the first."""
+    runs = [n[: -len(".json")] for n in list_names(spark, f"{url}/_runs") if n.endswith(".json") and n[0] != "."]
+    found = None
+    for run in runs:
+        rows = spark.read.parquet(f"{url}/run={run}").withColumn("run", F.lit(run))
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
+
+
+def deliver(classified: DataFrame, bodies: DataFrame, remotes: DataFrame, run: str, now: str) -> tuple[DataFrame, dict[str, str | None]]:
+    """Send every ``send`` row to its remote's folder (``url``), once.
+
+    ``bodies`` has ``project_id, memory_id`` and what is sent of a record. Returns ``(id, error)`` of the
+    rows that did not land, and per remote that had rows the error, or None. A remote that cannot be
+    written does not stop the others. Remotes are few and kept by hand, so they are gone through here,
+    some at a time; the rows of each are written by Spark.
+    """
+    spark = classified.sparkSession
+    sent = settle(classified.where(F.col("action") == "send").select("id", *KEY, "remote", "queued_at"))
+    names = [r["remote"] for r in sent.select("remote").distinct().orderBy("remote").collect()]
+    urls = {r["name"]: r["url"] for r in remotes.where("enabled").select("name", "url").collect()}
+
+    def one(name: str) -> str | None:
+        try:
+            url, mine = urls[name].rstrip("/"), run
+            rows = sent.where(F.col("remote") == name)
+            before = delivered(spark, url)
+            if before is not None:
+                rows = rows.join(before.select("id", "queued_at").distinct(), ["id", "queued_at"], "left_anti")
+            if before is None or not rows.isEmpty():
+                while f"{mine}.json" in list_names(spark, f"{url}/_runs"):
+                    mine += "+"  # the id was used for other rows before
+                rows.join(bodies, KEY).write.mode("overwrite").parquet(f"{url}/run={mine}")
+                create_text(spark, f"{url}/_runs/{mine}.json", json.dumps({"run": mine, "at": now}))
+            return None
+        except Exception as error:  # one destination out of reach is that destination's outcome
+            return str(error).strip().splitlines()[0][:200] if str(error).strip() else type(error).__name__
+
+    with ThreadPoolExecutor(ABREAST) as several:
+        outcome = dict(zip(names, several.map(one, names)))
+    failed = [(name, error) for name, error in outcome.items() if error is not None]
+    lost = spark.createDataFrame(failed, "remote string, error string")
+    return sent.join(lost, "remote").select("id", "error"), outcome
+
+
+def stamped(remotes: DataFrame, outcome: dict[str, str | None], now: str) -> DataFrame:
+    """Remotes with ``last_ok`` and ``last_error`` as a run left them."""
+    rows = remotes.sparkSession.createDataFrame([(n, e) for n, e in outcome.items()], "name string, _error string").withColumn("_hit", F.lit(True))
+    joined = remotes.join(rows, "name", "left")
+    ok = F.col("_hit") & F.col("_error").isNull()
+    return joined.withColumn("last_ok", F.when(ok, F.lit(now)).otherwise(F.col("last_ok"))).withColumn(
+        "last_error", F.when(F.col("_hit"), F.col("_error")).otherwise(F.col("last_error"))).select(*remotes.columns)

@@ -124,19 +124,6 @@ def authored_links(records: DataFrame) -> DataFrame:
     return out
 
 
-def mirror(links: DataFrame) -> DataFrame:
-    """Every link with its counterpart: related both ways, supersedes against superseded_by.
-
-    A pair of records holds one link per kind; of two reasons the smaller text is kept.
-    """
-    flip = F.col("kind")
-    for kind, other in MIRROR.items():
-        flip = F.when(F.col("kind") == kind, other).otherwise(flip) if kind != other else flip
-    back = links.select("project_id", F.col("dst").alias("src"), F.col("src").alias("dst"), flip.alias("kind"), "reason")
-    return links.select("project_id", "src", "dst", "kind", "reason").unionByName(back).groupBy(
-        "project_id", "src", "dst", "kind").agg(F.min("reason").alias("reason"))
-
-
 def with_links(records: DataFrame, links: DataFrame) -> DataFrame:
     """Write links back into the bodies. A record's own link list is part of its document."""
     def listed(kind: str) -> Column:
@@ -155,14 +142,14 @@ def with_links(records: DataFrame, links: DataFrame) -> DataFrame:
     )).select(*records.columns)
 
 
-def synchronize(records: DataFrame) -> DataFrame:
-    """Mirror every link onto its target, where the target exists."""
-    names = records.select("project_id", F.col("id").alias("src"))
-    return with_links(records, mirror(authored_links(records)).join(names, ["project_id", "src"], "left_semi"))
+def spread_links(after: DataFrame, before: DataFrame, written: DataFrame) -> DataFrame:
+    """``after`` with the links of the ``written`` records carried to their targets, see :func:`linked_rows`."""
+    changed = settle(linked_rows(after, before, written))
+    return after.join(changed.select("project_id", "id"), ["project_id", "id"], "left_anti").select(*after.columns).unionByName(changed)
 
 
-def spread_links(after: DataFrame, before: DataFrame, written: DataFrame) -> DataFrame:
-    """``after`` with the links of the ``written`` records (``project_id, id``) carried to their targets.
+def linked_rows(after: DataFrame, before: DataFrame, written: DataFrame) -> DataFrame:
+    """The rows of ``after`` that links of the ``written`` records (``project_id, id``) name or named, as they become.
 
     What a written record says of a link holds: a target gets the counterpart with the
     writer's reason, and loses it when the writer dropped the link. A written record keeps
@@ -201,11 +188,10 @@ def spread_links(after: DataFrame, before: DataFrame, written: DataFrame) -> Dat
     grouped = kept.groupBy(*at).agg(*(listed(k).alias(f"_{k}") for k in MIRROR))
     none = "array<struct<pos:int,other:string,reason:string>>"
     of = lambda kind: F.coalesce(F.col(f"_{kind}"), F.array().cast(none))
-    changed = rows.join(grouped, at, "left").withColumn("relationships", F.struct(
+    return rows.join(grouped, at, "left").withColumn("relationships", F.struct(
         F.transform(of("related"), lambda e: F.struct(e["other"].alias("id"), e["reason"].alias("reason"))).alias("related"),
         F.transform(of("supersedes"), lambda e: e["other"]).alias("supersedes"),
         F.transform(of("superseded_by"), lambda e: e["other"]).alias("superseded_by"))).select(*after.columns)
-    return after.join(near, at, "left_anti").select(*after.columns).unionByName(changed)
 
 
 def unknown_targets(incoming: DataFrame, records: DataFrame) -> DataFrame:
@@ -216,11 +202,11 @@ def unknown_targets(incoming: DataFrame, records: DataFrame) -> DataFrame:
         F.concat(F.lit("linked record '"), "dst", F.lit("' does not exist.")))).alias("errors"))
 
 
-def edges_of(records: DataFrame) -> DataFrame:
-    """Authored edges by id; a link to a record that does not exist makes no edge."""
+def edges_of(records: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """Authored edges by id, of all records or of the ``written`` rows; a link to a record that does not exist makes no edge."""
     ids = records.select("project_id", F.col("id").alias("src"), F.col("memory_id").alias("_src"))
     targets = ids.withColumnRenamed("src", "dst").withColumnRenamed("_src", "_dst")
-    return authored_links(records).join(ids, ["project_id", "src"]).join(targets, ["project_id", "dst"]).groupBy(
+    return authored_links(records if written is None else written).join(ids, ["project_id", "src"]).join(targets, ["project_id", "dst"]).groupBy(
         "project_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "kind").agg(F.min("reason").alias("reason"))
 
 

@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallspark.operators import audit, cache, dedup, records, usage, validate
-from recallspark.operators.similar import derived_edges
+from recallspark.operators import audit, cache, dedup, outbox, records, validate
+from recallspark.operators.similar import edges_and_reach
 from recallspark.schema import TABLES
 from recallspark.session import settle
 
@@ -65,10 +65,11 @@ def evict_job(tables: Tables, now: str, **bounds: int) -> tuple[Tables, dict]:
 
 
 def reindex_job(tables: Tables, now: str) -> tuple[Tables, dict]:
-    fresh = derived_edges(flat(tables["records"])).select(
+    similar, reach = edges_and_reach(flat(tables["records"]))
+    fresh = similar.select(
         "project_id", "src", "dst", F.lit("derived").alias("kind"), F.lit(None).cast("string").alias("reason"))
     authored = tables["edges"].where("kind <> 'derived'")
-    return {**tables, "edges": authored.unionByName(fresh)}, {"rebuilt": tables["records"].where("archived_at IS NULL").count()}
+    return {**tables, "edges": authored.unionByName(fresh), "reach": reach}, {"rebuilt": tables["records"].where("archived_at IS NULL").count()}
 
 
 def dedup_job(tables: Tables, now: str, threshold: float = 0.6, limit: int = 25) -> tuple[Tables, dict]:
@@ -98,8 +99,23 @@ def rebase_job(tables: Tables, now: str, mark_stale: bool = False) -> tuple[Tabl
     return out, {"adrift": adrift.count(), "marked_stale": mark_stale}
 
 
+def outbox_job(tables: Tables, now: str, run: str | None = None) -> tuple[Tables, dict]:
+    """Deliver what waits for reachable remotes. Repeating a run, under its id or another, delivers nothing twice."""
+    own = flat(tables["records"])
+    sorted_out = settle(outbox.classify(tables["outbox"], own, tables["remotes"], outbox.published_text()))
+    bodies = own.select("project_id", "memory_id", outbox.published_text().alias("body"))
+    failed, outcome = outbox.deliver(sorted_out, bodies, tables["remotes"], run or now.replace(":", ""), now)
+    failed = settle(failed)
+    counts = {r["action"]: r["count"] for r in sorted_out.groupBy("action").count().collect()}  # four at most
+    lost = failed.count()
+    left = outbox.after_delivery(sorted_out, failed).select(*tables["outbox"].columns)
+    detail = {"sent": counts.get("send", 0) - lost, "failed": lost, "held": counts.get("hold", 0),
+              "dropped": counts.get("drop", 0), "skipped": counts.get("skip", 0)}
+    return {**tables, "outbox": left, "remotes": outbox.stamped(tables["remotes"], outcome, now)}, detail
+
+
 JOBS: dict[str, Callable[..., tuple[Tables, dict]]] = {
-    "rebase": rebase_job, "audit": audit_job, "evict": evict_job, "reindex": reindex_job, "dedup": dedup_job,
+    "outbox": outbox_job, "rebase": rebase_job, "audit": audit_job, "evict": evict_job, "reindex": reindex_job, "dedup": dedup_job,
 }
 
 
@@ -121,17 +137,18 @@ def run(spark: SparkSession, tables: Tables, kinds: list[str], now: str, **optio
             after, detail = JOBS[kind](tables, now, **options.get(kind, {}))
             # What a job changed is written before the next one reads it.
             tables = {k: df if df is tables.get(k) else settle(df) for k, df in after.items()}
+            if isinstance(detail, DataFrame):  # a row per project, lazy: whatever fails in it fails here
+                rows = detail.select(F.lit(None).cast("bigint").alias("id"), "project_id", F.lit(kind).alias("kind"), F.lit(now).alias("started"),
+                                     F.lit(now).alias("finished"), F.lit("done").alias("outcome"), "detail")
+                per_project.append(settle(rows))
+                continue
             outcome = "done"
         except Exception as error:  # a failed job must not stop the ones after it
             detail, outcome = {"error": str(error)}, "failed"
-        if isinstance(detail, DataFrame):  # a row per project
-            per_project.append(detail.select(F.lit(None).cast("bigint").alias("id"), "project_id", F.lit(kind).alias("kind"), F.lit(now).alias("started"),
-                                             F.lit(now).alias("finished"), F.lit(outcome).alias("outcome"), "detail"))
-            continue
         log.append((None, "*", kind, now, now, outcome, short(detail)))
     fresh = spark.createDataFrame(log, TABLES["jobs"])
     for rows in per_project:
-        fresh = fresh.unionByName(settle(rows))
+        fresh = fresh.unionByName(rows)
     have = tables.get("jobs")
     return {**tables, "jobs": fresh if have is None else have.unionByName(fresh)}
 

@@ -18,6 +18,7 @@ from recallspark.operators.index import bm25
 from recallspark.operators.search import status_filter
 from recallspark.schema import STATUS_FACTORS, WALK_DEPTH, WALK_SEEDS, RecallError
 from recallspark.session import settle
+from recallspark.sources.postings import Postings
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class RecallOptions:
 
 
 def recall(
-    index: DataFrame,
+    index: DataFrame | Postings,
     slots: DataFrame,
     edges: DataFrame,
     queries: DataFrame,
@@ -49,7 +50,7 @@ def recall(
 ) -> DataFrame:
     """Best ``limit`` records per question, best first in ``rank``.
 
-    ``index``: rows of :func:`operators.index.index_rows`. ``slots``: what may be
+    ``index``: a stored index, or rows of :func:`operators.index.index_rows`. ``slots``: what may be
     shown (:func:`operators.search.resultable`). ``edges``: ``project_id, kind,
     src, dst``, similarity edges included. ``queries``: ``query_id, project_id,
     query`` and optionally ``related_id``, the record to explore around.
@@ -57,7 +58,13 @@ def recall(
     options.check()
     if "related_id" not in queries.columns:
         queries = queries.withColumn("related_id", F.lit(None).cast("string"))
-    text = settle(bm25(index, queries, stats_by=list(options.stats_by)).select(
+    if isinstance(index, Postings):
+        if set(options.stats_by) - {"project_id"}:
+            raise RecallError("a stored index keeps statistics of all records, or by project")
+        found = index.search(queries, by_project=bool(options.stats_by))
+    else:
+        found = bm25(index, queries, stats_by=list(options.stats_by))
+    text = settle(found.select(
         "query_id", "project_id", "memory_id", "text", "rn"))
     seeds = text.where(F.col("rn") <= WALK_SEEDS).select(
         "query_id", "project_id", F.col("memory_id").alias("node"), F.col("text").alias("weight"))

@@ -188,9 +188,12 @@ def remotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    """``orders`` as queue rows; the project is that of the record, null where there is none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("o_custkey"), F.col("lang").alias("project_id"))
+    o = table(spark, sf_dir, "orders").join(docs, "o_custkey", "left")
     return o.select(
         F.col("o_orderkey").alias("id"),
+        "project_id",
         memory_key(F.col("o_custkey")).alias("memory_id"),
         F.concat(F.lit("remote-"), (F.col("o_orderkey") % 50).cast("string")).alias("remote"),
         F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T00:00:00Z")).alias("queued_at"),

@@ -43,11 +43,22 @@ def fuse_agreeing(spark: SparkSession, sf: str) -> DataFrame:
 def choose_remote(spark: SparkSession, sf: str) -> DataFrame:
     own = src.memories(spark, sf, reading=True).where("visibility = 'public'")
     used = own.where(F.col("doc_id") % 9 == 0).select(
-        "memory_id", F.concat(F.lit("remote-"), (F.col("doc_id") % 40).cast("string")).alias("name"))
+        "project_id", "memory_id", F.concat(F.lit("remote-"), (F.col("doc_id") % 40).cast("string")).alias("name"))
     return fusion.choose_remote(own, src.remotes(spark, sf), k=2, consulted=used).select(
         "project_id", "memory_id", "place", "name", "consulted", "description_match")
 
 
+def choose_remote_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source that has to do with a public record, best first, and after them all names once (record null)."""
+    own = src.memories(spark, sf, reading=True).where("visibility = 'public'")
+    used = own.where(F.col("doc_id") % 9 == 0).select(
+        "project_id", "memory_id", F.concat(F.lit("remote-"), (F.col("doc_id") % 40).cast("string")).alias("name"))
+    columns = ["memory_id", "place", "name", "consulted", "description_match", "why"]
+    rest = fusion.rest_of_remotes(src.remotes(spark, sf))
+    return fusion.choose_remote(own, src.remotes(spark, sf), consulted=used).select(*columns).unionByName(
+        rest.select("place", "name"), allowMissingColumns=True)
+
+
 def cache_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Two generations of copies: every other one is fetched again under a new name."""
     held = src.cached(spark, sf).withColumn("created", F.col("cached_at"))
@@ -100,14 +111,34 @@ def outbox_after(spark: SparkSession, sf: str) -> DataFrame:
         F.col("last_error") == "unreachable").alias("failed"))
 
 
+def outbox_job(spark: SparkSession, sf: str) -> DataFrame:
+    """What destinations hold and what still waits after two runs over the same queue, one destination being out of reach."""
+    own = src.memories(spark, sf, reading=True)
+    folder = f"{shared_dir(spark).rstrip('/')}/remotes/{uuid.uuid4().hex}"
+    url = F.when(F.col("name") == "remote-7", F.lit("nowhere://remote-7")).otherwise(F.concat(F.lit(folder + "/"), "name"))
+    remotes = src.remotes(spark, sf).withColumn("url", url)
+    done = settle(outbox.classify(src.outbox(spark, sf), own, remotes, F.col("description")))
+    bodies = own.select("project_id", "memory_id", F.length("description").alias("chars"))
+    failed, outcome = outbox.deliver(done, bodies, remotes, "first", NOW)
+    outbox.deliver(done, bodies, remotes, "second", NOW)  # the queue of the first run was never put back
+    left = outbox.after_delivery(done, failed)
+    held = None
+    for name in sorted(n for n, error in outcome.items() if error is None):
+        rows = outbox.delivered(spark, f"{folder}/{name}").withColumn("remote", F.lit(name))
+        held = rows if held is None else held.unionByName(rows)
+    landed = held.groupBy("remote").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("chars").cast("bigint").alias("chars"))
+    waiting = left.groupBy("remote", "attempts").agg(F.count("*").alias("n"), F.count("last_error").alias("errors"))
+    return landed.withColumn("state", F.lit("delivered")).unionByName(waiting.withColumn("state", F.lit("waiting")), allowMissingColumns=True)
+
+
 def outbox_status(spark: SparkSession, sf: str) -> DataFrame:
-    return outbox.status(src.outbox(spark, sf), src.memories(spark, sf))
+    return outbox.status(src.outbox(spark, sf), src.memories(spark, sf)).drop("last_error")
 
 
 def outbox_enqueue(spark: SparkSession, sf: str) -> DataFrame:
     """Ask for every tier-3 record twice over the existing queue; ids of new rows are not compared."""
     own = src.memories(spark, sf).where("tier >= 3")
-    queue = src.outbox(spark, sf).join(own.select("project_id", "memory_id"), "memory_id").withColumn(
+    queue = src.outbox(spark, sf).join(own.select("project_id", "memory_id"), ["project_id", "memory_id"]).withColumn(
         "last_error", F.lit("timeout"))
     asked = own.select("project_id", "memory_id", F.lit("remote-1").alias("remote"))
     done = outbox.enqueue(queue, asked.union(asked), NOW)
@@ -167,8 +198,19 @@ def link_errors(spark: SparkSession, sf: str) -> DataFrame:
     return validate.link_errors(related, docs.withColumnRenamed("id", "slug")).distinct()
 
 
+def mirror(links: DataFrame) -> DataFrame:
+    """Every link with its counterpart: related both ways, supersedes against superseded_by.
+
+    A pair of records holds one link per kind; of two reasons the smaller text is kept.
+    """
+    flip = F.create_map(*[F.lit(x) for pair in records.MIRROR.items() for x in pair])
+    back = links.select("project_id", F.col("dst").alias("src"), F.col("src").alias("dst"), flip[F.col("kind")].alias("kind"), "reason")
+    return links.select("project_id", "src", "dst", "kind", "reason").unionByName(back).groupBy(
+        "project_id", "src", "dst", "kind").agg(F.min("reason").alias("reason"))
+
+
 def mirror_links(spark: SparkSession, sf: str) -> DataFrame:
-    return records.mirror(records.authored_links(src.documents(spark, sf))).withColumn("reason", F.coalesce("reason", F.lit("")))
+    return mirror(records.authored_links(src.documents(spark, sf))).withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
 def anchors_adrift(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +277,7 @@ def delete_records(spark: SparkSession, sf: str) -> DataFrame:
     docs = src.documents(spark, sf)
     doomed = docs.where(F.col("doc_id") % 6 == 0).select(
         "project_id", "id", F.when(F.col("doc_id") % 12 == 0, F.lit("no")).otherwise(F.col("id")).alias("confirm"))
-    queue = src.outbox(spark, sf).join(docs.select("project_id", "memory_id"), "memory_id")
+    queue = src.outbox(spark, sf).join(docs.select("project_id", "memory_id"), ["project_id", "memory_id"])
     done = records.delete(doomed, docs, src.authored_edges(spark, sf), _usage(spark, sf), queue, NOW)
     counts = {name: df.groupBy("project_id").agg(F.count("*").alias("n")) for name, df in done.items()}
     left = done["records"].groupBy("project_id").agg(
@@ -295,6 +337,7 @@ QUERIES = {
     "rrf_fuse": rrf_fuse,
     "rrf_agreement": fuse_agreeing,
     "choose_remote": choose_remote,
+    "choose_remote_complete": choose_remote_complete,
     "cache_refresh": cache_refresh,
     "cache_evict": cache_evict,
     "publication_state": publication_state,
@@ -302,6 +345,7 @@ QUERIES = {
     "outbox_classify": outbox_classify,
     "outbox_after_delivery": outbox_after,
     "outbox_status": outbox_status,
+    "outbox_job": outbox_job,
     "outbox_enqueue": outbox_enqueue,
     "inbox": inbox,
     "inbox_quota": inbox_quota,
@@ -425,6 +469,17 @@ SELECT project_id, memory_id, place, name, consulted, description_match FROM (
     LEFT JOIN (SELECT memory_id, name, count(*) AS shared FROM words JOIN remote_words USING (word) GROUP BY 1, 2) o
       ON o.memory_id = m.memory_id AND o.name = r.name WHERE m.visibility = 'public')) WHERE place <= 2""",
                          "words", "remote_words", "memories", extra=_REMOTE),
+    "choose_remote_complete": sql("""
+SELECT memory_id, place, name, consulted, description_match, CASE WHEN consulted THEN 'you queried this remote while solving the task'
+    ELSE 'description overlap ' || CAST(round_even(match * 100, 0) AS INT) || '%' END AS why FROM (
+  SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY consulted DESC, description_match DESC, name) AS place FROM (
+    SELECT m.memory_id, r.name, m.doc_id % 9 = 0 AND r.name = 'remote-' || (m.doc_id % 40) AS consulted,
+      coalesce(o.shared, 0)::DOUBLE / r.size AS match, round(coalesce(o.shared, 0)::DOUBLE / r.size, 3) AS description_match
+    FROM memories m CROSS JOIN (SELECT name, count(*) AS size FROM remote_words GROUP BY 1) r
+    LEFT JOIN (SELECT memory_id, name, count(*) AS shared FROM words JOIN remote_words USING (word) GROUP BY 1, 2) o
+      ON o.memory_id = m.memory_id AND o.name = r.name WHERE m.visibility = 'public') WHERE consulted OR match > 0)
+UNION ALL SELECT NULL, row_number() OVER (ORDER BY name), name, NULL, NULL, NULL FROM remotes WHERE enabled""",
+                                  "words", "remote_words", "memories", "remotes", extra=_REMOTE),
     "cache_refresh": sql("""
 SELECT memory_id, slug, CASE WHEN k % 2 = 0 THEN 'stale' ELSE status END AS status, CASE WHEN k % 2 = 0 THEN 'mirror' ELSE origin END AS origin,
   cached_at AS created, CASE WHEN k % 2 = 0 THEN '2025-01-01T00:00:00Z' ELSE cached_at END AS cached_at,
@@ -444,6 +499,12 @@ LEFT JOIN remotes r ON r.name = remote LEFT JOIN scanned s USING (memory_id)""",
     "outbox_after_delivery": sql("""
 SELECT remote, attempts + (action = 'send')::INT AS attempts, count(*) AS n, count(*) FILTER (action = 'send') AS failed FROM classified
 WHERE action <> 'drop' AND (action <> 'send' OR id % 3 = 0) GROUP BY 1, 2""", "classified", extra=_CLASS),
+    "outbox_job": sql("""
+SELECT remote, count(*) AS n, count(*) AS ids, sum(length(m.description))::BIGINT AS chars, 'delivered' AS state, NULL AS attempts, NULL AS errors
+FROM classified c JOIN outbox o USING (id) JOIN memories m ON m.memory_id = o.memory_id WHERE action = 'send' AND c.remote <> 'remote-7' GROUP BY 1
+UNION ALL SELECT remote, count(*), NULL, NULL, 'waiting', attempts + (action = 'send')::INT, count(*) FILTER (action IN ('send', 'hold')) FROM classified
+WHERE action <> 'drop' AND (action <> 'send' OR remote = 'remote-7') GROUP BY remote, attempts + (action = 'send')::INT""".replace("SELECT remote,", "SELECT c.remote,", 1),
+                      "classified", "outbox", "memories", extra=_CLASS),
     "outbox_status": sql("""
 SELECT o.id, coalesce(m.slug, o.memory_id) AS name, remote, queued_at, attempts FROM (SELECT * FROM outbox ORDER BY id LIMIT 50) o
 LEFT JOIN memories m USING (memory_id)""", "outbox", "memories"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ranking", "finding", "lifecycle", "graphs", "curation")
+MODULES = ("ranking", "stored", "finding", "lifecycle", "graphs", "curation")
 
 
 def _merged(name: str) -> dict:

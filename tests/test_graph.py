@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallspark.operators import graph
-from recallspark.operators.similar import derived_edges
+from recallspark.operators.similar import SHAPE, derived_edges, edge_changes, edges_and_reach
+from recallspark.session import settle
 
 
 def ranked(links, seeds=None):
@@ -99,7 +100,7 @@ def slow_derived(rows, candidates, neighbours, threshold):
     return out
 
 
-@pytest.mark.parametrize("candidates,neighbours,wide", [(200, 10, False), (5, 10, False), (3, 2, True), (7, 4, True)])
+@pytest.mark.parametrize("candidates,neighbours,wide", [(200, 10, False), (3, 2, True)])
 def test_derived_edges_against_all_pairs(spark, candidates, neighbours, wide):
     random.seed(candidates)
     pool = [f"k:l{i}" for i in range(6)] + ([f"w:x{i}" for i in range(12)] if wide else [])
@@ -107,7 +108,7 @@ def test_derived_edges_against_all_pairs(spark, candidates, neighbours, wide):
     for i in range(90):
         labels = set(random.sample(pool[:6], random.randrange(0, 4)))
         if wide and i % 9 == 0:
-            labels |= set(pool[6:])  # more labels than subsets are made of
+            labels |= set(pool[6:])  # many labels, all of them rare
         if i % 3 == 0:
             labels.add("k:l0")  # a third of all records share one label
         files = set(random.sample(["a", "b", "c", "d"], random.randrange(0, 3)))
@@ -115,10 +116,73 @@ def test_derived_edges_against_all_pairs(spark, candidates, neighbours, wide):
     df = spark.createDataFrame(
         [("p", m, sorted(l), sorted(f), None if live else "gone") for m, (l, f, live) in rows.items()],
         "project_id string, memory_id string, labels array<string>, files array<string>, archived_at string")
-    got = {(r["src"], r["dst"]): r["similarity"] for r in derived_edges(df, candidates, neighbours).collect()}
+    got = {(r["src"], r["dst"]): r["similarity"] for r in derived_edges(df, candidates, neighbours, rare=1).collect()}
     assert got == pytest.approx(slow_derived(rows, candidates, neighbours, 0.34))
 
 
+RECORD_ROW = "project_id string, memory_id string, labels array<string>, files array<string>, archived_at string"
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame(
+        [("p", m, sorted(l), sorted(f), None if live else "gone") for m, (l, f, live) in rows.items()], RECORD_ROW)
+
+
+@pytest.mark.parametrize("candidates,rare", [(6, 1), (4, 0)])
+def test_twelve_labels_with_one_on_a_third(spark, candidates, rare):
+    random.seed(candidates)
+    rows = {}
+    for i in range(80):
+        labels = set(random.sample([f"w:l{x}" for x in range(40)], 11)) | ({"k:third"} if i % 3 == 0 else {"w:other"} if i % 5 else set())
+        rows[f"m{i:03}"] = (labels, {random.choice("abc")}, i % 9 != 0)
+    got = {(r["src"], r["dst"]): r["similarity"] for r in derived_edges(frame_of(spark, rows), candidates, 10, 0.2, rare).collect()}
+    assert got == pytest.approx(slow_derived(rows, candidates, 10, 0.2))
+
+
+@pytest.mark.parametrize("candidates,neighbours", [(5, 3)])
+def test_edge_changes_equal_a_full_rebuild(spark, candidates, neighbours):
+    """Rounds of inserts, edits, archivings and removals, with lists short enough that places are left and taken."""
+    dice = random.Random(candidates)
+    settings = {"candidates": candidates, "neighbours": neighbours, "rare": 1}
+
+    def made(i):
+        labels = set(dice.sample([f"k:l{x}" for x in range(7)], dice.randrange(0, 4))) | ({"k:l0"} if dice.random() < 0.3 else set())
+        return labels, set(dice.sample("abcd", dice.randrange(0, 3))), dice.random() > 0.1
+
+    rows = {f"m{i:03}": made(i) for i in range(0, 100, 2)}
+    edges, reach = edges_and_reach(frame_of(spark, rows), **settings)
+    edges, reach = settle(edges), settle(reach)
+    for number in range(2):
+        after = dict(rows)
+        touched = set()
+        for i in dice.sample(range(100), 5):
+            name = f"m{i:03}"
+            touched.add(name)
+            if name in after and dice.random() < 0.4:
+                del after[name]
+            else:
+                after[name] = made(i)
+        before = frame_of(spark, {m: r for m, r in rows.items() if m in touched})
+        ids = spark.createDataFrame([("p", m) for m in touched], "project_id string, memory_id string")
+        added, removed, fresh, stale = edge_changes(frame_of(spark, after), before, ids, edges, reach, **settings)
+        edges = settle(edges.join(removed, edges.columns, "left_anti").unionByName(added))
+        reach = settle(reach.join(stale, SHAPE, "left_anti").unionByName(fresh))
+        rows = after
+        got = {(r["src"], r["dst"]): r["similarity"] for r in edges.collect()}
+        assert got == pytest.approx(slow_derived(rows, candidates, neighbours, 0.34)), number
+        assert edges.count() == len(got)
+
+
+def test_a_small_change_recomputes_few_records(spark):
+    """A new record behind everybody's reach changes nothing but its own edges."""
+    rows = {f"m{i:03}": ({"k:all"}, set(), True) for i in range(60)}
+    edges, reach = edges_and_reach(frame_of(spark, rows), candidates=10)
+    ids = spark.createDataFrame([("p", "z")], "project_id string, memory_id string")
+    after = frame_of(spark, {**rows, "z": ({"k:all", "k:new"}, set(), True)})
+    added, removed, _, stale = edge_changes(after, frame_of(spark, rows).limit(0), ids, settle(edges), settle(reach), candidates=10)
+    assert {r["src"] for r in added.collect()} == {"z"} and removed.isEmpty() and stale.count() == 1
+
+
 def test_siblings_are_capped_and_projects_stay_apart(spark):
     rows = [(p, f"{p}{i:02}", ["area:x"], ["f"], None) for p in "ab" for i in range(25)]
     rows += [("a", "far", ["area:x", "area:z", "kind:bug"], [], None)]
