@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from recallspark.llm import blocks
+from recallspark.llm import blocks, pipeline as corpus_pipeline
 from tests.llm import brute_force as plain
 
 SF = "/root/testdata/sf0.01"
@@ -80,6 +79,28 @@ def test_odd_rows(spark):
     assert corpus_pipeline.encoding(spark, docs, SF).where("round_trip").count() == 6
 
 
+def test_one_id_with_different_texts(spark):
+    """Texts under one id are told apart: only near copies go, whatever their namesakes are."""
+    text, other = "one two three four five six seven eight", "a wholly different text that nothing else is like at all"
+    rows = [(1, text), (2, text), (2, other), (3, "first of three under an id"), (3, "second of three under an id is unlike"),
+            (3, "second of three under an id is unlike"), (4, "stands alone among all of these")]
+    docs = spark.createDataFrame([(*r, "en", "a", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
+    assert sorted(t for _, t in left) == sorted({t for _, t in rows})
+    assert sorted((i, t) for i, t in left if t != text) == sorted({r for r in rows if r[1] != text})
+
+
+def test_clashing_columns(spark):
+    names = ["kept", "kept_text", "removed", "n_bytes", "n_removed", "n_spans", "own", "again", "row"]
+    long = "the same words " * 20
+    docs = spark.createDataFrame([(i, long, "en", "a", len(long), *names) for i in (1, 2)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    out = corpus_pipeline.repeated_strings(spark, docs, SF)
+    assert out.dtypes == docs.dtypes
+    assert all([r[n] for n in names] == names for r in out.collect())
+    assert corpus_pipeline.near_copies(spark, docs, SF).dtypes == docs.dtypes
+
+
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and got.count() > 0
