@@ -1,82 +1,5 @@
-"""A corpus made ready for training: five stages over ``documents``, each written and read again.
+"""A corpus made ready for training: five stages over ``documents``, see ``recallspark/llm/pipeline.py``."""
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
-columns of ``docs``. Where an operator needs no settings of its own, the stage runs it with
-its defaults: five-word shingles at a similarity of 0.8, 100-byte repeats, a mix of 1.5 times
-the words.
-"""
+from recallspark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from recallspark.llm import blocks, op4_jaccard, op6_mixing, op7_suffix, op9_bpe, op10_toxicity
-from recallspark.session import shared_dir
-
-#: No SQL: the first stage is a fitted model. The tests compare each stage with brute force.
-ORACLE_SQL = None
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the threshold; the model is fitted on the labelled ones among ``docs``."""
-    model = op10_toxicity.fit(docs, blocks.read(spark, sf_dir, "labels"))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    scored = op10_toxicity.score(docs.select(row.alias("row"), "text"), model, key="row")
-    return scored.where("predicted = 0").select("row.*")
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; an id stays once, rows without id all stay."""
-    found = blocks.settle(op4_jaccard.near_copies(docs, words=5, share=80))
-    gone = blocks.settle(found.where("component_id < doc_id").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = blocks.settle(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
-
-
-def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what an earlier start already holds; a character cut in two goes whole.
-
-    Untouched texts stay as they are, nulls included; ``n_chars`` follows the text.
-    """
-    found = op7_suffix.kept(docs)
-    changed = F.col("n_removed") > 0
-    out = found.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; equal rows have their times evened out, upwards."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
-    drawn = op6_mixing.mix(docs.select(key.alias("key"), "text", "source"), key="key")
-    times = drawn.groupBy("_key").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_key.doc_id")) & (F.xxhash64("text") == F.col("_key.text")))
-    return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every row, and whether decoding gives the text back."""
-    return op9_bpe.encode(docs, check=True).select("doc_id", "n_tokens", "ids", "round_trip")
-
-
-STAGES = [
-    ("toxicity", toxicity),
-    ("near_copies", near_copies),
-    ("repeated_strings", repeated_strings),
-    ("mixture", mixture),
-    ("encoding", encoding),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a Parquet folder that the next one reads."""
-    docs = blocks.read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
