@@ -1,10 +1,8 @@
 """One project's view of a store: every tool as a method over the shared tables.
 
-Reading methods return DataFrames. Changing methods write the rows that change, and
-only those (``sources/changes.py``), and return what happened: similarity links and
-the text index follow from the written records alone. :meth:`Store.commit` makes the
-changes of a session the next version of a change log; :meth:`Store.publish` writes
-all tables as a snapshot.
+Reading methods return DataFrames. Changing methods replace the tables they
+touch and return what happened. :meth:`Store.publish` writes all tables as the next
+snapshot, :meth:`Store.commit` only the rows that differ as the next version of a log.
 Single documents and ids given by a caller are driver-side values, everything
 that depends on the store's size stays in Spark.
 """
@@ -19,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallspark.functions.secrets import findings
 from recallspark.operators import dedup, fusion, graph, index, messages, outbox, records, remotes, search, usage
-from recallspark.operators.similar import edge_changes, edges_and_reach
+from recallspark.operators.similar import derived_edges
 from recallspark.plans import jobs
 from recallspark.plans.recall import RecallOptions, exposures, recall, sightings
 from recallspark.schema import DOCUMENT, TABLES, RecallError
@@ -36,10 +34,6 @@ def text_of(rows: DataFrame) -> dict[str, Column]:
         [F.coalesce("scope.area", F.lit("")), F.array_join("scope.files", " "), F.array_join("scope.applies_to", " ")])
 
 
-#: Segments of the text index beyond which they are merged.
-SEGMENTS = 12
-
-
 class Store:
     def __init__(self, spark: SparkSession, project: str, tables: dict[str, DataFrame] | None = None,
                  replica: str = "local", actor: str | None = None):
@@ -48,13 +42,11 @@ class Store:
         self.tables = {name: given.get(name, snapshots.empty(spark, name)) for name in TABLES}
         if "listing" in given:
             self.tables["listing"] = given["listing"]
-        self._layers: dict[str, changes.Layers] = {}
         self._log: changes.ChangeLog | None = None
-        self._committed: dict[str, changes.Layers] = {}
-        self._index: Postings | None = None
-        self._indexed: DataFrame | None = None
+        self._committed: dict[str, DataFrame] = {}
+        self._index: tuple | None = None
         if self._mine("projects").isEmpty():
-            self.tables["projects"] = self.tables["projects"].unionByName(spark.createDataFrame([(project, 0, None)], TABLES["projects"]))
+            self._append("projects", [(project, 0, None)])
 
     # ------------------------------------------------------------- plumbing
 
@@ -62,51 +54,7 @@ class Store:
         return self.tables[name].where(F.col("project_id") == self.project)
 
     def _append(self, name: str, rows: list[tuple]) -> None:
-        self._change(name, self.spark.createDataFrame(rows, TABLES[name]))
-
-    def _change(self, name: str, puts: DataFrame | None = None, drops: DataFrame | None = None) -> None:
-        """Write rows and keys of a table; a table that was replaced as a whole starts anew from what it is."""
-        layer = self._layers.get(name)
-        if layer is None or layer.frame is not self.tables[name]:
-            layer = self._layers[name] = changes.Layers(self.tables[name], changes.KEYS.get(name))
-        self.tables[name] = layer.change(puts, drops)
-
-    def commit(self, root: str, stamp: str) -> int:
-        """The session's changes as the next version of the log under ``root``; a first commit writes all tables."""
-        if self._log is None or self._log.root != root.rstrip("/"):
-            self._log, self._committed = changes.ChangeLog(self.spark, root), {}
-        whole, parts = {}, {}
-        for name in TABLES:
-            layer = self._layers.get(name)
-            if layer is None or layer.frame is not self.tables[name]:
-                layer = self._layers[name] = changes.Layers(self.tables[name], changes.KEYS.get(name))
-            if self._committed.get(name) is not layer:
-                whole[name] = self.tables[name]
-            elif layer.parts:
-                rows = layer.parts[0]
-                for part in layer.parts[1:]:
-                    rows = rows.unionByName(part, allowMissingColumns=True)
-                parts[name] = changes.last_of_each(layer.parts, layer.key) if layer.key else rows
-        version = self._log.commit(stamp, whole, parts)
-        self._reset()
-        return version
-
-    def _reset(self) -> None:
-        """Start from the log's version: what was written until now is in it."""
-        for name in self._log.names():
-            self.tables[name] = self._log.read(name)
-            self._layers[name] = self._committed[name] = changes.Layers(self.tables[name], changes.KEYS.get(name))
-
-    @classmethod
-    def open_log(cls, spark: SparkSession, root: str, project: str, **options) -> Store:
-        """The newest version of a change log."""
-        log = changes.ChangeLog(spark, root)
-        made = cls(spark, project, log.tables(), **options)
-        fresh = made._layers
-        made._log = log
-        made._layers = {name: fresh.get(name) or changes.Layers(made.tables[name], changes.KEYS.get(name)) for name in log.names()}
-        made._committed = dict(made._layers)
-        return made
+        self.tables[name] = self.tables[name].unionByName(self.spark.createDataFrame(rows, TABLES[name]))
 
     def _ids(self, slugs: list[str]) -> DataFrame:
         """``(project_id, id)`` for names a caller gave; all must exist."""
@@ -127,38 +75,36 @@ class Store:
     def open(cls, spark: SparkSession, root: str, project: str, **options) -> Store:
         return cls(spark, project, snapshots.load(spark, root), **options)
 
+    def commit(self, root: str, stamp: str) -> int:
+        """What differs from the log's newest version as its next one; a first commit writes all tables.
+
+        The rows that differ are found by key and hash, so what is written follows the change, not the store.
+        """
+        if self._log is None or self._log.root != root.rstrip("/"):
+            self._log, self._committed = changes.ChangeLog(self.spark, root), {}
+        held = self._log.names()
+        whole = {name: self.tables[name] for name in TABLES if name not in held}
+        touched = [name for name in TABLES if name in held and self._committed.get(name) is not self.tables[name]]
+        rows = {name: settle(changes.difference(self._log.read(name), self.tables[name], changes.KEYS.get(name))) for name in touched}
+        version = self._log.commit(stamp, whole, {name: df for name, df in rows.items() if not df.isEmpty()})
+        self._committed = {name: self.tables[name] for name in TABLES}
+        return version
+
+    @classmethod
+    def open_log(cls, spark: SparkSession, root: str, project: str, **options) -> Store:
+        """The newest version of a change log."""
+        log = changes.ChangeLog(spark, root)
+        made = cls(spark, project, log.tables(), **options)
+        made._log, made._committed = log, dict(made.tables)
+        return made
+
     def reindex(self) -> None:
         """Recompute everything derived from the documents."""
         rows = self.tables["records"]
-        similar, reach = edges_and_reach(jobs.flat(rows))
-        self.tables["edges"] = settle(records.edges_of(rows).unionByName(_derived(similar)))
-        self.tables["reach"] = settle(reach)
-        self._index = None
-
-    def _relink(self, before: DataFrame, now: DataFrame, touched: DataFrame) -> None:
-        """Bring links, similarity and text index up to date with the ``touched`` records (``project_id, memory_id``);
-        ``before`` and ``now`` are those of them that were and that are there."""
-        after, ids = self.tables["records"], ["project_id", "memory_id"]
-        edges = self.tables["edges"]
-        sources = touched.select("project_id", F.col("memory_id").alias("src"))
-        own = settle(records.edges_of(after, now))
-        if self.tables["reach"].isEmpty():  # opened from a snapshot without it
-            similar, reach = edges_and_reach(jobs.flat(after))
-            self.tables["edges"] = settle(edges.where("kind <> 'derived'").join(sources, ["project_id", "src"], "left_anti")
-                                          .unionByName(own).unionByName(_derived(similar)))
-            self.tables["reach"] = settle(reach)
-        else:
-            added, removed, reach, stale = edge_changes(
-                jobs.flat(after), jobs.flat(before), touched, edges.where("kind = 'derived'").select("project_id", "src", "dst"), self.tables["reach"])
-            key = ["project_id", "src", "dst", "kind"]
-            gone = edges.where("kind <> 'derived'").join(sources, ["project_id", "src"], "left_semi").select(*key).join(
-                own, key, "left_anti").select(*key)
-            self._change("edges", own.unionByName(_derived(added)), gone.unionByName(removed.select("project_id", "src", "dst", F.lit("derived").alias("kind"))))
-            self._change("reach", reach, stale)
-        if self._index is not None:
-            self._index.refresh(self._index_rows(now, "records"), touched.join(now, ids, "left_anti"))
-            if len(self._index.segments) > SEGMENTS:
-                self._index.compact()
+        linked = records.edges_of(rows)
+        similar = derived_edges(jobs.flat(rows)).select(
+            "project_id", "src", "dst", F.lit("derived").alias("kind"), F.lit(None).cast("string").alias("reason"))
+        self.tables["edges"] = settle(linked.unionByName(similar))
 
     # -------------------------------------------------------------- reading
 
@@ -185,17 +131,15 @@ class Store:
     def archived(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return search.archived(jobs.flat(self.tables["records"]), self.project, limit, offset)
 
-    def _index_rows(self, rows: DataFrame, table: str) -> DataFrame:
-        live = F.col("archived_at").isNull() if table == "records" else F.lit(True)
-        return index.index_rows(rows.withColumn("live", live), text_of(rows), ["project_id", "memory_id", "live"])
-
     def index(self) -> Postings:
-        """The stored index of owned records and borrowed copies; built once, then refreshed with what is written."""
-        if self._index is None or self._indexed is not self.tables["cached"]:
-            rows = self._index_rows(self.tables["records"], "records").unionByName(self._index_rows(self.tables["cached"], "cached"))
-            self._index = Postings.build(rows, f"{shared_dir(self.spark).rstrip('/')}/index/{uuid.uuid4().hex}")
-            self._indexed = self.tables["cached"]
-        return self._index
+        """The stored index of owned records and borrowed copies, built when first asked after either changed."""
+        now = self.tables["records"], self.tables["cached"]
+        if self._index is None or any(a is not b for a, b in zip(self._index[0], now)):
+            keep = ["project_id", "memory_id", "live"]
+            own, copies = now[0].withColumn("live", F.col("archived_at").isNull()), now[1].withColumn("live", F.lit(True))
+            rows = index.index_rows(own, text_of(own), keep).unionByName(index.index_rows(copies, text_of(copies), keep))
+            self._index = now, Postings.build(rows, f"{shared_dir(self.spark).rstrip('/')}/index/{uuid.uuid4().hex}", buckets=8)
+        return self._index[1]
 
     def recall(self, query: str = "", related_to: str | None = None, label_query: object = None, statuses: object = None,
                limit: int = 8, full_count: int = 3, include_derived: bool = True, now: str | None = None) -> DataFrame:
@@ -214,14 +158,12 @@ class Store:
 
     def _count(self, found: DataFrame, asked: DataFrame, now: str) -> None:
         more = exposures(asked).withColumnRenamed("queries", "_more")
-        self._change("projects", self.tables["projects"].join(more, "project_id").withColumn(
-            "queries", F.col("queries") + F.col("_more")).drop("_more"))
+        self.tables["projects"] = self.tables["projects"].join(more, "project_id", "left").withColumn(
+            "queries", F.col("queries") + F.coalesce("_more", F.lit(0))).drop("_more")
         self._use(sightings(found, self.replica, now, _day(now)))
 
     def _use(self, events: DataFrame) -> None:
-        fresh = settle(usage.fold(events))
-        held = self.tables["usage"].join(fresh.select(*usage.REPLICA), usage.REPLICA, "left_semi")
-        self._change("usage", usage.add_counters(held, fresh))
+        self.tables["usage"] = settle(usage.add_counters(self.tables["usage"], usage.fold(events)))
 
     def neighbourhood(self, slug: str, depth: int = 1, max_nodes: int = 25) -> tuple[DataFrame, DataFrame]:
         return graph.neighbourhood(self.tables["edges"], self._ids([slug]).drop("id"), depth, max_nodes)
@@ -284,10 +226,7 @@ class Store:
 
     def add_labels(self, labels: dict[str, str]) -> DataFrame:
         rows = self.spark.createDataFrame([(self.project, k, v) for k, v in labels.items()], TABLES["registry"])
-        held = self.tables["registry"]
-        after, refused = records.add_labels(held, rows)
-        refused = settle(refused)
-        self._change("registry", after.join(held, ["project_id", "label"], "left_anti"))
+        self.tables["registry"], refused = records.add_labels(self.tables["registry"], rows)
         return refused
 
     def create(self, documents: list[dict] | DataFrame, now: str, visibility: str = "private") -> DataFrame:
@@ -306,21 +245,13 @@ class Store:
         refused = refused.unionByName(lost)
         queries = self.tables["projects"].select("project_id", F.col("queries").alias("tier_since_query"))
         accepted = accepted.join(queries, "project_id", "left").withColumn("author_name", F.lit(self.actor).cast("string"))
-        accepted = settle(_like(accepted, held))
+        merged = self.tables["records"].unionByName(
+            accepted.select([c for c in accepted.columns if c in self.tables["records"].columns]), allowMissingColumns=True)
         refused = settle(refused)
-        self._write(held, accepted, accepted.select("project_id", "id"))
+        self.tables["records"] = settle(records.spread_links(settle(merged), held, settle(accepted.select("project_id", "id"))))
+        self.reindex()
         return refused
 
-    def _write(self, held: DataFrame, rows: DataFrame, names: DataFrame) -> None:
-        """Put written ``rows`` over the ``held`` records, with the links of those called ``names`` carried to their targets."""
-        ids = ["project_id", "memory_id"]
-        merged = held.join(rows.select(*ids), ids, "left_anti").select(*held.columns).unionByName(rows)
-        linked = settle(records.linked_rows(merged, held, names))
-        rows = settle(rows.join(linked.select(*ids), ids, "left_anti").select(*held.columns).unionByName(linked))
-        touched = rows.select(*ids)
-        self._change("records", rows)
-        self._relink(held.join(touched, ids, "left_semi"), rows, touched)
-
     def update(self, slug: str, patch: dict, now: str) -> DataFrame:
         self._ids([slug])
         patches = self.spark.createDataFrame([(self.project, slug, json.dumps(patch))], "project_id string, id string, patch string")
@@ -331,8 +262,9 @@ class Store:
         if not refused.isEmpty():
             return refused
         revisions = revisions.withColumn("author_name", F.lit(self.actor).cast("string"))
-        self._change("revisions", _like(revisions, self.tables["revisions"]))
-        self._write(held, settle(after.join(patches.select("project_id", "id"), ["project_id", "id"], "left_semi").select(*held.columns)), patches)
+        self.tables["revisions"] = settle(self.tables["revisions"].unionByName(revisions, allowMissingColumns=True))
+        self.tables["records"] = settle(records.spread_links(settle(after), held, patches))
+        self.reindex()
         return refused
 
     def delete(self, slug: str, confirm: str, now: str) -> DataFrame:
@@ -344,21 +276,13 @@ class Store:
             raise RecallError("confirm must exactly match the id.")
         self._ids([slug])
         doomed = self.spark.createDataFrame([(self.project, slug, confirm)], "project_id string, id string, confirm string")
-        held, ids = self.tables["records"], ["project_id", "memory_id"]
-        left = records.delete(doomed, held, self.tables["edges"], self.tables["usage"], self.tables["outbox"], now)
-        cleaned, self.cancelled = settle(left["cleaned"]), settle(left["cancelled"])
-        gone = settle(held.join(doomed.select("project_id", "id"), ["project_id", "id"], "left_semi"))
-        rows = settle(left["records"].join(cleaned, ["project_id", "id"], "left_semi").select(*held.columns))
-        touched = rows.select(*ids).union(gone.select(*ids))
-        key = ["project_id", "src", "dst", "kind"]
-        lost = self.tables["edges"].join(left["edges"], key, "left_anti").select(*key)
-        used = self.tables["usage"].join(gone.select(*ids), ids, "left_semi").select(*usage.REPLICA)
-        self._change("revisions", _like(left["revisions"], self.tables["revisions"]))
-        self._change("edges", None, lost)
-        self._change("usage", None, used)
-        self._change("outbox", None, self.cancelled.select("project_id", "memory_id", "remote"))
-        self._change("records", rows, gone.select(*ids))
-        self._relink(held.join(touched, ids, "left_semi"), rows, touched)
+        left = records.delete(doomed, self.tables["records"], self.tables["edges"], self.tables["usage"],
+                              self.tables["outbox"], now)
+        left = {name: settle(df) for name, df in left.items()}
+        self.tables["revisions"] = self.tables["revisions"].unionByName(left.pop("revisions"), allowMissingColumns=True)
+        cleaned = left.pop("cleaned")
+        self.cancelled = left.pop("cancelled")
+        self.tables.update(left)
         return cleaned
 
     def merge(self, keep: str, merge: str, reason: str, now: str) -> None:
@@ -369,26 +293,21 @@ class Store:
         self._ids([keep, merge])
         pair = self.spark.createDataFrame(
             [(self.project, keep, merge, reason)], "project_id string, keep_id string, merge_id string, reason string")
-        held = self.tables["records"]
-        done = records.merge(held, self.tables["usage"], pair, now)
-        named = pair.select("project_id", F.explode(F.array("keep_id", "merge_id")).alias("id"))
-        self._change("revisions", _like(settle(done["revisions"]), self.tables["revisions"]))
-        self._change("usage", done["usage"].join(self._ids([keep]).drop("id"), ["project_id", "memory_id"], "left_semi"))
-        rows = settle(done["records"].join(named, ["project_id", "id"], "left_semi").select(*held.columns))
-        self._write(held, rows, pair.select("project_id", F.col("keep_id").alias("id")))
+        done = records.merge(self.tables["records"], self.tables["usage"], pair, now)
+        done = {name: settle(df) for name, df in done.items()}
+        self.tables["revisions"] = self.tables["revisions"].unionByName(done["revisions"], allowMissingColumns=True)
+        self.tables["usage"] = done["usage"]
+        named = pair.select("project_id", F.col("keep_id").alias("id"))
+        self.tables["records"] = settle(records.spread_links(done["records"], self.tables["records"], named))
+        self.reindex()
 
     def archive(self, slugs: list[str], now: str | None) -> None:
         """Take records out of the working set, or put them back with ``now=None``."""
-        ids = settle(self._ids(slugs))
-        before = settle(self.tables["records"].join(ids, ["project_id", "memory_id"], "left_semi").select(*self.tables["records"].columns))
-        after = settle(records.set_archived(before, ids, now).select(*before.columns))
-        self._change("records", after)
-        self._relink(before, after, ids.drop("id"))
+        self.tables["records"] = settle(records.set_archived(self.tables["records"], self._ids(slugs), now))
 
     def set_visibility(self, slug: str, visibility: str) -> None:
-        ids = self._ids([slug])
-        mine = self.tables["records"].join(ids.drop("id"), ["project_id", "memory_id"], "left_semi")
-        self._change("records", records.set_visibility(mine, ids, visibility))
+        self.tables["records"] = settle(
+            records.set_visibility(self.tables["records"], self._ids([slug]), visibility))
 
     def promote(self, slug: str, remote: str, now: str, force: bool = False, allow_secrets: bool = False) -> str:
         """Queue one record for one remote, or raise with the rule that refuses it."""
@@ -437,15 +356,6 @@ class Store:
         self.reindex()
 
 
-def _derived(pairs: DataFrame) -> DataFrame:
-    return pairs.select("project_id", "src", "dst", F.lit("derived").alias("kind"), F.lit(None).cast("string").alias("reason"))
-
-
-def _like(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """``rows`` with exactly the columns of ``table``, those it lacks as null."""
-    return table.limit(0).unionByName(rows.select([c for c in table.columns if c in rows.columns]), allowMissingColumns=True)
-
-
 def _day(stamp: str) -> int:
     """Day ordinal of a stamp, 0001-01-01 being day 1."""
     return datetime.strptime(stamp, "%Y-%m-%dT%H:%M:%SZ").toordinal()

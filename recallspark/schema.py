@@ -106,7 +106,6 @@ TABLES = {
     "cached": f"project_id string, memory_id string, {DOCUMENT_DDL}, origin string, cached_at string",
     "registry": "project_id string, label string, description string",
     "edges": "project_id string, src string, dst string, kind string, reason string",
-    "reach": "project_id string, labels array<string>, files array<string>, shared int, last string, last_file string",
     "usage_events": "project_id string, memory_id string, replica_id string, day bigint, "
     "surfaced bigint, direct bigint, applied bigint, ts string",
     "usage": "project_id string, memory_id string, replica_id string, surfaced bigint, "

@@ -18,7 +18,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recallspark.schema import TABLES, RecallError
-from recallspark.session import settle
 from recallspark.sources.files import create_text, list_names, read_text, remove
 
 #: What names a row of each table; tables not listed are logs.
@@ -29,15 +28,12 @@ KEYS = {
     "registry": ["project_id", "label"],
     "edges": ["project_id", "src", "dst", "kind"],
     "usage": ["project_id", "memory_id", "replica_id"],
-    "reach": ["project_id", "labels", "files"],
     "remotes": ["name"],
     "outbox": ["project_id", "memory_id", "remote"],
     "messages": ["id"],
     "clients": ["client_id"],
 }
 GONE = "_gone"
-#: Changes of one table that a session holds apart before it folds them together.
-APART = 16
 
 
 def change_rows(columns: list[str], puts: DataFrame | None, drops: DataFrame | None) -> DataFrame:
@@ -74,29 +70,21 @@ def fold(base: DataFrame, changes: list[DataFrame], key: list[str] | None) -> Da
         for part in changes:
             base = base.unionByName(part.where(~F.col(GONE)).select(*columns))
         return base
-    last = last_of_each(changes, key)
+    last = base.limit(0).withColumn(GONE, F.lit(False)).unionByName(last_of_each(changes, key), allowMissingColumns=True)
     return base.join(last.select(*key), key, "left_anti").select(*columns).unionByName(
         last.where(~F.col(GONE)).select(*columns))
 
 
-class Layers:
-    """One table of a session: as it was opened, and the small changes written since."""
-
-    def __init__(self, base: DataFrame, key: list[str] | None):
-        self.base, self.key = base, key
-        self.parts: list[DataFrame] = []
-        self.frame = base
-
-    def change(self, puts: DataFrame | None = None, drops: DataFrame | None = None) -> DataFrame:
-        """Write the given rows and keys, and nothing else; returns the table afterwards."""
-        rows = change_rows(self.base.columns, puts, drops)
-        if rows is None:
-            return self.frame
-        self.parts.append(settle(rows))
-        if len(self.parts) > APART and self.key is not None:
-            self.parts = [settle(last_of_each(self.parts, self.key))]
-        self.frame = fold(self.base, self.parts, self.key)
-        return self.frame
+def difference(before: DataFrame, after: DataFrame, key: list[str] | None) -> DataFrame:
+    """The change that turns ``before`` into ``after``: rows that are new or differ, and keys that are gone."""
+    columns = before.columns
+    after = after.select(*columns)
+    if key is None:
+        return change_rows(columns, after.exceptAll(before), None)
+    mark = F.xxhash64(*columns).alias("_mark")
+    same = before.select(*key, mark)
+    puts = after.select("*", mark).join(same, [*key, "_mark"], "left_anti")
+    return change_rows(columns, puts, before.select(*key).join(after.select(*key), key, "left_anti"))
 
 
 class ChangeLog:

@@ -114,10 +114,11 @@ def test_folding_equals_applying_one_after_another(spark):
     assert got == state
     once = settle(changes.last_of_each(parts, ["k", "sub"]))
     assert {(r.k, r.sub): (r.v, r.note) for r in changes.fold(base, [once], ["k", "sub"]).collect()} == state
-    layers = changes.Layers(base, ["k", "sub"])
-    for n in range(changes.APART + 3):
-        layers.change(frame(spark, {("n", str(n % 3)): (n, None)}))
-    assert len(layers.parts) < 5 and layers.frame.where("k = 'n'").count() == 3
+    found = changes.difference(base, frame(spark, state), ["k", "sub"])
+    assert {(r.k, r.sub): (r.v, r.note) for r in changes.fold(base, [found], ["k", "sub"]).collect()} == state
+    assert found.count() < len(state) + 10 and changes.difference(base, base, ["k", "sub"]).isEmpty()
+    only = changes.change_rows(base.columns, None, spark.createDataFrame([("k1", "a")], "k string, sub string"))
+    assert changes.fold(base, [only], ["k", "sub"]).count() == 29
 
 
 def test_versions_compaction_and_a_second_writer(spark, tmp_path):
