@@ -132,3 +132,11 @@ def settle(df: DataFrame) -> DataFrame:
     """
     df.sparkSession.sparkContext._jvm.System.gc()
     return session.settle(df)
+
+
+def discard(step: DataFrame) -> None:
+    """Remove the files of a settled step that nothing reads any more."""
+    context = step.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in step.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI.create(folder))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

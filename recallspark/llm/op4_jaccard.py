@@ -34,6 +34,8 @@ repeated ids share one. Only named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -46,6 +48,8 @@ from recallspark.llm.op2_langid import Lookup
 WORDS, SHARE = 4, 85
 BAND = 1.5
 CELLS = 64
+#: Bands are worked off in so many turns, so that only a part of the keys is on disk at a time.
+TURNS = 3
 #: A shingle that so many different sets of a batch share may be common; at most so many are left out of sketches.
 OFTEN, COMMON = 3, 1_000_000
 #: Members of a key that are compared with as many others in one place.
@@ -120,8 +124,11 @@ def _tag(low, count, kind, block, word):
     return blocks.mix(blocks.mix(place + np.uint64(kind)) ^ word * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch_keys(sets: list[np.ndarray], share: int, common: Lookup) -> tuple[np.ndarray, ...]:
-    """Set number, join key, ``need`` and lane (one per band and sketch) of every block that a set is looked up by."""
+def sketch_keys(sets: list[np.ndarray], share: int, common: Lookup, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
+    """Set number, join key, ``need`` and lane (one per band and sketch) of every block that a set is looked up by.
+
+    Of several turns, each has every so-manyth band.
+    """
     size = np.array([len(x) for x in sets], np.int64)
     flat = np.concatenate([np.zeros(0, np.uint64), *sets])
     keep = common.find(flat) < 0
@@ -130,6 +137,8 @@ def sketch_keys(sets: list[np.ndarray], share: int, common: Lookup) -> tuple[np.
     none = np.zeros(0, np.int64)
     out = [(none, none.astype(np.uint64), none, none)]
     for number, (low, high, d, count) in enumerate(bands(share, int(size.max(initial=0)))):
+        if number % turns != turn:
+            continue
         # Larger partners of this band's sets come from the band above.
         pick = np.flatnonzero((size >= low) & (size * share <= (high - 1) * 100))
         for kind, of_sets in ((0, rare), (1, sets)):
@@ -194,10 +203,10 @@ def set_sizes(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
 LONE, LEADS, FOLLOWS = 0, 1, 2
 
 
-def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common: np.ndarray) -> DataFrame:
-    """``deal, key, id, need, lane, role``: what each set is looked up by, once per batch and equal set.
+def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common: np.ndarray, turn: int = 0, turns: int = 1) -> DataFrame:
+    """``key, id, need, lane, role``: what each set is looked up by, once per batch and equal set.
 
-    Where several rows of a batch have a key, the smallest id leads; the others are dealt out by themselves.
+    Where several rows of a batch have a key, the smallest id leads.
     """
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     sent = df.sparkSession.sparkContext.broadcast(Lookup(common))
@@ -211,24 +220,23 @@ def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common:
             order = np.lexsort((ids, s2, s1))
             same = np.concatenate([[False], (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])])[: len(order)]
             alone = order[~same]
-            owner, keys, need, lane = sketch_keys([sets[i] for i in alone], share, sent.value)
+            owner, keys, need, lane = sketch_keys([sets[i] for i in alone], share, sent.value, turn, turns)
             owner = ids[alone][owner]
             order = np.lexsort((owner, keys))
             keys, owner, need, lane = (x[order] for x in (keys, owner, need, lane))
             first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
             role = np.where(first, np.where(np.append(first[1:], True)[: len(keys)], LONE, LEADS), FOLLOWS)
-            deal = np.where(first, keys, blocks.mix(keys ^ owner.astype(np.uint64)))
             for a in range(0, len(keys), 500_000):
                 part = slice(a, a + 500_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[part]) for x in (deal.view(np.int64), keys.view(np.int64), owner, need.astype("i2"), lane.astype("i2"), role.astype("i1"))],
-                    ["deal", "key", "id", "need", "lane", "role"])
+                    [pa.array(x[part]) for x in (keys.view(np.int64), owner, need.astype("i2"), lane.astype("i2"), role.astype("i1"))],
+                    ["key", "id", "need", "lane", "role"])
 
-    return source.mapInArrow(run, "deal bigint, key bigint, id bigint, need smallint, lane smallint, role tinyint")
+    return source.mapInArrow(run, "key bigint, id bigint, need smallint, lane smallint, role tinyint")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """``key, id, need, lane`` of the keys that several rows have.
+    """``key, id, need, lane`` of the keys that several rows have; rows that follow in their batch are dealt out by themselves.
 
     Streams over sorted partitions; of the last key it remembers the first row, and whether that was given out.
     """
@@ -254,8 +262,9 @@ def shared_keys(rows: DataFrame) -> DataFrame:
                 held = [c[start[-1:]] for c in columns], several[-1:]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "id", "need", "lane"])
 
-    dealt = rows.repartition(blocks.parts(rows), "deal").sortWithinPartitions("key")
-    return dealt.select("key", "id", "need", "lane", "role").mapInArrow(run, "key bigint, id bigint, need smallint, lane smallint")
+    deal = F.when(F.col("role") == FOLLOWS, F.xxhash64("key", "id")).otherwise(F.col("key"))
+    dealt = rows.repartition(blocks.parts(rows), deal).sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key bigint, id bigint, need smallint, lane smallint")
 
 
 def needed(members: DataFrame) -> DataFrame:
@@ -264,7 +273,11 @@ def needed(members: DataFrame) -> DataFrame:
     mine = Window.partitionBy("id", "lane")
     ranked = members.join(sizes, "key").select(
         "key", "id", "need", F.row_number().over(mine.orderBy("size", "key")).alias("rank"), F.count("*").over(mine).alias("n"))
-    kept = settle(ranked.where("rank <= n - need + 1").select("key", "id"))
+    return ranked.where("rank <= n - need + 1").select("key", "id")
+
+
+def met(kept: DataFrame) -> DataFrame:
+    """``key, id`` of the keys that several documents kept."""
     return kept.join(kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key", "left_semi")
 
 
@@ -370,8 +383,14 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
                   .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     rep = rows.where("id is not null").select("id", "rep").distinct()
 
-    members = settle(shared_keys(key_rows(df, key, text, words, share, common)))
-    members = settle(needed(members).join(rep, "id").select("key", "rep").distinct())
+    kept = []
+    for turn in range(TURNS):
+        found = settle(shared_keys(key_rows(df, key, text, words, share, common, turn, TURNS)))
+        kept.append(settle(needed(found)))
+        blocks.discard(found)
+    members = settle(met(reduce(DataFrame.union, kept)).join(rep, "id").select("key", "rep").distinct())
+    for part in kept:
+        blocks.discard(part)
     leads = members.groupBy("key").agg(F.min("rep").alias("lead"))
     stars = (members.join(leads, "key").where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
              .groupBy("rep").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")))
