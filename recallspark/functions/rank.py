@@ -48,3 +48,8 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     the join shuffles, with adaptive skew handling.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def one_of(value: Column, *of: str) -> Column:
+    """Whether the value is one of these; a null is none."""
+    return F.coalesce(value.isin(*of), F.lit(False))

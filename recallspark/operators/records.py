@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recallspark.operators import bodies
 from recallspark.operators.dedup import keep_then_new
 from recallspark.operators.usage import RECORD, REPLICA, add_counters
 from recallspark.operators.validate import document_errors
@@ -63,43 +64,45 @@ def create(records: DataFrame, incoming: DataFrame, known_labels: list[str], now
     return accepted, judged.where(F.size("errors") > 0).select("project_id", "id", "errors")
 
 
+def read_bodies(incoming: DataFrame, known_labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(documents, refused)`` of ``project_id, body``: JSON texts that pass every rule, as document columns.
+
+    A refused document goes by the ``id`` it gives, whatever that is; null if it gives none.
+    """
+    judged = settle(bodies.judged(incoming.select("project_id", "body"), "body", known_labels))
+    fine = judged.where(F.size("errors") == 0).select("project_id", F.from_json("body", DOCUMENT).alias("d")).select("project_id", "d.*")
+    return fine, judged.where(F.size("errors") > 0).select("project_id", F.get_json_object("body", "$.id").alias("id"), "errors")
+
+
 def patched(df: DataFrame, patch: str = "patch") -> DataFrame:
-    """Deep-merge a JSON patch column into the document columns.
+    """Deep-merge a JSON patch column into the document columns, see :func:`operators.bodies.merged`.
 
     Objects merge field by field; lists and scalars replace. A field absent from
     the patch is kept, one present as null becomes null.
     """
-    given = F.col(patch)
-    keys = F.coalesce(F.json_object_keys(given), F.array().cast("array<string>"))
-    parsed = F.from_json(given, DOCUMENT)
-    changes = {}
-    for name in DOCUMENT_FIELDS:
-        if name not in df.columns:
-            continue
-        field = df.schema[name].dataType
-        if hasattr(field, "fieldNames"):
-            inner = F.json_object_keys(F.get_json_object(given, f"$.{name}"))
-            # A patch that puts null, or anything but an object, in an object's place leaves none to keep fields of.
-            changes[name] = F.when(F.array_contains(keys, name) & inner.isNull(), F.lit(None).cast(field)).when(F.array_contains(keys, name), F.struct(*[
-                F.when(F.array_contains(inner, sub), parsed[name][sub]).otherwise(F.col(name)[sub]).alias(sub)
-                for sub in field.fieldNames()])).otherwise(F.col(name))
-        else:
-            changes[name] = F.when(F.array_contains(keys, name), parsed[name]).otherwise(F.col(name))
-    return df.withColumns(changes)
+    return _as_columns(df.withColumn("_body", bodies.merged(body(df), F.col(patch)))).drop("_body")
+
+
+def _as_columns(df: DataFrame) -> DataFrame:
+    """The document columns read anew from the JSON text in ``_body``."""
+    read = df.withColumn("_read", F.from_json("_body", DOCUMENT))
+    return read.withColumns({c: F.col(f"_read.{c}") for c in DOCUMENT_FIELDS if c in df.columns}).drop("_read")
 
 
 def update(
     records: DataFrame, patches: DataFrame, known_labels: list[str], now: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(records, revisions, refused)`` after applying ``(project_id, id, patch)``."""
+    """``(records, revisions, refused)`` after applying ``(project_id, id, patch)``.
+
+    The merged document is judged as JSON: wrong types and unknown fields of a patch refuse it.
+    """
     before = records.join(patches.select("project_id", "id", "patch"), ["project_id", "id"])
     moved = F.get_json_object("patch", "$.id")
-    after = patched(before.withColumn("_name", F.col("id")))
-    errors = F.concat(
-        document_errors(known_labels),
-        F.when(moved.isNotNull() & (moved != F.col("_name")), F.array(F.lit("update cannot change an id.")))
-        .otherwise(F.array().cast("array<string>")))
-    judged = after.withColumn("errors", errors)
+    written = before.withColumn("_name", F.col("id")).withColumn("_body", bodies.merged(body(records), F.col("patch")))
+    judged = bodies.judged(written, "_body", known_labels).withColumn("errors", F.concat("errors", F.when(
+        moved.isNotNull() & (moved != F.col("_name")), F.array(F.lit("update cannot change an id."))).otherwise(
+        F.array().cast("array<string>"))))
+    judged = settle(_as_columns(judged).drop("_body"))
     fine = judged.where(F.size("errors") == 0).drop("errors", "patch", "_name")
     # An id is kept when a record moves on to another project, so it names a record only within one.
     revisions = before.join(fine.select(*RECORD), RECORD, "left_semi").select(

@@ -230,19 +230,25 @@ class Store:
         return refused
 
     def create(self, documents: list[dict] | DataFrame, now: str, visibility: str = "private") -> DataFrame:
-        """Store documents and mirror their links; returns the refused ones with their errors."""
-        if isinstance(documents, DataFrame):
-            rows = documents
+        """Store documents and mirror their links; returns the refused ones with their errors.
+
+        Documents come as dicts, as a table of ``body`` texts, or as typed rows.
+        """
+        unfit = None
+        if not isinstance(documents, DataFrame):
+            documents = self.spark.createDataFrame([(json.dumps(d),) for d in documents], "body string")
+        if "body" in documents.columns:
+            rows, unfit = records.read_bodies(documents.select(F.lit(self.project).alias("project_id"), "body"), self._known())
         else:
-            text = self.spark.createDataFrame([(json.dumps(d),) for d in documents], "j string")
-            rows = text.select(F.lit(self.project).alias("project_id"), F.from_json("j", DOCUMENT).alias("d")).select(
-                "project_id", "d.*")
+            rows = documents
         rows = rows.withColumn("visibility", F.lit(visibility))
         held = self.tables["records"]
         lost = settle(records.unknown_targets(rows, held))
         rows = rows.join(lost, ["project_id", "id"], "left_anti")
         accepted, refused = records.create(held, rows, self._known(), now)
         refused = refused.unionByName(lost)
+        if unfit is not None:
+            refused = refused.unionByName(unfit)
         queries = self.tables["projects"].select("project_id", F.col("queries").alias("tier_since_query"))
         accepted = accepted.join(queries, "project_id", "left").withColumn("author_name", F.lit(self.actor).cast("string"))
         merged = self.tables["records"].unionByName(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallspark.functions import secrets
 from recallspark.functions.rank import top_k
-from recallspark.operators import audit, cache, fusion, index, messages, outbox, records, usage, validate
+from recallspark.operators import audit, bodies, cache, fusion, index, messages, outbox, records, usage, validate
 from recallspark.session import settle, shared_dir
 from recallspark.sources import testdata as src
 from recallspark.streaming import usage_stream
@@ -272,6 +273,46 @@ def update_patch(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("evidence.created", F.lit("none")).alias("created"))
 
 
+#: Remainder of a document's number by 12: what is wrong with it (or right again), the messages, and those it takes the place of.
+FAULTS = [
+    (0, {"tags": ["a", 1]}, ["field 'tags' must contain only strings."], "field 'tags'%"),
+    (1, {"extra": {"x": 1}}, ["unknown field 'extra'."], "%"),
+    (2, {"relationships": {"related": [{"id": "doc-1", "reason": "Found beside it.", "weight": 1}]}},
+     ["relationships.related entries must be objects with exactly 'id' and 'reason'."], "relationships.related%"),
+    (3, {"scope": {"area": 5, "depth": 1}}, ["scope has unknown field 'depth'.", "scope.area must be a string."], "scope%"),
+    (4, {"evidence": {"last_validated": 20240101}}, ["evidence.last_validated must be YYYY-MM-DD."], "evidence.last%"),
+    (5, {"description": 12345678901234567890}, ["description must be a string of at least 20 characters."], "description%"),
+    (6, {"status": 4}, ["status '4' is not one of ['active', 'stale', 'superseded', 'wrong']."], "status%"),
+    (8, {"scope": {"files": ["a", "a"]}}, ["field 'scope.files' contains duplicate values."], "scope%"),
+    (9, {"labels": ["kind:rated"]}, [], "label%"),
+]
+MOVED = (7, {"id": "moved"}, ["update cannot change an id."], "id%")
+
+
+def _faulty(n: Column, faults: list[tuple]) -> Column:
+    patch = F.lit("{}")
+    for rest, change, _, _ in faults:
+        patch = F.when(n % 12 == rest, json.dumps(change)).otherwise(patch)
+    return patch
+
+
+def create_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that come as JSON, most with a wrong value: what refuses each, or that it is accepted."""
+    docs = src.documents(spark, sf)
+    texts = docs.select("project_id", bodies.merged(records.body(docs), _faulty(F.col("doc_id"), FAULTS)).alias("body"))
+    fine, refused = records.read_bodies(texts, KNOWN)
+    return refused.select("id", F.explode("errors").alias("error")).unionByName(fine.select("id", F.lit("accepted").alias("error")))
+
+
+def update_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """The same changes as patches of stored records: what refuses each; every revision kept is of one that was accepted."""
+    docs = src.documents(spark, sf)
+    patches = docs.select("project_id", "id", _faulty(F.col("doc_id"), [*FAULTS, MOVED]).alias("patch"))
+    _, revisions, refused = records.update(docs, patches, KNOWN, NOW)
+    kept = revisions.select(F.get_json_object("body", "$.id").alias("id"), F.lit("accepted").alias("error"))
+    return refused.select("id", F.explode("errors").alias("error")).unionByName(kept)
+
+
 def delete_records(spark: SparkSession, sf: str) -> DataFrame:
     """Delete every sixth document (every twelfth without the exact confirmation)."""
     docs = src.documents(spark, sf)
@@ -361,6 +402,8 @@ QUERIES = {
     "secret_scan": secret_scan,
     "merge_records": merge_records,
     "merge_usage": merge_usage,
+    "create_refusals": create_refusals,
+    "update_refusals": update_refusals,
     "update_patch": update_patch,
     "delete_records": delete_records,
     "create_records": create_records,
@@ -452,6 +495,15 @@ _BEFORE = {**_PAIRS, "counters": (("usage_events",), lifecycle._fold("project_id
 _GONE = {"gone": (("memories",), "SELECT project_id, memory_id, slug FROM memories WHERE doc_id % 6 = 0 AND doc_id % 12 <> 0"),
          "counters": _BEFORE["counters"]}
 _NOT_GONE = "NOT EXISTS (SELECT 1 FROM gone g WHERE g.project_id = x.project_id AND g.{0} = x.{1})"
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_refused = lambda faults: sql(", planted(f, error, hides) AS (VALUES " + ", ".join(
+    f"({rest}, {error}, {_quoted(hides)})" for rest, _, errors, hides in faults
+    for error in [_quoted(e) for e in errors] or ["NULL"]) + """),
+numbered AS (SELECT slug AS id, substr(slug, 5)::BIGINT % 12 AS f FROM docs),
+told AS (SELECT id, error FROM numbered JOIN planted USING (f) WHERE error IS NOT NULL
+  UNION ALL SELECT e.id, e.error FROM errors e JOIN numbered n ON n.id = e.id
+  WHERE NOT EXISTS (SELECT 1 FROM planted p WHERE p.f = n.f AND e.error LIKE p.hides))
+SELECT id, error FROM told UNION ALL SELECT slug, 'accepted' FROM docs WHERE slug NOT IN (SELECT id FROM told)""", "errors", extra=_ERRORS)
 _REQUIRED = ", ".join(f"'{f}'" for f in validate.REQUIRED)
 
 ORACLES = {
@@ -575,6 +627,8 @@ SELECT project_id, memory_id, replica_id, sum(surfaced)::BIGINT AS surfaced, sum
     SELECT c.*, 1 AS own FROM counters c UNION ALL
     SELECT c.* REPLACE (p.keep AS memory_id), 0 FROM counters c JOIN merge_pairs p ON p.merge = c.memory_id) GROUP BY 1, 2, 3""",
                        "counters", "merge_pairs", extra=_BEFORE),
+    "create_refusals": _refused(FAULTS),
+    "update_refusals": _refused([*FAULTS, MOVED]),
     "update_patch": sql("""
 , bad AS (SELECT slug FROM memories WHERE length(description) < 20 OR doc_id % 31 = 0 OR doc_id % 23 = 0
     OR (doc_id % 29 = 0 AND (doc_id % 3 <> 0 OR doc_id % 4 = 0)) OR (doc_id = 0) OR (doc_id % 2 = 1 AND doc_id % 19 = 0)

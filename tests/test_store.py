@@ -443,3 +443,49 @@ def test_commits_hold_what_changed_and_open_as_the_same_store(spark, tmp_path):
     for name in ("records", "edges", "usage", "registry"):
         assert sorted(map(str, again.tables[name].collect())) == sorted(map(str, s.tables[name].collect())), name
     assert set(again._log.state["tables"]["records"]["changes"]) and not again._log.state["tables"]["edges"]["changes"]
+
+
+WRONG = [
+    ({"tags": [1, 2]}, ["field 'tags' must contain only strings."]),
+    ({"labels": ["bad", 3, "worse"]}, ["field 'labels' value 'bad' has an invalid format.", "field 'labels' must contain only strings."]),
+    ({"labels": []}, ["field 'labels' must have at least 1 item(s)."]),
+    ({"triggers": "one"}, ["field 'triggers' must be an array."]),
+    ({"extra": 1, "tags": [1]}, ["unknown field 'extra'."]),
+    ({"schema_version": "1"}, ["schema_version must be 1."]),
+    ({"description": 123456789012345678901234}, ["description must be a string of at least 20 characters."]),
+    ({"status": 7}, ["status '7' is not one of ['active', 'stale', 'superseded', 'wrong']."]),
+    ({"status": None}, ["status 'None' is not one of ['active', 'stale', 'superseded', 'wrong']."]),
+    ({"scope": '{"project": "p"}'}, ["scope must be an object."]),
+    ({"scope": {"project": 5, "deep": 1, "files": ["a", "a"]}},
+     ["scope has unknown field 'deep'.", "scope.project must be a string.", "field 'scope.files' contains duplicate values."]),
+    ({"evidence": {"created": 5, "last_validated": 20260101}},
+     ["evidence.last_validated must be YYYY-MM-DD.", "evidence.created must be an ISO-8601 string."]),
+    ({"relationships": {"related": [{"id": "one", "reason": WHY, "weight": 1}, "one", {"id": 4, "reason": WHY}]}},
+     ["relationships.related entries must be objects with exactly 'id' and 'reason'."] * 2 + ["relationships.related id must be lowercase kebab-case."]),
+    ({"relationships": {"related": "one", "supersedes": [None]}},
+     ["relationships.related must be an array.", "field 'relationships.supersedes' must contain only strings."]),
+]
+
+
+def test_values_of_the_wrong_type_are_refused(spark):
+    from recallspark.operators import bodies
+
+    whole = json.dumps(doc("one"))
+    texts = [(i, whole, json.dumps(patch)) for i, (patch, _) in enumerate(WRONG)]
+    rows = spark.createDataFrame([*texts, (90, whole, "{}"), (91, whole, "[1]"), (92, whole, None)], "n int, a string, b string")
+    got = {r["n"]: r["errors"] for r in bodies.judged(rows.withColumn("body", bodies.merged(F.col("a"), F.col("b"))), "body", ["area:x"]).collect()}
+    assert {n: got[n] for n in range(len(WRONG))} == {n: errors for n, (_, errors) in enumerate(WRONG)}
+    assert got[90] == [] and got[91] == got[92] == ["memory must be a JSON object."]
+    odd = spark.createDataFrame([(0, "{"), (1, '{"id": "a", "id": "b"}'), (2, None), (3, "null"), (4, "")], "n int, body string")
+    assert all(r["errors"] == ["memory must be a JSON object."] for r in bodies.judged(odd, "body").collect())
+    assert bodies.judged(odd.limit(0), "body").count() == 0
+
+
+def test_the_store_refuses_wrong_types(spark):
+    s = store(spark, doc("one"))
+    refused = {r["id"]: r["errors"] for r in s.create([doc("two", tags=[1, 2]), doc("three", weight=1), doc("four")], NOW).collect()}
+    assert refused == {"two": ["field 'tags' must contain only strings."], "three": ["unknown field 'weight'."]}
+    assert sorted(r["id"] for r in s.tables["records"].collect()) == ["four", "one"]
+    assert s.update("one", {"scope": {"deep": True}}, NOW).head()["errors"] == ["scope has unknown field 'deep'."]
+    assert s.update("one", {"scope": {"files": ["b.py"]}}, NOW).isEmpty()
+    assert s.tables["records"].where("id = 'one'").head()["scope"]["files"] == ["b.py"]
