@@ -48,8 +48,6 @@ from recallspark.llm.op2_langid import Lookup
 WORDS, SHARE = 4, 85
 BAND = 1.5
 CELLS = 64
-#: Bands are worked off in so many turns, so that only a part of the keys is on disk at a time.
-TURNS = 3
 #: A shingle that so many different sets of a batch share may be common; at most so many are left out of sketches.
 OFTEN, COMMON = 3, 1_000_000
 #: Members of a key that are compared with as many others in one place.
@@ -372,8 +370,11 @@ def close_pairs(members: DataFrame, sketches: DataFrame, share: int) -> DataFram
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Per row: the key, ``n_shingles`` and ``component_id``."""
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE, turns: int = 1) -> DataFrame:
+    """Per row: the key, ``n_shingles`` and ``component_id``.
+
+    Bands are worked off in ``turns``: more of them keep fewer keys on disk at a time, and make the sets again each.
+    """
     seen = settle(set_sizes(df, key, text, words))
     common = (seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
               .orderBy(F.desc("times"), "shingle").limit(COMMON).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
@@ -384,8 +385,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     rep = rows.where("id is not null").select("id", "rep").distinct()
 
     kept = []
-    for turn in range(TURNS):
-        found = settle(shared_keys(key_rows(df, key, text, words, share, common, turn, TURNS)))
+    for turn in range(turns):
+        found = settle(shared_keys(key_rows(df, key, text, words, share, common, turn, turns)))
         kept.append(settle(needed(found)))
         blocks.discard(found)
     members = settle(met(reduce(DataFrame.union, kept)).join(rep, "id").select("key", "rep").distinct())

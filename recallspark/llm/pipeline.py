@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = F.when(F.col("again"), -F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) - 1).otherwise(F.col("doc_id").cast("bigint"))
     named = docs.select(row, "doc_id", "text").join(again, "doc_id", "left").select(
         "row", "text", own.alias("own"), F.coalesce("again", F.lit(False)).alias("again"))
-    found = blocks.settle(op4_jaccard.near_copies(named.select("own", "text"), key="own", words=5, share=80))
+    found = blocks.settle(op4_jaccard.near_copies(named.select("own", "text"), key="own", words=5, share=80, turns=3))
     gone = blocks.settle(found.where("component_id < own").select("own").distinct())
     left = named.join(gone, "own", "left_anti")
     once = left.where("again").groupBy("own").agg(F.max_by("row", F.xxhash64("row")).alias("row"))
