@@ -164,3 +164,14 @@ def test_a_record_is_summed_where_it_is_and_postings_hold_numbers(spark, tmp_pat
     assert {r["memory_id"]: [tuple(e) for e in r["entries"]] for r in done.collect()} == {"a": [("x", 1.5), ("y", 2.0)], "b": []}
     held = Postings.build(rows, f"{tmp_path}/n", buckets=2)
     assert dict(held._read("postings").dtypes)["docs"] == "array<bigint>"
+
+
+def test_a_refresh_notes_numbers_of_what_it_replaces(spark, tmp_path):
+    """Ids of replaced records were matched against every posting of a question."""
+    dice = random.Random(9)
+    held = Postings.build(corpus(spark, {i: made(dice, i) for i in range(6)}), f"{tmp_path}/g", buckets=2)
+    old = {r["memory_id"]: (r["segment"], r["doc"]) for r in held._read("rows").collect()}
+    row = held.rows().where("memory_id = 'm002'").head()
+    held.refresh(corpus(spark, {2: ("m002", row["project_id"], True, "w1 new")}), spark.createDataFrame([], "project_id string, memory_id string"))
+    assert [(r["of"], r["doc"]) for r in held._read("gone").collect()] == [old["m002"]]
+    assert sorted(r["memory_id"] for r in held.rows().collect()) == [f"m{i:03}" for i in range(6)]
