@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallspark.operators import graph
-from recallspark.operators.similar import SHAPE, derived_edges, edge_changes, edges_and_reach
+from recallspark.operators.similar import SHAPE, _first_ids, derived_edges, edge_changes, edges_and_reach
 from recallspark.session import settle
 
 
@@ -199,6 +199,13 @@ def test_a_small_change_recomputes_few_records(spark):
     assert {r["src"] for r in added.collect()} == {"z"} and removed.isEmpty() and stale.count() == 1
 
 
+def test_touched_records_of_one_label_set_are_one_row(spark):
+    """Every touched record met every shape that shares a label."""
+    rows = {f"m{i:03}": ({"k:all", f"k:{i % 2}"}, set(), True) for i in range(60)}
+    assert sorted((r["theirs"], r["first"]) for r in _first_ids(frame_of(spark, rows)).collect()) == [
+        (["k:0", "k:all"], "m000"), (["k:1", "k:all"], "m001")]
+
+
 def test_siblings_are_capped_and_projects_stay_apart(spark):
     rows = [(p, f"{p}{i:02}", ["area:x"], ["f"], None) for p in "ab" for i in range(25)]
     rows += [("a", "far", ["area:x", "area:z", "kind:bug"], [], None)]
