@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recallspark.operators import index
 from recallspark.schema import RecallError
 from recallspark.session import settle
-from recallspark.sources import changes, postings
+from recallspark.sources import changes
 from recallspark.sources.files import create_text, list_names, read_text, replace_text
 from recallspark.sources.postings import Postings
 
@@ -159,7 +159,7 @@ def test_a_record_is_summed_where_it_is_and_postings_hold_numbers(spark, tmp_pat
     rows = spark.createDataFrame(
         [("p", "a", True, [("x", 1.0), ("y", 2.0), ("x", 0.5)], 3.0), ("p", "b", False, [], 0.0)],
         "project_id string, memory_id string, live boolean, entries array<struct<term:string,w:double>>, dl double")
-    done = postings.summed(rows)
+    done = index.summed(rows, ["memory_id"])
     assert "Exchange" not in done._jdf.queryExecution().toString()
     assert {r["memory_id"]: [tuple(e) for e in r["entries"]] for r in done.collect()} == {"a": [("x", 1.5), ("y", 2.0)], "b": []}
     held = Postings.build(rows, f"{tmp_path}/n", buckets=2)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from recallspark.operators import index
 from recallspark.functions import secrets, text
 
 VECTORS = {
@@ -67,3 +68,18 @@ def test_secrets_are_found_and_masked(spark):
         "t", secrets.findings(F.col("t")).alias("f")).collect()
     got = {r["t"]: [(f["rule"], f["masked"]) for f in r["f"]] for r in rows}
     assert got == SECRETS
+
+
+def test_what_a_task_scores_is_bounded(spark, monkeypatch):
+    """Parts came from the session's setting, so a task's sums grew with the table."""
+    rows = spark.createDataFrame([("p", f"m{i}", True, "red blue" if i % 2 else "red", 1) for i in range(40)],
+                                 "project_id string, memory_id string, live boolean, text string, n int")
+    built = index.index_rows(rows, {"description": F.col("text")}, ["project_id", "memory_id", "live"])
+    asked = spark.createDataFrame([(1, "p", "blue red")], "query_id bigint, project_id string, query string")
+    want = [tuple(r) for r in index.bm25(built, asked).orderBy("rn").collect()]
+    monkeypatch.setattr(index, "TASK_MEETINGS", 5)
+    # 40 records with themselves, 40 hits of one word and 20 of the other.
+    hits = index.wanted_postings(built, spark.createDataFrame([("red",), ("blue",)], "term string"), ["project_id", "live"], F.broadcast)
+    assert hits.rdd.getNumPartitions() == 21 and hits.count() == 100
+    for skip_above in (1e8, 0):
+        assert [tuple(r) for r in index.bm25(built, asked, skip_above=skip_above).orderBy("rn").collect()] == want
