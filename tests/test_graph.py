@@ -229,3 +229,27 @@ def test_neighbourhood(spark):
     assert around(depth=1) == ({"a", "b", "c"}, {("a", "b"), ("a", "c")})
     assert around(depth=2) == ({"a", "b", "c", "d"}, {("a", "b"), ("a", "c"), ("b", "d")})
     assert around(depth=2, max_nodes=2) == ({"a", "b"}, {("a", "b"), ("a", "c")})
+
+
+def test_neighbourhood_moves_links_to_their_root_once(spark):
+    """Every level worked the earlier ones out again and moved its links three times."""
+    random.seed(5)
+    links = {(f"n{random.randrange(30):02}", f"n{random.randrange(30):02}", random.choice(["related", "supersedes"])) for _ in range(300)}
+    edges = spark.createDataFrame([("p", *x) for x in links], "project_id string, src string, dst string, kind string")
+    roots = spark.createDataFrame([("p", f"n{i:02}") for i in range(31)], "project_id string, memory_id string")
+    for most in (3, 12):
+        nodes, _ = graph.neighbourhood(edges, roots, depth=2, max_nodes=most)
+        got = {(r["root"], r["memory_id"]): r["level"] for r in nodes.collect()}
+        want = {}
+        for root in (f"n{i:02}" for i in range(31)):
+            have, level = {root: 0}, [root]
+            for step in (1, 2):
+                via = {}
+                for s, d, k in links:
+                    if s in level and d not in have:
+                        via[d] = min(via.get(d, (k, s)), (k, s))
+                level = [d for _, d in sorted((v, d) for d, v in via.items())][:most - len(have)]
+                have |= dict.fromkeys(level, step)
+            want |= {(root, node): at for node, at in have.items()}
+        assert got == want
+        assert "Exchange" not in nodes._jdf.queryExecution().toString()
