@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark.operators import index
+from recallspark.operators import dedup, index
 from recallspark.functions import secrets, text
 
 VECTORS = {
@@ -83,3 +83,28 @@ def test_what_a_task_scores_is_bounded(spark, monkeypatch):
     assert hits.rdd.getNumPartitions() == 21 and hits.count() == 100
     for skip_above in (1e8, 0):
         assert [tuple(r) for r in index.bm25(built, asked, skip_above=skip_above).orderBy("rn").collect()] == want
+
+
+def test_silent_questions_read_no_text(spark):
+    """All texts were cut into tokens although no question had a word."""
+    rows = spark.createDataFrame([("p", "m", True, "red")], "project_id string, memory_id string, live boolean, text string")
+    read = F.udf(lambda text: 1 / 0, "string")  # fails as soon as it meets a row
+    built = index.index_rows(rows, {"description": read("text")}, ["project_id", "memory_id", "live"])
+    asked = spark.createDataFrame([(1, "p", ""), (2, "p", "!")], "query_id bigint, project_id string, query string")
+    assert index.bm25(built, asked).collect() == []
+
+
+def test_a_bag_is_made_once_a_record(spark):
+    """Each end of each join cut the texts into tokens again."""
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        met.add(1)
+        return text
+
+    rows = spark.createDataFrame([("p", x, x, None, "red blue green") for x in "abc"],
+                                 "project_id string, memory_id string, slug string, archived_at string, description string")
+    rows = rows.withColumn("description", F.udf(seen, "string").asNondeterministic()("description"))
+    links = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c")], "project_id string, src string, dst string")
+    assert sorted((r["a"], r["b"], r["score"]) for r in dedup.duplicate_pairs(rows, links).collect()) == [("a", "b", 1.0), ("b", "c", 1.0)]
+    assert met.value == 3
