@@ -1,6 +1,7 @@
 """The stored text index and the change log against what they stand for, computed anew."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from recallspark.operators import index
 from recallspark.schema import RecallError
 from recallspark.session import settle
-from recallspark.sources import changes
+from recallspark.sources import changes, postings
 from recallspark.sources.files import create_text, list_names, read_text, replace_text
 from recallspark.sources.postings import Postings
 
@@ -175,3 +176,14 @@ def test_a_refresh_notes_numbers_of_what_it_replaces(spark, tmp_path):
     held.refresh(corpus(spark, {2: ("m002", row["project_id"], True, "w1 new")}), spark.createDataFrame([], "project_id string, memory_id string"))
     assert [(r["of"], r["doc"]) for r in held._read("gone").collect()] == [old["m002"]]
     assert sorted(r["memory_id"] for r in held.rows().collect()) == [f"m{i:03}" for i in range(6)]
+
+
+def test_a_question_meets_a_record_where_its_postings_are(spark, tmp_path, questions, monkeypatch):
+    """Every posting moved once for each question that asks for it."""
+    dice, kept = random.Random(5), []
+    held = Postings.build(corpus(spark, {i: made(dice, i) for i in range(40)}), f"{tmp_path}/w", buckets=2)
+    monkeypatch.setattr(postings, "settle", lambda df: kept.append(df) or settle(df))
+    held.search(questions)
+    summed = [df._jdf.queryExecution().executedPlan().toString() for df in kept if "raw" in df.columns]
+    assert len(summed) == 1 and re.search(r"hashpartitioning\((segment#\d+|0), doc#", summed[0])
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, (segment|doc)#", summed[0])
