@@ -37,6 +37,25 @@ def test_delivery_happens_once(spark, tmp_path):
     assert outbox.delivered(spark, url).count() == 4
 
 
+def test_bodies_are_read_once_for_all_remotes(spark, tmp_path):
+    """Each remote read the bodies of all records."""
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(body):
+        met.add(1)
+        return body
+
+    queue = spark.createDataFrame([(i, "p", f"m{i % 3}", "", r, "d", 0, "send", None) for i, r in enumerate("aabbc")], SORTED)
+    remotes = spark.createDataFrame([(r, f"{tmp_path}/{r}", "", True, NOW, None, None) for r in "abc"], TABLES["remotes"])
+    bodies = spark.createDataFrame([("p", f"m{i}", f"body {i}") for i in range(3)], "project_id string, memory_id string, body string")
+    bodies = bodies.withColumn("body", F.udf(seen, "string").asNondeterministic()("body"))
+    failed, outcome = outbox.deliver(queue, bodies, remotes, "r1", NOW)
+    assert failed.isEmpty() and outcome == {"a": None, "b": None, "c": None} and met.value == 3
+    held = {r: sorted((x.id, x.remote, x.body) for x in outbox.delivered(spark, f"{tmp_path}/{r}").collect()) for r in "abc"}
+    assert held == {"a": [(0, "a", "body 0"), (1, "a", "body 1")], "b": [(2, "b", "body 2"), (3, "b", "body 0")], "c": [(4, "c", "body 1")]}
+    assert outbox.deliver(queue.limit(0), bodies, remotes, "r2", NOW)[1] == {}
+
+
 def test_the_complete_ranking_names_every_open_remote(spark):
     records = spark.createDataFrame([("p", "m", "pump drift", [], []), ("q", "m", "nothing", [], [])],
                                     "project_id string, memory_id string, description string, triggers array<string>, labels array<string>")
