@@ -40,6 +40,14 @@ def test_fold_and_query_terms(spark):
     assert df.select(text.query_terms(F.col("q")).alias("x")).head()["x"] == ["cafe", "cafe", "unicode"]
 
 
+def test_only_tokens_with_other_than_ascii_are_folded(spark):
+    """Of a text with one accent every token was gone through by character."""
+    df = spark.createDataFrame([("abc café İx",)], "t string").select(text.fold_all(F.col("t"), text.token_set(F.col("t"))).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length(namedlambdavariable" in plan.replace("lambda ", "").replace(" ", "") or "octet_length(lambda" in plan
+    assert df.head()["x"][:2] == ["abc", "cafe"]
+
+
 @pytest.mark.parametrize("raw,slug", [("My Project!", "my-project"), ("--", "project"), ("A__b", "a-b"), ("", "project")])
 def test_slugify(spark, raw, slug):
     df = spark.createDataFrame([(raw,)], "s string")
