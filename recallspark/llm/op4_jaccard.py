@@ -53,6 +53,8 @@ OFTEN, COMMON = 3, 1_000_000
 #: Members of a key that are compared with as many others in one place.
 CELL = 2000
 CHECK_CELLS = 2048
+#: The query works its bands off in so many turns, so that about half of the key rows are on disk at a time.
+TURNS = 2
 
 
 def shingle_hashes(buf: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
@@ -415,7 +417,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_copies(blocks.read(spark, sf_dir, "documents"))
+    return near_copies(blocks.read(spark, sf_dir, "documents"), turns=TURNS)
 
 
 QUERIES = {"op4_jaccard_join": query}

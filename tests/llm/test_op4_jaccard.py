@@ -114,3 +114,13 @@ def test_cells_of_a_crowded_key(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert result(df) == brute(rows, 4, 85)
+
+
+def test_the_query_works_its_bands_off_in_turns(monkeypatch):
+    """The key rows of all bands were on disk at a time."""
+    from recallspark.llm import op4_jaccard as op
+    asked = {}
+    monkeypatch.setattr(op.blocks, "read", lambda *_: None)
+    monkeypatch.setattr(op, "near_copies", lambda df, **given: asked.update(given))
+    op.query(None, "")
+    assert asked == {"turns": op.TURNS} and op.TURNS > 1
