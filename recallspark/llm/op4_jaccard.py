@@ -38,12 +38,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recallspark.llm import blocks
 from recallspark.llm.blocks import settle
 from recallspark.llm.links import components
-from recallspark.llm.op2_langid import Lookup
 
 WORDS, SHARE = 4, 85
 BAND = 1.5
@@ -53,10 +53,30 @@ OFTEN, COMMON = 3, 1_000_000
 #: Members of a key that are compared with as many others in one place.
 CELL = 2000
 CHECK_CELLS = 2048
+#: Rows, and about as many bytes of text, whose sets and keys a task holds at a time: keys take several times the room of their texts.
+ROWS, BYTES = 2500, 8 << 20
 #: The query works its bands off in so many turns, so that about half of the key rows are on disk at a time.
 TURNS = 2
 
 
+class Marks:
+    """Which shingles are left out of sketches, by one bit each; a shingle that shares the bit of one goes with it, in every text alike."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(10, (64 * len(keys)).bit_length())
+        self.shift, self.flags = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
+        place, bit = self._place(keys)
+        np.bitwise_or.at(self.flags, place, bit)
+
+    def _place(self, keys):
+        at = (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        place, bit = self._place(keys)
+        return self.flags[place] & bit != 0
+
+
 def shingle_hashes(buf: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every row."""
     buf = blocks.LOWER[buf]
@@ -124,14 +144,14 @@ def _tag(low, count, kind, block, word):
     return blocks.mix(blocks.mix(place + np.uint64(kind)) ^ word * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch_keys(sets: list[np.ndarray], share: int, common: Lookup, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
+def sketch_keys(sets: list[np.ndarray], share: int, common: Marks, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
     """Set number, join key, ``need`` and lane (one per band and sketch) of every block that a set is looked up by.
 
     Of several turns, each has every so-manyth band.
     """
     size = np.array([len(x) for x in sets], np.int64)
     flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-    keep = common.find(flat) < 0
+    keep = ~common.has(flat)
     at = np.concatenate([[0], np.cumsum(size)])
     rare = [x[keep[a:b]] for x, a, b in zip(sets, at[:-1], at[1:])]
     none = np.zeros(0, np.int64)
@@ -168,6 +188,23 @@ def _batches(batch, words):
     return sets
 
 
+def _portions(batches):
+    """Batches in slices of at most ``ROWS`` rows and about ``BYTES`` of text, one row at least."""
+    for batch in batches:
+        _, offs = blocks.flat(batch.column(1))
+        for a, b in blocks.slices(offs, BYTES):
+            for at in range(a, b, ROWS):
+                yield batch.slice(at, min(ROWS, b - at))
+
+
+def _often(sets):
+    """Shingles that at least ``OFTEN`` of the sets hold, and how many do."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    flat.sort()
+    found = np.unique(flat[OFTEN - 1:][flat[OFTEN - 1:] == flat[: max(len(flat) - OFTEN + 1, 0)]])
+    return found, np.searchsorted(flat, found, "right") - np.searchsorted(flat, found)
+
+
 def _identity(sets):
     """Two independent 64-bit sums that tell sets apart."""
     first = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
@@ -185,8 +222,7 @@ def set_sizes(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             sets = _batches(batch, words)
             s1, s2 = _identity(sets)
             _, alone = np.unique(np.stack([s1, s2]), axis=1, return_index=True) if len(sets) else (None, [])
-            shingle, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in alone)]), return_counts=True)
-            shingle, times = shingle[times >= OFTEN], times[times >= OFTEN]
+            shingle, times = _often([sets[i] for i in alone])
             none, blank = pa.nulls(len(shingle), pa.int64()), pa.nulls(len(sets), pa.int64())
             sketches = np.zeros((len(sets), CHECK_CELLS // CELLS), np.uint64)
             of, block, word = _blocks_of(sets, CHECK_CELLS // CELLS)
@@ -201,26 +237,26 @@ def set_sizes(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 LONE, LEADS, FOLLOWS = 0, 1, 2
+#: A member of a key of one cell that is outside the key's largest component: held against others, and one of them.
+BOTH = 2
 
 
-def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common: np.ndarray, turn: int = 0, turns: int = 1) -> DataFrame:
+def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common: Broadcast, turn: int = 0, turns: int = 1) -> DataFrame:
     """``key, id, need, lane, role``: what each set is looked up by, once per batch and equal set.
 
     Where several rows of a batch have a key, the smallest id leads.
     """
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    sent = df.sparkSession.sparkContext.broadcast(Lookup(common))
 
     def run(batches):
-        # 2,500 rows at a time: their keys take several times the room of their texts.
-        for batch in (b.slice(a, 2500) for b in batches for a in range(0, b.num_rows, 2500)):
+        for batch in _portions(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sets = _batches(batch, words)
             s1, s2 = _identity(sets)
             order = np.lexsort((ids, s2, s1))
             same = np.concatenate([[False], (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])])[: len(order)]
             alone = order[~same]
-            owner, keys, need, lane = sketch_keys([sets[i] for i in alone], share, sent.value, turn, turns)
+            owner, keys, need, lane = sketch_keys([sets[i] for i in alone], share, common.value, turn, turns)
             owner = ids[alone][owner]
             order = np.lexsort((owner, keys))
             keys, owner, need, lane = (x[order] for x in (keys, owner, need, lane))
@@ -291,7 +327,7 @@ def set_rows(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame)
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
     def run(batches):
-        for batch in batches:
+        for batch in _portions(batches):
             sets = _batches(batch, words)
             for a in range(0, len(sets), 1000):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a: a + 1000], _lists(sets[a: a + 1000])], ["id", "hashes"])
@@ -319,23 +355,30 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets_of, share: int) -> Data
     return settle(both.withColumn("i", shared).where(100 * F.col("i") >= share * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"))
 
 
-def close_pairs(members: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
-    """``a, b``: members of one key but of different components whose sketches are close enough to link.
-
-    Members outside a key's largest component are held against the others of the key. The
-    comparison is made in cells of at most about ``CELL`` by ``CELL`` members, into which larger
-    keys are dealt, and only close pairs leave it.
-    """
+def placed_in_cells(members: DataFrame) -> DataFrame:
+    """``members`` with their key's largest component (``main``) and the cells its members are dealt into."""
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     counts = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     chunks = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
     counts = counts.select("key", "main", chunks(F.col("all")).alias("across"), chunks(F.col("all") - F.col("most")).alias("down"))
-    rows = members.join(counts, "key").join(sketches, "rep")
+    return members.join(counts, "key")
+
+
+def close_pairs(placed: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
+    """``a, b``: members of one key (placed in cells) but of different components whose sketches are close enough to link.
+
+    Members outside a key's largest component are held against the others of the key. The
+    comparison is made in cells of at most about ``CELL`` by ``CELL`` members, into which larger
+    keys are dealt, and only close pairs leave it. A key of one cell sends each member once: those of
+    the largest component come first, each of the others is held against all before it.
+    """
+    rows = placed.join(sketches, "rep")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     what = ["rep", "component", "n", "sketch"]
-    others = rows.select("key", upto(F.col("down")).alias("i"), place(F.col("across")).alias("j"), F.lit(0).alias("kind"), "main", *what)
-    aside = (rows.where("component <> main")
+    others = rows.select("key", upto(F.col("down")).alias("i"), place(F.col("across")).alias("j"),
+                         F.when((F.col("across") == 1) & (F.col("component") != F.col("main")), BOTH).otherwise(0).alias("kind"), "main", *what)
+    aside = (rows.where("component <> main and across > 1")
              .select("key", place(F.col("down")).alias("i"), upto(F.col("across")).alias("j"), F.lit(1).alias("kind"), "main", *what))
 
     def run(batches):
@@ -350,17 +393,26 @@ def close_pairs(members: DataFrame, sketches: DataFrame, share: int) -> DataFram
             for a, b in zip(cut, np.append(cut[1:], len(key))):
                 if (key[a], i[a], j[a]) != at:
                     at, held, ready = (key[a], i[a], j[a]), [], None
-                if kind[a] == 0:
+                if kind[a] != 1:
                     held.append((rep[a:b], component[a:b], n[a:b], sketch[a:b]))
+                    ready = None
+                if kind[a] == 0:
                     continue
                 if ready is None:
                     ready = [np.concatenate(x) for x in zip(*held)] if held else None
                 if ready is None:
                     continue
                 for r in range(a, b):
-                    other = (ready[1] != component[r]) & ((ready[1] == main[r]) | (ready[0] > rep[r]))
-                    other &= (np.maximum(ready[2], n[r]) * share <= np.minimum(ready[2], n[r]) * 100)
+                    if kind[a] == BOTH:
+                        before = slice(0, len(ready[0]) - (b - r))
+                        other = ready[1][before] != component[r]
+                    else:
+                        before = slice(None)
+                        other = (ready[1] != component[r]) & ((ready[1] == main[r]) | (ready[0] > rep[r]))
+                    other &= (np.maximum(ready[2][before], n[r]) * share <= np.minimum(ready[2][before], n[r]) * 100)
                     other = np.flatnonzero(other)
+                    if not len(other):
+                        continue
                     apart = np.bitwise_count(ready[3][other] ^ sketch[r]).sum(axis=1, dtype=np.int64)
                     other = other[apart * (100 + share) <= (ready[2][other] + n[r]) * (100 - share)]
                     out[0].append(np.minimum(ready[0][other], rep[r])), out[1].append(np.maximum(ready[0][other], rep[r]))
@@ -368,14 +420,15 @@ def close_pairs(members: DataFrame, sketches: DataFrame, share: int) -> DataFram
                 pair = np.unique(np.stack([np.concatenate(x) for x in out]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
-    dealt = others.union(aside).repartition(blocks.parts(members), "key", "i", "j").sortWithinPartitions("key", "i", "j", "kind")
+    dealt = others.union(aside).repartition(blocks.parts(placed), "key", "i", "j").sortWithinPartitions("key", "i", "j", "kind")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE, turns: int = 1) -> DataFrame:
     """Per row: the key, ``n_shingles`` and ``component_id``.
 
-    Bands are worked off in ``turns``: more of them keep fewer keys on disk at a time, and make the sets again each.
+    Bands are worked off in ``turns``, and so are the keys whose members are compared: more of them keep fewer
+    keys and sketches on disk at a time, and make the sets again each.
     """
     seen = settle(set_sizes(df, key, text, words))
     common = (seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
@@ -387,10 +440,12 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     rep = rows.where("id is not null").select("id", "rep").distinct()
 
     kept = []
+    sent = df.sparkSession.sparkContext.broadcast(Marks(common))
     for turn in range(turns):
-        found = settle(shared_keys(key_rows(df, key, text, words, share, common, turn, turns)))
+        found = settle(shared_keys(key_rows(df, key, text, words, share, sent, turn, turns)))
         kept.append(settle(needed(found)))
         blocks.discard(found)
+    sent.unpersist()
     members = settle(met(reduce(DataFrame.union, kept)).join(rep, "id").select("key", "rep").distinct())
     for part in kept:
         blocks.discard(part)
@@ -407,8 +462,17 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     found = components(links).toDF("rep", "component")
     placed = settle(members.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = placed.join(split, "key", "left_semi")
-    pairs = close_pairs(settle(open_), sketches, share).join(stars, ["a", "b"], "left_anti")
+    open_ = settle(placed.join(split, "key", "left_semi"))
+    blocks.discard(placed)
+    blocks.discard(members)
+    close = []
+    for turn in range(turns):
+        # Written by itself: what the last turn shuffled is let go of only by the second write after it.
+        cells = settle(placed_in_cells(open_.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn)))
+        close.append(settle(close_pairs(cells, sketches, share)))
+        blocks.discard(cells)
+    blocks.discard(open_)
+    pairs = reduce(DataFrame.union, close).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.union(verified(pairs, sketches, sets_of, share))
 
     final = components(links).toDF("rep", "component_id")

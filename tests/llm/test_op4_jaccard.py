@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,47 @@ def test_the_query_works_its_bands_off_in_turns(monkeypatch):
     monkeypatch.setattr(op, "near_copies", lambda df, **given: asked.update(given))
     op.query(None, "")
     assert asked == {"turns": op.TURNS} and op.TURNS > 1
+
+
+def test_what_a_task_holds_is_bounded():
+    """A million shingles left out took 50 MB in every Python worker, and long texts came 2,500 or 10,000 at a time."""
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 1_000_000, dtype=np.uint64)
+    marks = op.Marks(keys)
+    assert marks.flags.nbytes <= 16 << 20 and marks.has(keys).all()
+    assert marks.has(keys + np.uint64(1)).mean() < 0.05 and not op.Marks(keys[:0]).has(keys).any()
+    texts = ["x" * 3_000_000] * 7 + ["y"] * 6000 + [None, "z" * 20_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "t"])
+    got = list(op._portions([batch]))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert max(b.num_rows for b in got) <= op.ROWS
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= op.BYTES for b in got)
+
+
+def test_shingles_that_several_sets_share():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 9], [2, 3, 4], [2])]
+    assert [x.tolist() for x in op._often(sets)] == [[2, 3], [4, 3]]
+    assert [len(x) for x in op._often([])] == [0, 0] and [len(x) for x in op._often(sets[:2])] == [0, 0]
+
+
+@pytest.mark.parametrize("cell", [2000, 4])
+def test_members_of_a_key_meet_once_whatever_its_cells(spark, monkeypatch, cell):
+    """A key of one cell sends every member once; it sent those outside the largest component twice."""
+    monkeypatch.setattr(op, "CELL", cell)
+    rng = random.Random(4)
+    members = [(k, r, r if r % 3 else 0) for k in range(6) for r in rng.sample(range(40), 3 + 4 * k)]
+    sketch = {r: [1 << rng.randrange(60) for _ in range(op.CHECK_CELLS // op.CELLS)] if r % 4 else [7] * (op.CHECK_CELLS // op.CELLS) for r in range(40)}
+    sketches = spark.createDataFrame([(r, 100, x) for r, x in sketch.items()], "rep long, n long, sketch array<long>")
+    placed = op.placed_in_cells(spark.createDataFrame(members, "key long, rep long, component long"))
+    got = {(r.a, r.b) for r in op.close_pairs(placed, sketches, 80).collect()}
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(sketch[a], sketch[b]))
+    of = {}
+    for k, r, c in members:
+        of.setdefault(k, []).append((r, c))
+    want = {(min(a, b), max(a, b)) for x in of.values() for a, c in x for b, d in x if c != d and apart(a, b) * 180 <= 200 * 20}
+    assert got == want and want
+
+
+def test_several_turns_give_the_same(spark):
+    rows = corpus(21, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(df, turns=3) == brute(rows, 4, 85)
