@@ -253,3 +253,32 @@ def test_neighbourhood_moves_links_to_their_root_once(spark):
             want |= {(root, node): at for node, at in have.items()}
         assert got == want
         assert "Exchange" not in nodes._jdf.queryExecution().toString()
+
+
+def test_pagerank_moves_numbers_and_keeps_shares_of_links_beyond(spark):
+    """A link to what is no node still takes its share along; every round joined and sorted names of 32 letters,
+    and worked earlier rounds out again. Two projects may have nodes of one name."""
+    nodes = spark.createDataFrame([(p, n) for p in "pq" for n in "abcd"], "project_id string, memory_id string")
+    rows = [("p", "a", "b", "related"), ("p", "a", "x", "related"), ("p", "y", "a", "related"), ("p", "b", "c", "derived"),
+            ("p", "c", "b", "related"), ("q", "a", "d", "related"), ("r", "a", "b", "related")]
+    edges = spark.createDataFrame(rows, "project_id string, src string, dst string, kind string")
+    done = graph.pagerank(nodes, edges, iterations=5)
+    got = {(r["project_id"], r["memory_id"]): r["rank"] for r in done.collect()}
+    weight = {r["kind"]: r["w"] for r in edges.select("kind", graph.edge_weight().alias("w")).collect()}
+    want = {}
+    for p in "pq":
+        w = {}
+        for q, a, b, kind in rows:
+            for pair in ((a, b), (b, a)):
+                if q == p:
+                    w[pair] = max(w.get(pair, 0), weight[kind])
+        rank = dict.fromkeys("abcd", 0.25)
+        for _ in range(5):
+            out = {n: sum(x for (a, _), x in w.items() if a == n) for n in rank}
+            spilt = sum(rank[n] for n in rank if not out[n])
+            rank = {n: graph.RESTART * 0.25 + (1 - graph.RESTART) * (spilt * 0.25 + sum(
+                rank[a] * x / out[a] for (a, b), x in w.items() if b == n and a in rank)) for n in rank}
+        want |= {(p, n): x for n, x in rank.items()}
+    assert got == pytest.approx(want, abs=1e-12)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "RDD" in plan  # the names come back last; no round is worked out again
