@@ -489,3 +489,19 @@ def test_the_store_refuses_wrong_types(spark):
     assert s.update("one", {"scope": {"deep": True}}, NOW).head()["errors"] == ["scope has unknown field 'deep'."]
     assert s.update("one", {"scope": {"files": ["b.py"]}}, NOW).isEmpty()
     assert s.tables["records"].where("id = 'one'").head()["scope"]["files"] == ["b.py"]
+
+
+def test_shared_values_are_worked_out_once(spark):
+    """A rule, and the merge of two documents, read the same JSON anew at every place that named it."""
+    from recallspark.operators import bodies
+
+    calls = bodies.merged(F.col("held"), F.col("patch"))
+    text = spark.createDataFrame([("{}", "{}")], "held string, patch string").select(calls.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("from_json(") <= 2 + 2 + 1
+    scope = bodies._strings("tags", F.parse_json(F.col("body")), True, 1, "^a")
+    plan = spark.createDataFrame([("[]",)], "body string").select(scope.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(") == 1
+    rows = spark.createDataFrame([('["a", "a"]',), ('["a", 1, "b"]',), ('["b"]',), ("[]",), ("3",), ("null",)], "body string")
+    got = [r["x"] for r in rows.select(scope.alias("x")).collect()]
+    assert got == [["field 'tags' contains duplicate values."], ["field 'tags' must contain only strings."], ["field 'tags' value 'b' has an invalid format."],
+                   ["field 'tags' must have at least 1 item(s)."], ["field 'tags' must be an array."], ["field 'tags' must be an array."]]
