@@ -25,9 +25,11 @@ without toxic labels every score is 0. Extra columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recallspark.llm import blocks
 from recallspark.llm.op2_langid import Lookup
@@ -39,6 +41,8 @@ PREFIXES = (4, 5, 6)
 HEAVY = 2.0
 STEP, BINS = 0.25, 80
 REMEMBERED = 200_000
+#: Bytes of texts whose words are found together, and features that a task counts together: some 20 MB of arrays each.
+TOGETHER, COUNTED = 1 << 18, 1_000_000
 #: What a symbol may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -69,7 +73,7 @@ def letter_counts(df: DataFrame, text: str = "text") -> DataFrame:
         total = np.zeros(_SYMBOLS ** 3, np.int64)
         for batch in batches:
             buf, offs = blocks.flat(batch.column(0))
-            for a, b in blocks.slices(offs):
+            for a, b in blocks.slices(offs, TOGETHER):
                 c = _CLASS[blocks.LOWER[buf[offs[a]: offs[b]]]]
                 c = np.concatenate([[0, 0], c, [0]])
                 total += np.bincount((c[:-2] * _SYMBOLS + c[1:-1]) * _SYMBOLS + c[2:], minlength=len(total))
@@ -249,32 +253,35 @@ def feature_counts(df: DataFrame, text: str, toxic: str, bits: np.ndarray) -> Da
     """``key, pos, neg``: rows with each feature, by label."""
 
     def run(batches):
-        decoder = Decoder(bits)
-        keys, label = [], []
+        decoder, found, size = Decoder(bits), [], 0
         for batch in batches:
             buf, offs = blocks.flat(batch.column(0))
-            y = np.array(batch.column(1).to_pylist(), np.int64)
-            for a, b in blocks.slices(offs):
+            y = np.array(batch.column(1).to_pylist(), np.int32)
+            for a, b in blocks.slices(offs, TOGETHER):
                 flat, s, e, row = words(buf[offs[a]: offs[b]], offs[a: b + 1] - offs[a], decoder)
-                for found in features(flat, s, e):
-                    order = np.lexsort((found, row))
-                    f, r = found[order], row[order]
-                    new = np.concatenate([[True], (f[1:] != f[:-1]) | (r[1:] != r[:-1])]) if len(f) else np.zeros(0, bool)
-                    new &= f != 0
-                    keys.append(f[new])
-                    label.append(y[a:b][r[new]])
-                if sum(map(len, keys)) > 4_000_000:
-                    yield flush(keys, label)
-                    keys, label = [], []
-        if keys:
-            yield flush(keys, label)
-
-    def flush(keys, label):
-        key, y = np.concatenate(keys), np.concatenate(label)
+                for key in features(flat, s, e):
+                    order = np.lexsort((key, row))
+                    k, r = key[order], row[order]
+                    new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]) if len(k) else np.zeros(0, bool)
+                    new &= k != 0
+                    found.append((k[new], y[a:b][r[new]], np.ones(new.sum(), np.int8)))
+                    size += len(found[-1][0])
+                    if size > COUNTED:
+                        found = [summed(found)]
+                        size = len(found[0][0])
+                        if size > COUNTED // 2:
+                            yield as_batch(*found[0])
+                            found, size = [], 0
+        if found:
+            yield as_batch(*summed(found))
+
+    def summed(found):
+        key, pos, n = (np.concatenate(x) for x in zip(*found))
         unique, inverse = np.unique(key, return_inverse=True)
-        n = np.bincount(inverse, minlength=len(unique))
-        pos = np.bincount(inverse, y, len(unique)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(pos), pa.array(n - pos)], ["key", "pos", "neg"])
+        return unique, np.bincount(inverse, pos, len(unique)), np.bincount(inverse, n, len(unique))
+
+    def as_batch(key, pos, n):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (key.view(np.int64), pos, n - pos)], ["key", "pos", "neg"])
 
     return (df.select(text, F.col(toxic).cast("int").alias("y")).mapInArrow(run, "key bigint, pos bigint, neg bigint")
             .groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
@@ -352,20 +359,33 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
-def _evidence(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+def found(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
+    """``evidence, score`` of every text, an array for each array of texts."""
+    decoder = Decoder(model.bits)
+    for column in texts:
+        buf, offs = blocks.flat(column)
+        evidence = np.zeros(len(column))
+        for a, b in blocks.slices(offs, TOGETHER):
+            evidence[a:b] = model.evidence(buf[offs[a]: offs[b]], offs[a: b + 1] - offs[a], decoder)
+        yield pa.StructArray.from_arrays([pa.array(evidence), pa.array(model.score(evidence))], ["evidence", "score"])
 
-    def run(batches):
-        decoder = Decoder(sent.value.bits)
-        for batch in batches:
-            buf, offs = blocks.flat(batch.column(1))
-            for a, b in blocks.slices(offs):
-                found = sent.value.evidence(buf[offs[a]: offs[b]], offs[a: b + 1] - offs[a], decoder)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(found), pa.array(sent.value.score(found))], ["_key", "evidence", "score"])
 
-    return source.mapInArrow(run, blocks.shape(source, "_key", "evidence double, score double")).withColumnRenamed("_key", key)
+def judge(spark: SparkSession, model: Model) -> Callable:
+    """A function from a column of texts to ``struct<evidence, score>``: only texts go to Python, the rows stay where they are.
+
+    Called non-deterministic so that a filter by its result does not have it worked out twice.
+    """
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from found(texts, sent.value)
+
+    return F.arrow_udf(run, "evidence double, score double").asNondeterministic()
+
+
+def _evidence(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    judged = df.select(F.col(key), judge(df.sparkSession, model)(F.col(text)).alias("_found"))
+    return judged.select(key, "_found.evidence", "_found.score")
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -382,7 +402,7 @@ def restore(df: DataFrame, bits: np.ndarray, key: str = "doc_id", text: str = "t
         decoder = Decoder(bits)
         for batch in batches:
             buf, offs = blocks.flat(batch.column(1))
-            for a, b in blocks.slices(offs):
+            for a, b in blocks.slices(offs, TOGETHER):
                 flat, s, e, row = words(buf[offs[a]: offs[b]], offs[a: b + 1] - offs[a], decoder)
                 at = blocks.per_row(row, b - a)
                 found = [[flat[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(s[i:j], e[i:j])] for i, j in zip(at[:-1], at[1:])]

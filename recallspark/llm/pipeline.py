@@ -22,9 +22,7 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; the model is fitted on the labelled ones among ``docs``."""
     model = op10_toxicity.fit(docs, blocks.read(spark, sf_dir, "labels"))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    scored = op10_toxicity.score(docs.select(row.alias("row"), "text"), model, key="row")
-    return scored.where("predicted = 0").select("row.*")
+    return docs.where(op10_toxicity.judge(spark, model)(F.col("text"))["score"] < op10_toxicity.THRESHOLD)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

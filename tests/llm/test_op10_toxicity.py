@@ -1,8 +1,10 @@
 """Toxicity: restored readings, held-out accuracy, disguises, odd rows."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,28 @@ def test_without_labels(spark):
 def test_rising_steps():
     got = op.rising(np.array([0, 5, 1, 9.0]), np.array([10, 10, 10, 10.0]))
     assert (np.diff(got) >= 0).all() and got[0] < 0.05 and got[-1] > 0.8
+
+
+def test_only_texts_go_to_python_and_little_is_held(spark, model):
+    """Rows stay beside their score, whatever else they hold, and working arrays do not grow with a batch."""
+    rows = [(i, f"the and of that {w}", "x" * 100) for i, w in enumerate(["idiot", "ererou", "1d10t"])] + [(3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    left = docs.where(op.judge(spark, model)(F.col("text"))["score"] < op.THRESHOLD)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [run(text#" in plan and "MapInArrow" not in plan
+    assert sorted(left.collect()) == [r for r in rows if r[0] in (1, 3)]
+    texts = pa.array([("the and of that ererou to shre " * 60) + str(i) for i in range(4_000)])
+    next(op.found(iter([texts.slice(0, 500)]), model))  # what a process makes once
+    tracemalloc.start()
+    found = next(op.found(iter([texts]), model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4_000 and peak < 30e6, peak
+
+
+def test_features_counted_in_parts(spark, model, monkeypatch):
+    docs = spark.createDataFrame([(f"word{i % 7} other{i % 3} word{i % 7}", i % 2) for i in range(200)], "text string, y int")
+    want = sorted(op.feature_counts(docs, "text", "y", model.bits).collect())
+    monkeypatch.setattr(op, "COUNTED", 40)
+    monkeypatch.setattr(op, "TOGETHER", 100)
+    assert want and sorted(op.feature_counts(docs, "text", "y", model.bits).collect()) == want

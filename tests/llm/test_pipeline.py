@@ -104,3 +104,8 @@ def test_clashing_columns(spark):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and got.count() > 0
+
+
+def test_toxicity_sends_each_text_once(spark):
+    plan = corpus_pipeline.toxicity(spark, blocks.read(spark, "/root/testdata/sf0.001", "documents"), "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [run(text#" in plan and "MapInArrow" not in plan
