@@ -7,7 +7,9 @@ whatever the batch holds. A single longer text is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +125,25 @@ def per_row(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n + 1))
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the machine; allocators keep it otherwise, and a worker serves many tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` that calls ``release`` once its batches have gone through."""
+
+    @wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def settle(df: DataFrame) -> DataFrame:
     """A step written to shared storage and read back, the disk of the steps before it freed first.
 

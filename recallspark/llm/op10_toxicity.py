@@ -69,6 +69,7 @@ _LEET[[ord(c) for c in LEET]] = True
 def letter_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``gram, n``: trigrams of letter classes over all texts, lower-cased."""
 
+    @blocks.tidy
     def run(batches):
         total = np.zeros(_SYMBOLS ** 3, np.int64)
         for batch in batches:
@@ -252,6 +253,7 @@ def features(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
 def feature_counts(df: DataFrame, text: str, toxic: str, bits: np.ndarray) -> DataFrame:
     """``key, pos, neg``: rows with each feature, by label."""
 
+    @blocks.tidy
     def run(batches):
         decoder, found, size = Decoder(bits), [], 0
         for batch in batches:
@@ -379,6 +381,7 @@ def judge(spark: SparkSession, model: Model) -> Callable:
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from found(texts, sent.value)
+        blocks.release()
 
     return F.arrow_udf(run, "evidence double, score double").asNondeterministic()
 
@@ -398,6 +401,7 @@ def restore(df: DataFrame, bits: np.ndarray, key: str = "doc_id", text: str = "t
     """The key and ``words``: the text's words as meant, restored ones after the row's plain ones."""
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
+    @blocks.tidy
     def run(batches):
         decoder = Decoder(bits)
         for batch in batches:

@@ -217,6 +217,7 @@ def set_sizes(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     for all; and, in rows of their own, ``shingle, times``: what several different sets of a batch share."""
     source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
+    @blocks.tidy
     def run(batches):
         for batch in batches:
             sets = _batches(batch, words)
@@ -225,8 +226,9 @@ def set_sizes(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             shingle, times = _often([sets[i] for i in alone])
             none, blank = pa.nulls(len(shingle), pa.int64()), pa.nulls(len(sets), pa.int64())
             sketches = np.zeros((len(sets), CHECK_CELLS // CELLS), np.uint64)
-            of, block, word = _blocks_of(sets, CHECK_CELLS // CELLS)
-            sketches[of, block] = word
+            for a, b in blocks.slices(8 * np.cumsum([0, *map(len, sets)])):  # the arrays take several times the room of the sets
+                of, block, word = _blocks_of(sets[a:b], CHECK_CELLS // CELLS)
+                sketches[a + of, block] = word
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                  _lists(list(sketches)), blank, blank], names)
@@ -248,6 +250,7 @@ def key_rows(df: DataFrame, key: str, text: str, words: int, share: int, common:
     """
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
+    @blocks.tidy
     def run(batches):
         for batch in _portions(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -277,6 +280,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     Streams over sorted partitions; of the last key it remembers the first row, and whether that was given out.
     """
 
+    @blocks.tidy
     def run(batches):
         held = None
         for batch in batches:
@@ -326,6 +330,7 @@ def set_rows(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame)
     """``id, hashes``: whole sets of the wanted documents."""
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
+    @blocks.tidy
     def run(batches):
         for batch in _portions(batches):
             sets = _batches(batch, words)
@@ -381,6 +386,7 @@ def close_pairs(placed: DataFrame, sketches: DataFrame, share: int) -> DataFrame
     aside = (rows.where("component <> main and across > 1")
              .select("key", place(F.col("down")).alias("i"), upto(F.col("across")).alias("j"), F.lit(1).alias("kind"), "main", *what))
 
+    @blocks.tidy
     def run(batches):
         at, held, ready = None, [], None
         for batch in batches:

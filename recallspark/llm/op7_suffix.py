@@ -260,6 +260,7 @@ def strings_of(docs: DataFrame, length: int) -> DataFrame:
     ``sure`` rows are places that repeat an earlier one of the batch."""
     names, kinds = ["key", "hash", "id", "low", "size", "sure"], ["i8", "i8", "i8", "i4", "i4", "?"]
 
+    @blocks.tidy
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -298,6 +299,7 @@ def compare_strings(strings: DataFrame) -> DataFrame:
     """
     names, kinds = ["key", "id", "low", "size"], ["i8", "i8", "i4", "i4"]
 
+    @blocks.tidy
     def run(batches):
         held = None  # rows to set before the next batch, and which of them have been given out
         for batch in batches:
@@ -339,6 +341,7 @@ def fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """``key, id, low, content, hot`` of every asked place."""
     places = asked.groupBy("id").agg(F.collect_list(F.struct("key", "low", "size", "hot")).alias("places"))
 
+    @blocks.tidy
     def run(batches):
         for batch in batches:
             out = []
@@ -368,6 +371,7 @@ def sorted_shards(strings: DataFrame, length: int) -> DataFrame:
         d, l, s = _merged(doc, start, np.full(len(doc), length))
         return pa.RecordBatch.from_arrays([pa.array(d.astype("i8")), pa.array(l.astype("i4")), pa.array(s.astype("i4"))], ["id", "low", "size"])
 
+    @blocks.tidy
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
@@ -391,6 +395,7 @@ def sorted_shards(strings: DataFrame, length: int) -> DataFrame:
 def hashed_windows(strings: DataFrame, length: int) -> DataFrame:
     """``id, low, size``: the same for keys with too many strings, window by window."""
 
+    @blocks.tidy
     def run(batches):
         for batch in batches:
             buf, offs = blocks.flat(batch.column(3))
@@ -438,6 +443,7 @@ def kept(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = L
               .join(removed.withColumnRenamed("id", "_id"), "_id", "left").select("_text", "places", "_row"))
     span = pa.list_(pa.struct([("low", pa.int32()), ("size", pa.int32())]))
 
+    @blocks.tidy
     def run(batches):
         # A thousand rows at a time: what is made of them is several times their size.
         for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):

@@ -166,6 +166,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: bytes
     extra = ("ids_sha256 string, decoded_sha256 string" if digests
              else "ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")) + (", round_trip boolean" if check else "")
 
+    @blocks.tidy
     def run(batches):
         encoder = Encoder(ranks)
         for batch in batches:
@@ -201,6 +202,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: bytes |
     ranks = ranks or rank_file()
     source = df.select(F.col(key).alias("_key"), F.col(ids).cast("array<bigint>").alias("_ids"))
 
+    @blocks.tidy
     def run(batches):
         _, table, offs = tokenizer(ranks)
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -169,3 +170,21 @@ def test_several_turns_give_the_same(spark):
     rows = corpus(21, 90)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(df, turns=3) == brute(rows, 4, 85)
+
+
+def test_sketches_take_little_room(spark):
+    """What a task holds besides the sets of its batch does not grow with them, and freed memory goes back."""
+    class Source:  # takes the function that a task runs
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = op.set_sizes(Source(), "id", "t", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4_000)), pa.array([" ".join(f"w{i}x{j}" for j in range(250)) for i in range(4_000)])], ["id", "t"])
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4_000 and run.__wrapped__ and peak < 55e6, peak
