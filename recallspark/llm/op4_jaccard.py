@@ -1,12 +1,15 @@
-"""Jaccard join of word shingles through parity sketches.
+"""Jaccard join of word shingles through sketches.
 
-A set's parity sketch has one bit per hash cell, the parity of its elements there; the
-Hamming distance of two sketches is at most the size of the sets' symmetric difference.
 Sets are put into size bands. In a band where linked sets differ in at most ``d``
-elements, a sketch has ``B > d`` blocks of 64 cells, and two linked sets agree in at least
-``B - d`` of them, so joining on (band, block number, block) misses no link. A set also
+elements, elements are dealt into ``B > d`` blocks by hash, and a set's sketch has the sum of
+its elements in each. An element that one of two sets lacks changes one block, so two linked sets
+agree in at least ``B - d`` of them, and joining on (band, block number, block) misses no link. Sums are of whole
+hashes: sets that share no element agree in no block, however many there are. A set also
 enters the band below its own if smaller partners may be there.
 
+Before whole sets are compared, parity sketches of one size for all are: one bit per hash cell, the parity
+of the elements there. The Hamming distance of two is at most the size of the sets' symmetric difference.
+
 Two things keep the join selective. Shingles that very many texts share are left out of
 the sketches: that cannot enlarge a difference, so the bound holds for whatever list is
 left out. And blank blocks are not joined on: a set with fewer than ``B - d`` of them still
@@ -116,21 +119,31 @@ def bands(share: int, most: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _blocks_of(sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set number, block number and parity word of every block that has elements (hashes ascend, so blocks do)."""
-    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-    if not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _dealt(flat: np.ndarray, sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set and block number of every element, and where a block's elements begin (hashes ascend, so blocks do)."""
     of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     block = ((flat >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (of[1:] != of[:-1])]))
-    word = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(CELLS - 1)), first)
+    return of, block, np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (of[1:] != of[:-1])])[: len(flat)])
+
+
+def _blocks_of(sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set number, block number and parity word of every block that has elements."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    of, block, first = _dealt(flat, sets, size)
+    word = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(CELLS - 1)), first) if len(flat) else flat
     return of[first], block[first].astype(np.int64), word
 
 
+def _sums_of(sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set number, block number and sum of the elements of every block that has some."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    of, block, first = _dealt(flat, sets, size)
+    return of[first], block[first].astype(np.int64), np.add.reduceat(flat, first) if len(flat) else flat
+
+
 def _keys_of(sets, owner, size, low, high, count, kind, share):
     """Owner, key and number of keys shared with a linked set, per block; owners with too many blanks."""
-    of, block, word = _blocks_of(sets, count)
+    of, block, word = _sums_of(sets, count)
     of, block, word = of[word != 0], block[word != 0], word[word != 0]
     blank = count - np.bincount(of, minlength=len(sets))
     partner = np.where(size >= high, high - 1, size * 100 // share)

@@ -188,3 +188,14 @@ def test_sketches_take_little_room(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 4_000 and run.__wrapped__ and peak < 55e6, peak
+
+
+def test_unrelated_sets_share_no_key():
+    """Parities of the few elements of a block were alike by chance, in more keys of a text the more texts there were."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in rng.integers(60, 400, 1500)]
+    _, keys, _, _ = op.sketch_keys(sets, 80, op.Marks(np.zeros(0, np.uint64)))
+    assert len(keys) > 1500 * 20 and len(np.unique(keys)) == len(keys)
+    linked = [np.sort(np.append(sets[0][2:], rng.integers(0, 1 << 63, 2, dtype=np.uint64))), sets[0]]
+    owner, keys, need, _ = op.sketch_keys(linked, 80, op.Marks(np.zeros(0, np.uint64)))
+    assert len(np.intersect1d(keys[owner == 0], keys[owner == 1])) >= need[owner == 1].max() > 1
