@@ -80,7 +80,8 @@ def candidates(coded_rows: DataFrame, bits: int, tables: int, near: int) -> Data
     index = coded_rows.select("label", F.col("rep").alias("a"), F.col("code").alias("x"), own.alias("k")).select("label", "k.t", "k.v", "a", "x")
     probe = coded_rows.select("label", F.col("rep").alias("b"), F.col("code").alias("y"), F.explode(F.array(*flips)).alias("k")).select("label", "k.t", "k.v", "b", "y")
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return index.join(probe, ["label", "t", "v"]).where((F.col("a") < F.col("b")) & (apart <= near)).select("a", "b").distinct()
+    # A small file of codes is many rows here: by its size Spark would send them all through the driver.
+    return index.join(probe.hint("merge"), ["label", "t", "v"]).where((F.col("a") < F.col("b")) & (apart <= near)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -96,7 +97,7 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
             near = pa.array(cosine >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
-    both = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").where(F.size("x") == F.size("y"))
+    both = pairs.join(one("a", "x").hint("merge"), "a").join(one("b", "y").hint("merge"), "b").where(F.size("x") == F.size("y"))
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -116,11 +117,12 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     times = classes.select(F.col("rep").alias("b"), "times")
     both = links.union(links.select("b", "a"))
-    linked = both.join(times, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("times").alias("others"))
+    # Links are written in few bytes each, so the size of their files says little of the room they take in the driver.
+    linked = both.join(times.hint("merge"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("times").alias("others"))
     found = components(links).toDF("rep", "component")
-    per_class = (classes.drop("vector").join(linked, "rep", "left").join(found, "rep", "left")
+    per_class = (classes.drop("vector").join(linked.hint("merge"), "rep", "left").join(found.hint("merge"), "rep", "left")
                  .select("label", "h1", "h2", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component")))
-    out = rows.drop("vector").join(per_class, ["label", "h1", "h2"], "left")
+    out = rows.drop("vector").join(per_class.hint("merge"), ["label", "h1", "h2"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
                       (F.col("id") == component).alias("kept"))

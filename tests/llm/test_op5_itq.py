@@ -66,3 +66,13 @@ def test_rotation_lowers_the_quantisation_error():
         error.append(((y - np.sign(y) * np.abs(y).mean()) ** 2).sum())
         assert np.allclose(p.T @ p, np.eye(16))
     assert error[1] < error[0]
+
+
+def test_no_join_goes_through_the_driver(spark):
+    """A small file of codes becomes 68 rows a code, which were all sent through the driver."""
+    made = op.settle(spark.range(200).selectExpr("cast(id % 3 as int) as label", "id as rep", "id * 7919 as code"))
+    plan = op.candidates(made, 64, 4, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    vectors = spark.createDataFrame([(i, i % 3, [float(i % 7), 1.0, 0.001 * i]) for i in range(60)], "vec_id long, label int, embedding array<float>")
+    plan = op.near_vectors(op.settle(vectors))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
