@@ -1,11 +1,13 @@
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark.operators import graph
+from recallspark.operators import graph, similar
 from recallspark.operators.similar import SHAPE, _first_ids, derived_edges, edge_changes, edges_and_reach
 from recallspark.session import settle
 
@@ -144,6 +146,31 @@ def test_counted_lists_equal_all_pairs_and_the_lists_by_subsets(spark, candidate
     assert sorted(map(str, reach.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("k", [1, 7, 200, 5000])
+def test_counting_by_binary_digits_equals_counting_one_by_one(k):
+    """A set was held against every record of its project, a byte each, and against its file candidates one pair at a time."""
+    dice = np.random.default_rng(k)
+    lists = [np.unique(np.minimum(dice.zipf(1.3, dice.integers(0, 14)), 3000)) for _ in range(3001)]
+    table = pa.table({"labels": pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))})
+    held = similar._Lists(table, "labels")
+    counter = similar._Counter(held, max(map(len, lists)))
+    for mine in lists[:60]:
+        count = np.array([len(np.intersect1d(mine, x)) for x in lists])
+        order = np.lexsort((np.arange(len(lists)), -count))[: min(k, int((count > 0).sum()))]
+        best, shared = counter.best(held.known(mine), k)
+        assert best.tolist() == order.tolist() and shared.tolist() == count[order].tolist()
+    assert len(counter.sets) < len(held.names) / 4  # rare labels take no bit a record
+
+
+def test_counted_lists_with_missing_names(spark):
+    random.seed(2)
+    rows = [("p", f"m{i:03}", random.sample(["a", "b", "c", "d", "e", None], 3) if i % 9 else [], random.sample(["x", "y", None], i % 3), None) for i in range(60)]
+    rows += [("p", "n1", None, ["x"], None), ("p", "n2", ["a", "b"], None, None)]
+    df = spark.createDataFrame(rows, RECORD_ROW)
+    got, want = (sorted(map(tuple, derived_edges(df, 6, 4, 0.2, 1, count_above=above).collect())) for above in (0, float("inf")))
+    assert got == want and got
+
+
 @pytest.mark.parametrize("candidates,rare", [(6, 1), (4, 0)])
 def test_twelve_labels_with_one_on_a_third(spark, candidates, rare):
     random.seed(candidates)
